@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, warc
+from quarry.llm import decontaminate, pii, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pii": pii.query,
     "op5_warc": warc.query,
     "op8_decontamination": decontaminate.query,
 }
