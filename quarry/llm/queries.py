@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, packing, pii, warc
+from quarry.llm import decontaminate, langid, packing, pii, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": langid.query,
     "op2_packing": packing.query,
     "op3_pii": pii.query,
     "op5_warc": warc.query,
