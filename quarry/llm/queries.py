@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, extract, langid, packing, pii, warc
+from quarry.llm import decontaminate, embed, extract, langid, packing, pii, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": langid.query,
     "op2_packing": packing.query,
     "op3_pii": pii.query,
     "op5_warc": warc.query,
+    "op6_embedding_neardup": embed.query,
     "op7_extraction": extract.query,
     "op8_decontamination": decontaminate.query,
 }
 
 SQL: dict[str, str] = {
     "op5_warc": warc.ORACLE_SQL,
+    "op6_embedding_neardup": embed.ORACLE_SQL,
     "op8_decontamination": decontaminate.ORACLE_SQL,
 }
