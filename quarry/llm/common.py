@@ -132,9 +132,19 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words from each position on; the last n - 1 positions have none."""
     if len(hashes) < n:
         return np.empty(0, np.uint64)
-    m, total = len(hashes) - n + 1, np.zeros(len(hashes) - n + 1, np.uint64)
-    for j in range(n):
-        total = total * _STEP + hashes[j : j + m]
+    power, size, total, done, left = hashes, 1, None, 0, n  # power: sums over size words, total: over done words
+    while left:
+        if left & 1:
+            if total is None:
+                total, done = power, size
+            else:  # size more words before those of total
+                m = len(hashes) - size - done + 1
+                total = power[:m] * np.uint64(pow(int(_STEP), done, 1 << 64)) + total[size : size + m]
+                done += size
+        left >>= 1
+        if left:
+            m = len(hashes) - 2 * size + 1
+            power, size = power[:m] * np.uint64(pow(int(_STEP), size, 1 << 64)) + power[size : size + m], 2 * size
     return mix(total + np.uint64(n))
 
 

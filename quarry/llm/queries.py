@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, embed, extract, langid, packing, pii, scoring, warc
+from quarry.llm import decontaminate, embed, extract, langid, packing, pii, scoring, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": langid.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_embedding_neardup": embed.query,
     "op7_extraction": extract.query,
     "op8_decontamination": decontaminate.query,
+    "op9_substrings": substrings.query,
     "op10_scoring": scoring.query,
 }
 
@@ -23,4 +24,5 @@ SQL: dict[str, str] = {
     "op5_warc": warc.ORACLE_SQL,
     "op6_embedding_neardup": embed.ORACLE_SQL,
     "op8_decontamination": decontaminate.ORACLE_SQL,
+    "op9_substrings": substrings.ORACLE_SQL,
 }
