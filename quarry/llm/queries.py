@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, embed, extract, langid, packing, pii, scoring, substrings, warc
+from quarry.llm import decontaminate, embed, extract, jaccard, langid, packing, pii, scoring, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": langid.query,
     "op2_packing": packing.query,
     "op3_pii": pii.query,
+    "op4_jaccard": jaccard.query,
     "op5_warc": warc.query,
     "op6_embedding_neardup": embed.query,
     "op7_extraction": extract.query,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_jaccard": jaccard.ORACLE_SQL,
     "op5_warc": warc.ORACLE_SQL,
     "op6_embedding_neardup": embed.ORACLE_SQL,
     "op8_decontamination": decontaminate.ORACLE_SQL,
