@@ -8,8 +8,9 @@ together; a node with suffixes of several documents is a repeat, and all but tho
 the least doc_id mark the words they cover.
 
 A first pass keeps suffixes without any repeat out of the trees: of the ten-word grams in
-each window the least is an anchor, so equal windows have equal anchors; only windows
-around an anchor that two documents have become suffixes.
+each window the least is its anchor, so equal windows have equal anchors; only windows
+whose anchor stands in two different texts become suffixes.  Texts equal as a whole are
+found by their digest, so copies alone grow no tree.
 
 Scale: two passes over the texts.  The anchors move once, as hashes; a bit field of
 bounded size tells the second pass which repeat.  Subtrees are streamed in sorted order
@@ -51,62 +52,55 @@ def _slide(x: np.ndarray, n: int, best) -> np.ndarray:
     return best(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
 
 
-def _anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions and hashes of anchors, and which positions begin a window."""
+def _anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor's hash for each position (0 where no window begins), and which positions begin a window."""
     h, ptr = words.hashes, words.ptr
     end = np.repeat(ptr[1:], np.diff(ptr))
     starts = np.arange(len(h)) + WINDOW <= end
     n = WINDOW - K + 1
     if len(h) < WINDOW:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), starts
-    g = grams(h, K)
-    least = _slide(g, n, np.minimum)
-    least = np.where(starts[: len(least)], least, np.uint64(0))
-    # the greatest of the least values of the windows around a gram is the gram itself exactly if it is an anchor
-    around = _slide(np.concatenate([np.zeros(n - 1, np.uint64), least, np.zeros(n - 1, np.uint64)]), n, np.maximum)
-    at = np.flatnonzero((around == g) & (g > 0))
-    return at, g[at], starts
+        return np.zeros(len(h), np.uint64), starts
+    least = np.zeros(len(h), np.uint64)
+    least[: len(h) - WINDOW + 1] = _slide(grams(h, K), WINDOW - K + 1, np.minimum)
+    return np.where(starts, least, np.uint64(0)), starts
+
+
+def _whole(p: bytes) -> bytes:
+    return hashlib.sha256(b" ".join(p.split())).digest()
 
 
 def _anchor_rows(batches):
-    """(kind 0: anchor hash, doc_id) and (kind 1: slot, suffixes) rows."""
-    slots, kind = np.zeros(SLOTS, np.int64), None
+    """(kind 0: anchor hash, digest of its text) and (kind 1: slot, suffixes) rows."""
+    slots, names = np.zeros(SLOTS, np.int64), ["kind", "key", "text", "n"]
     for batch in batches:
-        kind = batch.schema.field("doc_id").type
-        for first, parts in chunks(batch, "text"):
+        for _, parts in chunks(batch, "text"):
             words = Words(parts, NOT_SPACE, lower=False)
-            at, x, starts = _anchors(words)
+            least, starts = _anchors(words)
             p = grams(words.hashes, PREFIXES[0])
             ok = starts[: len(p)]
             slots += np.bincount((p[ok] & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-            if len(at):
-                doc = np.searchsorted(words.ptr, at, side="right") - 1
-                _, keep = np.unique(np.stack([doc.astype(np.uint64), x]), axis=1, return_index=True) if len(at) > 1 else (None, np.array([0]))
-                ids = batch.column("doc_id").take(pa.array(first + doc[keep]))
+            new = np.flatnonzero((least > 0) & (least != np.concatenate([[np.uint64(0)], least[:-1]])))  # neighbours mostly share it
+            if len(new):
+                whole = np.array([int.from_bytes(_whole(t)[:8], "little", signed=True) for t in parts])
+                doc = np.searchsorted(words.ptr, new, side="right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(len(keep), np.int32)), pa.array(x[keep].view(np.int64)), ids, pa.array(np.ones(len(keep), np.int64))], names=["kind", "key", "doc_id", "n"]
+                    [pa.array(np.zeros(len(new), np.int32)), pa.array(least[new].view(np.int64)), pa.array(whole[doc]), pa.array(np.ones(len(new), np.int64))], names=names
                 )
     used = np.flatnonzero(slots)
     if len(used):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ones(len(used), np.int32)), pa.array(used.astype(np.int64)), pa.nulls(len(used), kind), pa.array(slots[used])], names=["kind", "key", "doc_id", "n"]
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(used), np.int32)), pa.array(used.astype(np.int64)), pa.nulls(len(used), pa.int64()), pa.array(slots[used])], names=names)
 
 
-_SUFFIXED = "n_words bigint, kept_sha256 string, text string, prefix array<int>, path array<bigint>, pos array<int>"
+_SUFFIXED = "n_words bigint, whole_sha256 string, text string, prefix array<int>, path array<bigint>, pos array<int>"
 
 
 def _suffixes(batches, bits: np.ndarray, depth: np.ndarray):
-    """A row per text: the suffixes that may repeat, and the text if there are any, else its digest."""
+    """A row per text: its digest, the suffixes that may repeat, and the text if there are any."""
     for batch in batches:
         for first, parts in chunks(batch, "text"):
             words = Words(parts, NOT_SPACE, lower=False)
-            at, x, starts = _anchors(words)
-            at = at[in_bits(bits, x)]
-            near = np.zeros(len(words.hashes) + 1, np.int64)
-            np.add.at(near, np.maximum(0, at - (WINDOW - K)), 1)
-            np.add.at(near, at + 1, -1)
-            pos = np.flatnonzero((np.cumsum(near)[:-1] > 0) & starts)
+            least, starts = _anchors(words)
+            pos = np.flatnonzero(starts & in_bits(bits, least))
             path = grams(words.hashes, WINDOW)
             some = path[pos]
             by = [grams(words.hashes, n)[pos] if len(pos) else some for n in PREFIXES]
@@ -117,7 +111,7 @@ def _suffixes(batches, bits: np.ndarray, depth: np.ndarray):
             sha, text = [], []
             for i, p in enumerate(parts):
                 has = edges[i + 1] > edges[i]
-                sha.append(None if has else hashlib.sha256(b" ".join(p.split())).hexdigest())
+                sha.append(_whole(p).hex())
                 text.append(p if has else None)
             rows = batch.slice(first, len(parts))
             yield pa.RecordBatch.from_arrays(
@@ -127,7 +121,7 @@ def _suffixes(batches, bits: np.ndarray, depth: np.ndarray):
                     pa.ListArray.from_arrays(pa.array(edges), pa.array(some.view(np.int64))),
                     pa.ListArray.from_arrays(pa.array(edges), pa.array((pos - words.ptr[doc]).astype(np.int32))),
                 ],
-                names=[UID, "doc_id", "n_words", "kept_sha256", "text", "prefix", "path", "pos"],
+                names=[UID, "doc_id", "n_words", "whole_sha256", "text", "prefix", "path", "pos"],
             )
 
 
@@ -151,13 +145,16 @@ def _deep_nodes(batches):
 
 
 def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of docs (_q_uid, doc_id, text): a table of all rows with n_words, and (_q_uid, starts) of the windows that repeat a smaller doc_id's."""
+    """Of docs (_q_uid, doc_id, text): a table of all rows, and (_q_uid, starts) of the windows that repeat a smaller doc_id's.
+
+    Windows that only copies of the whole text share are not among them: see with_copies().
+    """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    raw = docs.select("doc_id", "text").mapInArrow(_anchor_rows, f"kind int, key bigint, doc_id {kind}, n bigint")
+    raw = docs.select("text").mapInArrow(_anchor_rows, "kind int, key bigint, text bigint, n bigint")
     keys = written(
         raw.groupBy("kind", "key")
-        .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.sum("n").alias("n"))
+        .agg(F.min("text").alias("least"), F.max("text").alias("most"), F.sum("n").alias("n"))
         .filter((F.col("kind") == 1) | (F.col("least") < F.col("most")))
         .select("kind", "key", "n"),
         "anchors",
@@ -180,6 +177,13 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return table, found
 
 
+def with_copies(table: DataFrame) -> DataFrame:
+    """The table's short columns, and whether a smaller doc_id has the same words: then all of them repeat."""
+    rows = table.select(UID, "doc_id", "n_words", "whole_sha256")
+    least = rows.filter(F.col("n_words") >= WINDOW).groupBy("whole_sha256").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return rows.join(least, "whole_sha256", "left").withColumn("copy", F.coalesce(F.col("least") < F.col("doc_id"), F.lit(False)))
+
+
 def _cut(batches):
     for batch in batches:
         starts = batch.column("starts").to_pylist()
@@ -204,10 +208,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_uid(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     table, found = repeated(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string"
-    some = table.filter(F.col("text").isNotNull()).select(UID, "doc_id", "n_words", "text").join(found, UID, "left")
-    rest = table.filter(F.col("text").isNull()).select("doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept_sha256")
-    return rest.unionByName(some.drop(UID).mapInArrow(_cut, schema))
+    rows = with_copies(table)
+    hits = written(found.join(rows.filter("copy").select(UID), UID, "left_anti"), "repeats")
+    some = table.filter(F.col("text").isNotNull()).select(UID, "doc_id", "n_words", "text").join(hits, UID).drop(UID)
+    rest = rows.join(hits.select(UID), UID, "left_anti").select(
+        "doc_id",
+        "n_words",
+        F.when(F.col("copy"), F.col("n_words")).otherwise(F.lit(0).cast("bigint")).alias("n_removed"),
+        F.when(F.col("copy"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("whole_sha256")).alias("kept_sha256"),
+    )
+    return rest.unionByName(some.mapInArrow(_cut, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string"))
 
 
 ORACLE_SQL = r"""
