@@ -15,10 +15,11 @@ box and point bounds prune.
 Only components are asked for, so links inside a component need not be listed:
 
 1. equal sets count as one;
-2. under every key each set is verified against the key's least and greatest row, and
-   the links united;
-3. under keys where several components meet, pairs of different components that pass
-   the bounds are verified, and those links united too.  No pair that could be a link
+2. under every key each set is held against the key's least and greatest row; pairs that
+   pass the point bound are verified and the links united;
+3. under keys where several components meet, the tree finds pairs of different
+   components that pass the bounds: first only enough of them to unite all they might
+   unite, then, with those verified, all that are left.  No pair that could be a link
    between two components is left out.
 
 Scale: keys move as hashes; texts only of sets in some surviving pair, dealt to buckets
@@ -38,6 +39,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm.common import NOT_SPACE, UID, Words, chunks, drop_written, grams, read_table, with_uid, written
@@ -46,8 +48,10 @@ from quarry.llm.components import components
 N = 5
 TILE = 4096
 BOX = 32
+HEAD = 8
+COARSE = 32
 BUCKET_DOCS = 1500
-MIN_GROUPS, MAX_GROUPS = 16, 1 << 16
+MIN_GROUPS, MAX_GROUPS = 16, 1 << 20
 
 
 def shingle_sets(parts: list[bytes]) -> list[np.ndarray]:
@@ -65,14 +69,23 @@ def shingle_sets(parts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _groups(n: int) -> int:
-    return min(MAX_GROUPS, max(MIN_GROUPS, 1 << max(0, (n // 6)).bit_length()))
+def point(s: np.ndarray) -> bytes:
+    """Counts of as many groups as there are shingles, up to twice as many, in half a byte each; 15 stands for 15 or more.
+
+    A point of twice the groups folds to one of this by adding neighbours.
+    """
+    g = min(MAX_GROUPS, max(MIN_GROUPS, 1 << len(s).bit_length()))
+    c = np.minimum(15, np.bincount((s >> np.uint64(64 - (g.bit_length() - 1))).astype(np.int64), minlength=g)).astype(np.uint8)
+    return (c[0::2] | (c[1::2] << 4)).tobytes()
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    """Counts by group; a point of twice the groups folds to this one by adding neighbours."""
-    g = _groups(len(s))
-    return np.bincount((s >> np.uint64(64 - (g.bit_length() - 1))).astype(np.int64), minlength=g).astype(np.uint16)
+def _counts(packed: bytes) -> np.ndarray:
+    """A point's counts; full halves are unbounded."""
+    x = np.frombuffer(packed, np.uint8)
+    out = np.empty(2 * len(x), np.int32)
+    out[0::2], out[1::2] = x & 15, x >> 4
+    out[out == 15] = 1 << 20
+    return out
 
 
 def _sketch(batches):
@@ -87,9 +100,9 @@ def _sketch(batches):
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column(UID), rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()),
-                    pa.array([point(s).tobytes() for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(prefix))),
+                    pa.array([point(s) for s in sets], pa.binary()), pa.array([p[:HEAD].tobytes() for p in prefix], pa.binary()), pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(prefix))),
                 ],
-                names=[UID, "doc_id", "n", "key", "point", "prefix"],
+                names=[UID, "doc_id", "n", "key", "point", "head", "prefix"],
             )
 
 
@@ -98,53 +111,87 @@ def needed(a, b):
     return -((-4 * (a + b)) // 9)
 
 
-def _fold(points: np.ndarray, groups: int) -> np.ndarray:
-    return points.reshape(len(points), groups, -1).sum(axis=2) if points.shape[1] != groups else points
+def _fine(points: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The point bound of pairs: the sum of the lesser counts at the coarser of the two sizes."""
+    out = np.zeros(len(p), np.int64)
+    sizes = np.array([len(x) for x in points])
+    for g in np.unique(np.minimum(sizes[p], sizes[q])).tolist():
+        at = np.flatnonzero(np.minimum(sizes[p], sizes[q]) == g)
+        rows, back = np.unique(np.concatenate([p[at], q[at]]), return_inverse=True)
+        folded = np.stack([points[r].reshape(g, -1).sum(axis=1) for r in rows.tolist()])
+        step = max(1, 4_000_000 // g)
+        for a in range(0, len(at), step):
+            x, y = back[: len(at)][a : a + step], back[len(at) :][a : a + step]
+            out[at[a : a + step]] = np.minimum(folded[x], folded[y]).sum(axis=1, dtype=np.int64)
+    return out
 
 
-def tree_pairs(n: np.ndarray, at: np.ndarray, comp: np.ndarray, points: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows, one of left and one of right each, of different components that box and point bounds let pass.
+def tree_pairs(token: int, n: np.ndarray, at: np.ndarray, comp: np.ndarray, points: list[np.ndarray], head: np.ndarray, left: np.ndarray, right: np.ndarray):
+    """Pairs of rows, one of left and one of right each, of different components that box and point bounds let pass, and their bounds.
 
-    n: set sizes, at: the key's place in each set's hash order; rows are sorted by n.
+    n: set sizes, at: the key's place in each set's hash order, head: the sets' first
+    hashes; rows are sorted by n.  A pair that has an earlier hash in common is left to
+    that key.
     """
-    out_a, out_b = [], []
-    small = min(len(p) for p in points)
-    flat = np.stack([p.astype(np.int32).reshape(small, -1).sum(axis=1) for p in points])
+    out = [(np.empty(0, np.int64),) * 3]
+    small = min(COARSE, *map(len, points))
+    flat = np.stack([x.reshape(small, -1).sum(axis=1) for x in points])
     boxes = [(a, min(len(n), a + BOX)) for a in range(0, len(n), BOX)]
     tops = np.stack([flat[a:b].max(axis=0) for a, b in boxes])
+    earlier = head.astype(np.uint64) < np.uint64(token % 2**64)
     for k, (a, b) in enumerate(boxes):
         hi = int(np.searchsorted(n, n[b - 1] * 5 // 4, side="right"))  # no longer set can link
         last = (hi - 1) // BOX + 1
         bound = np.minimum(tops[k], tops[k:last]).sum(axis=1)
         need = needed(n[a], n[[boxes[m][0] for m in range(k, last)]])
-        for m in (k + np.flatnonzero(bound >= need)).tolist():
-            c, d = boxes[m][0], min(boxes[m][1], hi)
-            p, q = np.meshgrid(np.arange(a, b), np.arange(c, d), indexing="ij")
-            p, q = p.ravel(), q.ravel()
-            want = needed(n[p], n[q])
-            ok = (p < q) & (comp[p] != comp[q]) & (5 * n[p] >= 4 * n[q]) & (n[p] - at[p] >= want) & (n[q] - at[q] >= want)
-            ok &= (left[p] & right[q]) | (left[q] & right[p])
-            p, q, want = p[ok], q[ok], want[ok]
-            if not len(p):
-                continue
-            ok = np.minimum(flat[p], flat[q]).sum(axis=1) >= want
-            for x, y, w in zip(p[ok].tolist(), q[ok].tolist(), want[ok].tolist()):
-                u, v = points[x], points[y]
-                g = min(len(u), len(v))
-                if g == small or np.minimum(u.reshape(g, -1).sum(axis=1), v.reshape(g, -1).sum(axis=1)).sum() >= w:
-                    out_a.append(x)
-                    out_b.append(y)
-    return np.array(out_a, np.int64), np.array(out_b, np.int64)
-
-
-def _search(batches):
-    """Rows in the order (token, i, j, n): the pairs that survive under each key."""
+        ahead = k + np.flatnonzero(bound >= need)
+        if not len(ahead):
+            continue
+        cols = np.concatenate([np.arange(boxes[m][0], min(boxes[m][1], hi)) for m in ahead.tolist()])
+        p, q = np.repeat(np.arange(a, b), len(cols)), np.tile(cols, b - a)
+        want = needed(n[p], n[q])
+        ok = (p < q) & (comp[p] != comp[q]) & (5 * n[p] >= 4 * n[q]) & (n[p] - at[p] >= want) & (n[q] - at[q] >= want)
+        ok &= (left[p] & right[q]) | (left[q] & right[p])
+        p, q, want = p[ok], q[ok], want[ok]
+        ok = np.minimum(flat[p], flat[q]).sum(axis=1) >= want
+        p, q, want = p[ok], q[ok], want[ok]
+        if len(p):
+            first = ((head[p][:, :, None] == head[q][:, None, :]) & earlier[p][:, :, None]).any(axis=(1, 2))
+            p, q, want = p[~first], q[~first], want[~first]
+        if len(p):
+            bound = _fine(points, p, q)
+            ok = bound >= want
+            out.append((p[ok], q[ok], bound[ok] * 1000 // want[ok]))
+    return tuple(map(np.concatenate, zip(*out)))
+
+
+def _forest(p: np.ndarray, q: np.ndarray, bound: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Of pairs, the likeliest first, those that would unite components not united yet."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    keep = []
+    for i in np.argsort(-bound, kind="stable").tolist():
+        a, b = find(int(comp[p[i]])), find(int(comp[q[i]]))
+        if a != b:
+            root[a] = b
+            keep.append(i)
+    return np.array(keep, np.int64)
+
+
+def _search(batches, forest: bool):
+    """Rows in the order (token, i, j, n): the pairs that survive under each key, or a forest of them."""
     held: list[pa.RecordBatch] = []
-    names = ["token", "i", "j", "n", "at", "id", "comp", "tile", "point"]
+    names = ["token", "i", "j", "n", "at", "id", "comp", "tile"]
 
     def work(rows: pa.Table):
-        col = {c: np.asarray(rows.column(c).combine_chunks()) for c in names[:-1]}
-        points = rows.column("point").combine_chunks().to_pylist()
+        col = {c: np.asarray(rows.column(c).combine_chunks()) for c in names}
+        points, heads = rows.column("point").combine_chunks(), rows.column("head").combine_chunks()
         key = np.stack([col["token"], col["i"].astype(np.int64), col["j"].astype(np.int64)])
         cut = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [rows.num_rows]])
         a_out, b_out = [], []
@@ -153,8 +200,15 @@ def _search(batches):
             if b - a < 2 or (comp == comp[0]).all():
                 continue
             tile = col["tile"][a:b]
-            vectors = [np.frombuffer(p, np.uint16) for p in points[a:b]]
-            x, y = tree_pairs(col["n"][a:b], col["at"][a:b], comp, vectors, tile == col["i"][a], tile == col["j"][a])
+            vectors = [_counts(p) for p in points[a:b].to_pylist()]
+            head = np.zeros((b - a, HEAD), np.int64)
+            for r, h in enumerate(heads[a:b].to_pylist()):
+                head[r, : len(h) // 8] = np.frombuffer(h, np.int64)
+                head[r, len(h) // 8 :] = -1 - r  # equal to no other
+            x, y, bound = tree_pairs(int(col["token"][a]), col["n"][a:b], col["at"][a:b], comp, vectors, head, tile == col["i"][a], tile == col["j"][a])
+            if forest and len(x):
+                keep = _forest(x, y, bound, comp)
+                x, y = x[keep], y[keep]
             ids = col["id"][a:b]
             a_out.append(np.minimum(ids[x], ids[y]))
             b_out.append(np.maximum(ids[x], ids[y]))
@@ -190,6 +244,19 @@ def _search(batches):
             yield out
 
 
+def _passing(batches):
+    """Of rows (a, b, na, nb, pa, pb) the pairs that pass the point bound."""
+    for batch in batches:
+        na, nb = np.asarray(batch.column("na")), np.asarray(batch.column("nb"))
+        points = [_counts(p) for c in ("pa", "pb") for p in batch.column(c).to_pylist()]
+        at, m = [], len(na)
+        for k in range(0, m, 2000):
+            p = np.arange(k, min(m, k + 2000))
+            at.append(p[_fine(points, p, p + m) >= needed(na[p], nb[p])])
+        keep = pa.array(np.concatenate(at)) if at else pa.array([], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
+
+
 def _linked(docs: pa.Table, pairs: pa.Table) -> pa.Table:
     """The links of a bucket that unite it: a pair whose sides are united already is not verified again."""
     ids = docs.column("id").to_pylist() if docs.num_rows else []
@@ -233,7 +300,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     """Per row of docs (_q_uid, doc_id, text): _q_uid, doc_id, n_shingles and root, the least _q_uid of its component."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketch = written(
-        docs.select(UID, "doc_id", "text").mapInArrow(_sketch, f"{UID} bigint, doc_id {kind}, n bigint, key binary, point binary, prefix array<bigint>"), "sketches"
+        docs.select(UID, "doc_id", "text").mapInArrow(_sketch, f"{UID} bigint, doc_id {kind}, n bigint, key binary, point binary, head binary, prefix array<bigint>"), "sketches"
     )
     sets = sketch.filter("n > 0").groupBy("key").agg(F.min(UID).alias("id"), F.count("*").alias("m")).filter("m > 1").select("key", "id")
     copies = written(sketch.filter("n > 0").select("key", UID).join(sets, "key").select(UID, "id"), "copies")
@@ -243,35 +310,39 @@ def near_classes(docs: DataFrame) -> DataFrame:
     keys = one.select("id", "n", F.posexplode("prefix").alias("at", "token"))
     ends = keys.groupBy("token").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("m")).filter("m > 1")
     shared = written(keys.join(ends, "token"), "keys")
-    size = one.select("id", "n")
-    star = [
-        shared.filter(F.col("id") != F.col(end)).select(F.least("id", end).alias("a"), F.greatest("id", end).alias("b")) for end in ("first", "last")
-    ]
+    size = one.select("id", "n", "point")
+    star = [shared.filter(F.col("id") != F.col(end)).select(F.least("id", end).alias("a"), F.greatest("id", end).alias("b")) for end in ("first", "last")]
     stars = star[0].unionByName(star[1]).distinct()
-    stars = stars.join(size.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    stars = written(stars.filter((5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na"))).select("a", "b"), "pairs")
+    for c in "ab":
+        stars = stars.join(size.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("point").alias(f"p{c}")), c)
+    stars = stars.filter((5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na")))
+    stars = written(stars.mapInArrow(_passing, "a bigint, b bigint"), "pairs")
     links = written(verified(stars, docs), "links")
-    roots = components(links)
-
-    labelled = shared.select("token", "id", "n", "at", "m").join(roots.withColumnRenamed("u", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id"))
-    labelled = written(labelled.select("token", "id", "n", "at", "m", "comp"), "labelled")
-    mixed = labelled.filter("m > 2").groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).filter("x < y").select("token", "k")
-    tiles = F.ceil(F.col("k") / TILE).cast("int")
-    rows = (
-        labelled.join(mixed, "token")
-        .join(one.select("id", "point"), "id")
-        .withColumn("tiles", tiles)
-        .withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "n", "at", "id", "comp", "tile", "point")
-    )
-    found = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n").mapInArrow(_search, "a bigint, b bigint").distinct()
-    more = written(found.join(stars, ["a", "b"], "left_anti"), "pairs")
-    links2 = written(verified(more, docs), "links")
-    every = links.unionByName(links2).unionByName(copies.filter(F.col(UID) != F.col("id")).select(F.col(UID).alias("u"), F.col("id").alias("v")))
-    final = components(every)
-    for t in (shared, labelled, stars, more):
-        drop_written(t)
+    tested, payload = stars, one.select("id", "point", "head")
+    for forest in (True, False):
+        roots = components(links).withColumnRenamed("u", "id")
+        labelled = shared.filter("m > 2").select("token", "id", "n", "at").join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+        # a row matters if its neighbour by size under the key could link, and the key has several components
+        by_size, whole = W.partitionBy("token").orderBy("n", "id"), W.partitionBy("token")
+        near = (5 * F.col("n") >= 4 * F.lead("n").over(by_size)) | (5 * F.lag("n").over(by_size) >= 4 * F.col("n"))
+        mixed = labelled.withColumn("near", near).withColumn("several", F.min("comp").over(whole) < F.max("comp").over(whole)).filter("near and several")
+        mixed = written(mixed.select("token", "id", "n", "at", "comp"), "mixed")
+        tiles = mixed.groupBy("token").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+        rows = (
+            mixed.join(tiles, "token")
+            .join(payload, "id")
+            .withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+            .select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "n", "at", "id", "comp", "tile", "point", "head")
+        )
+        ordered = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n")
+        found = ordered.mapInArrow(lambda it, f=forest: _search(it, f), "a bigint, b bigint").distinct()
+        more = written(found.join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = written(links.unionByName(verified(more, docs)), "links")
+        drop_written(mixed)
+        tested = tested.unionByName(more)
+    drop_written(shared)
+    final = components(links.unionByName(copies.filter(F.col(UID) != F.col("id")).select(F.col(UID).alias("u"), F.col("id").alias("v"))))
     return sketch.select(UID, "doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("u", UID), UID, "left").withColumn("root", F.coalesce("root", UID))
 
 
