@@ -119,9 +119,8 @@ def replacements(items: DataFrame, one: DataFrame, limit: int = 12) -> DataFrame
 
 def word_grams(text: Column, n: int) -> Column:
     """Distinct runs of n characters of a text without its white space."""
-    chars = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "\\s+", ""), "")
-    many = F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))
-    return F.when(F.size(chars) >= n, F.array_distinct(many)).otherwise(F.array().cast("array<string>"))
+    dense = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "\\s+", "")
+    return F.array_distinct(F.regexp_extract_all(dense, F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
 
 
 def shortlist(queries: DataFrame, targets: DataFrame, limit: int = 5, n: int = 4) -> DataFrame:

@@ -164,7 +164,7 @@ def replacement_candidates(spark, d):
     return search.replacements(rows, rows.filter("key = 'q5'")).select("key", "score")
 
 
-_GRAMS = "list_distinct([substr(s, i, 8) for i in range(1, length(s) - 6)])"
+_GRAMS = "list_distinct(flatten([regexp_extract_all(substr(s, i), '(?s).{8}') for i in range(1, 9)]))"
 
 
 @query(
