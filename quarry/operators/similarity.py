@@ -103,7 +103,7 @@ def dice(pairs: DataFrame, a: str, b: str, key: list[str]) -> DataFrame:
         two = F.when(F.length(s) >= 2, F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.array_join(F.slice(chars, i, F.lit(2)), ""))).otherwise(F.array().cast("array<string>"))
         return pairs.select(*key, F.explode(two).alias("gram")).groupBy(*key, "gram").agg(F.count("*").alias(side))
 
-    both = bag(a, "x").join(bag(b, "y"), [*key, "gram"]).groupBy(*key).agg(F.sum(F.least("x", "y")).alias("common"))
+    both = bag(a, "_n").join(bag(b, "_m"), [*key, "gram"]).groupBy(*key).agg(F.sum(F.least("_n", "_m")).alias("common"))
     size = F.greatest(F.length(a) - 1, F.lit(0)) + F.greatest(F.length(b) - 1, F.lit(0))
     return pairs.join(both, key, "left").select(*key, F.when(size > 0, 2 * F.coalesce("common", F.lit(0)) / size).otherwise(F.lit(0.0)).alias("dice"))
 

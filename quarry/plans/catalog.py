@@ -332,7 +332,7 @@ def last_wins_first_place(spark, d):
 
 
 _PAIR = """, o AS (SELECT key, CASE WHEN seq % 3 = 0 THEN '' ELSE answer END AS answer, CASE WHEN seq % 2 = 0 THEN '' ELSE solution END AS solution, CASE WHEN seq % 4 = 0 THEN '' ELSE difficulty END AS difficulty, points[1:1] AS points FROM full_items),
-n AS (SELECT key, CASE WHEN seq % 5 = 0 THEN '' ELSE upper(answer) END AS answer, solution, difficulty, points FROM full_items WHERE seq % 2 = 0)
+n AS (SELECT key, CASE WHEN seq % 5 = 0 THEN '' ELSE answer || '!' END AS answer, solution, difficulty, points FROM full_items WHERE seq % 2 = 0)
 """
 
 
@@ -340,7 +340,7 @@ def _halves(spark, d):
     f = full(spark, d)
     without = lambda m, c: F.when(F.col("seq") % m == 0, "").otherwise(F.col(c)).alias(c)
     old = f.select("key", without(3, "answer"), without(2, "solution"), without(4, "difficulty"), F.slice("points", 1, 1).alias("points"), "stars")
-    new = f.filter("seq % 2 = 0").select("key", F.when(F.col("seq") % 5 == 0, "").otherwise(F.upper("answer")).alias("answer"), "solution", "difficulty", "points")
+    new = f.filter("seq % 2 = 0").select("key", F.when(F.col("seq") % 5 == 0, "").otherwise(F.concat("answer", F.lit("!"))).alias("answer"), "solution", "difficulty", "points")
     return old, new
 
 

@@ -110,7 +110,7 @@ def rewrite_keeps_clean_text(spark, d):
     out = rows
     for r in rules.RULES:
         if r.name not in skip:
-            out = out.withColumns(r.rewrite())
+            out = out.withColumns(r.rewrite(F.col))
     return out.select("doc_id", F.col("solution").alias("text"))
 
 
