@@ -60,7 +60,8 @@ def split_page(pages: DataFrame, window: int = 2) -> DataFrame:
 def expand_sections(sections: DataFrame) -> DataFrame:
     """(doc, ord, type, n) to (doc, number, type): the numbers that each section's count covers, one section after the other."""
     before = F.coalesce(F.sum("n").over(W.partitionBy("doc").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return sections.filter("n > 0").select("doc", "type", F.explode(F.sequence(before + 1, before + F.col("n"))).alias("number"))
+    placed = sections.withColumn("_before", before).filter("n > 0")
+    return placed.select("doc", "type", F.explode(F.sequence(F.col("_before") + 1, F.col("_before") + F.col("n"))).alias("number"))
 
 
 def fold_pages(parts: DataFrame) -> DataFrame:

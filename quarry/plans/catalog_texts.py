@@ -122,7 +122,7 @@ def rewrite_fired(spark, d):
     return fired.groupBy("rule").agg(F.count("*").alias("n"))
 
 
-_LINES = """WITH l AS (SELECT conv_id AS doc, turn AS page, unnest(string_split(text, '. ')) AS t, generate_subscripts(string_split(text, '. '), 1) AS i FROM (SELECT conv_id, turn, string_agg(text, '. ' ORDER BY text) AS text FROM conversations GROUP BY conv_id, turn)),
+_LINES = """WITH l AS (SELECT conv_id AS doc, turn AS page, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM (SELECT conv_id, turn, replace(string_agg(text, '. ' ORDER BY text), '. ', chr(10)) AS text FROM conversations GROUP BY conv_id, turn)),
 n AS (SELECT doc, page, row_number() OVER (PARTITION BY doc ORDER BY page, i) AS line_no, trim(t) AS text FROM l WHERE trim(t) <> '')
 """
 
@@ -152,7 +152,7 @@ def anchored_blocks(spark, d):
 
 
 @query(
-    """WITH s AS (SELECT conv_id AS doc, turn AS ord, role AS type, min(length(text) % 5) AS n FROM conversations GROUP BY ALL), b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
+    """WITH s AS (SELECT conv_id AS doc, turn AS ord, role AS type, min(length(text) % 5) AS n FROM conversations GROUP BY ALL), b AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY doc ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM s)
 SELECT doc, type, CAST(unnest(range(before + 1, before + n + 1)) AS BIGINT) AS number FROM b WHERE n > 0"""
 )
 def section_numbers(spark, d):

@@ -81,9 +81,10 @@ def to_markdown(items: DataFrame, per: int = 100) -> DataFrame:
 
 def from_markdown(sections: DataFrame, value: str = "value") -> DataFrame:
     """key, stem, answer, solution from Markdown sections; joined by key, never by order."""
-    part = lambda i: F.trim(F.coalesce(F.get(F.split(value, "\n\n### (?:answer|solution)\n\n", -1), F.lit(i)), F.lit("")))
+    whole = lambda i: F.coalesce(F.get(F.split(value, "\n\n### (?:answer|solution)\n\n", -1), F.lit(i)), F.lit(""))
+    part = lambda i: F.trim(whole(i))
     head = F.regexp_extract(F.col(value), r"^## (\S+)", 1)
-    return sections.select(head.alias("key"), F.trim(F.regexp_replace(part(0), r"^## \S+", "")).alias("stem"), part(1).alias("answer"), part(2).alias("solution"))
+    return sections.select(head.alias("key"), F.trim(F.regexp_replace(whole(0), r"^## \S+\n\n", "")).alias("stem"), part(1).alias("answer"), part(2).alias("solution"))
 
 
 def collect(library: DataFrame, returned: DataFrame, skip_bad: bool = False) -> DataFrame:
