@@ -19,8 +19,9 @@ Only components are asked for, so links inside a component need not be listed:
    pass the point bound are verified and the links united;
 3. under keys where several components meet, the tree finds pairs of different
    components that pass the bounds: first only enough of them to unite all they might
-   unite, then, with those verified, all that are left.  No pair that could be a link
-   between two components is left out.
+   unite, then, with those verified, all that are left under keys where some were.  A
+   key's least and greatest row have met all others in step 2 and take no part.  No pair
+   that could be a link between two components is left out.
 
 Scale: keys move as hashes; texts only of sets in some surviving pair, dealt to buckets
 of about ``BUCKET_DOCS`` texts.  A key that many rows share is worked in tiles of
@@ -185,7 +186,10 @@ def _forest(p: np.ndarray, q: np.ndarray, bound: np.ndarray, comp: np.ndarray) -
 
 
 def _search(batches, forest: bool):
-    """Rows in the order (token, i, j, n): the pairs that survive under each key, or a forest of them."""
+    """Rows in the order (token, i, j, n): the pairs that survive under each key.
+
+    forest: a forest of them only, and (token, -1) for each key with more of them.
+    """
     held: list[pa.RecordBatch] = []
     names = ["token", "i", "j", "n", "at", "id", "comp", "tile"]
 
@@ -206,10 +210,13 @@ def _search(batches, forest: bool):
                 head[r, : len(h) // 8] = np.frombuffer(h, np.int64)
                 head[r, len(h) // 8 :] = -1 - r  # equal to no other
             x, y, bound = tree_pairs(int(col["token"][a]), col["n"][a:b], col["at"][a:b], comp, vectors, head, tile == col["i"][a], tile == col["j"][a])
+            ids = col["id"][a:b]
             if forest and len(x):
                 keep = _forest(x, y, bound, comp)
+                if len(keep) < len(x):
+                    a_out.append(col["token"][a : a + 1])
+                    b_out.append(np.array([-1]))
                 x, y = x[keep], y[keep]
-            ids = col["id"][a:b]
             a_out.append(np.minimum(ids[x], ids[y]))
             b_out.append(np.maximum(ids[x], ids[y]))
         if a_out:
@@ -318,10 +325,12 @@ def near_classes(docs: DataFrame) -> DataFrame:
     stars = stars.filter((5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na")))
     stars = written(stars.mapInArrow(_passing, "a bigint, b bigint"), "pairs")
     links = written(verified(stars, docs), "links")
-    tested, payload = stars, one.select("id", "point", "head")
+    tested, payload, open_keys = stars, one.select("id", "point", "head"), None
+    inner = shared.filter("m > 3 and id <> first and id <> last").select("token", "id", "n", "at")
     for forest in (True, False):
         roots = components(links).withColumnRenamed("u", "id")
-        labelled = shared.filter("m > 2").select("token", "id", "n", "at").join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+        rest = inner if open_keys is None else inner.join(open_keys, "token", "left_semi")
+        labelled = rest.join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
         # a row matters if its neighbour by size under the key could link, and the key has several components
         by_size, whole = W.partitionBy("token").orderBy("n", "id"), W.partitionBy("token")
         near = (5 * F.col("n") >= 4 * F.lead("n").over(by_size)) | (5 * F.lag("n").over(by_size) >= 4 * F.col("n"))
@@ -336,8 +345,9 @@ def near_classes(docs: DataFrame) -> DataFrame:
             .select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "n", "at", "id", "comp", "tile", "point", "head")
         )
         ordered = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n")
-        found = ordered.mapInArrow(lambda it, f=forest: _search(it, f), "a bigint, b bigint").distinct()
-        more = written(found.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = written(ordered.mapInArrow(lambda it, f=forest: _search(it, f), "a bigint, b bigint").distinct(), "found")
+        open_keys = found.filter("b < 0").select(F.col("a").alias("token"))
+        more = written(found.filter("b >= 0").join(tested, ["a", "b"], "left_anti"), "pairs")
         links = written(links.unionByName(verified(more, docs)), "links")
         drop_written(mixed)
         tested = tested.unionByName(more)
