@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Internal columns start so; a table's own columns may have any other name.
 UID = "_q_uid"
+#: Spark's setting to delete a query's shuffle files when it ends, not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of text that one vectorised step handles.
 CHUNK_BYTES = 2_000_000
 
@@ -40,10 +42,15 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 
 
 def written(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
-    """df as a table in the shared folder.  Cuts lineage: a lost executor costs no recomputation of df."""
-    path = shared_path(df.sparkSession, tag)
-    df.write.option("compression", compression).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder.  Cuts lineage: a lost executor costs no recomputation of df, and its shuffle files go."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, tag)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._q_path = path
     return out
 

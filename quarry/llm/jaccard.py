@@ -346,10 +346,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
         )
         ordered = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n")
         found = written(ordered.mapInArrow(lambda it, f=forest: _search(it, f), "a bigint, b bigint").distinct(), "found")
-        open_keys = found.filter("b < 0").select(F.col("a").alias("token"))
+        open_keys = written(found.filter("b < 0").select(F.col("a").alias("token")), "open")
         more = written(found.filter("b >= 0").join(tested, ["a", "b"], "left_anti"), "pairs")
         links = written(links.unionByName(verified(more, docs)), "links")
         drop_written(mixed)
+        drop_written(found)
         tested = tested.unionByName(more)
     drop_written(shared)
     final = components(links.unionByName(copies.filter(F.col(UID) != F.col("id")).select(F.col(UID).alias("u"), F.col("id").alias("v"))))
