@@ -16,7 +16,7 @@ Only components are asked for, so links inside a component need not be listed:
 
 1. equal sets count as one;
 2. under every key each set is held against the key's least and greatest row; pairs that
-   pass the point bound are verified and the links united;
+   pass the size, position and point bounds are verified and the links united;
 3. under keys where several components meet, the tree finds pairs of different
    components that pass the bounds: first only enough of them to unite all they might
    unite, then, with those verified, all that are left under keys where some were.  A
@@ -315,14 +315,21 @@ def near_classes(docs: DataFrame) -> DataFrame:
     one = sketch.filter("n > 0").join(again, UID, "left_anti").withColumnRenamed(UID, "id")
 
     keys = one.select("id", "n", F.posexplode("prefix").alias("at", "token"))
-    ends = keys.groupBy("token").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("m")).filter("m > 1")
+    row = F.struct("id", "n", "at")
+    ends = keys.groupBy("token").agg(F.min(row).alias("least"), F.max(row).alias("most"), F.count("*").alias("m")).filter("m > 1")
+    ends = ends.select("token", "m", *[F.col(f"{e}.{c}").alias(f"{side}{x}") for e, side in (("least", "first"), ("most", "last")) for c, x in (("id", ""), ("n", "_n"), ("at", "_at"))])
     shared = written(keys.join(ends, "token"), "keys")
-    size = one.select("id", "n", "point")
-    star = [shared.filter(F.col("id") != F.col(end)).select(F.least("id", end).alias("a"), F.greatest("id", end).alias("b")) for end in ("first", "last")]
+    star = []
+    for end in ("first", "last"):
+        # by size, and by what is left behind the key: a pair's first common hash is a key under which its links pass
+        m, at = F.col(f"{end}_n"), F.col(f"{end}_at")
+        may = (5 * F.least("n", m) >= 4 * F.greatest("n", m)) & (9 * (F.col("n") - F.col("at")) >= 4 * (F.col("n") + m)) & (9 * (m - at) >= 4 * (F.col("n") + m))
+        pair = F.when(F.col("id") < F.col(end), F.struct(F.col("id").alias("a"), F.col(end).alias("b"), F.col("n").alias("na"), m.alias("nb")))
+        pair = pair.otherwise(F.struct(F.col(end).alias("a"), F.col("id").alias("b"), m.alias("na"), F.col("n").alias("nb")))
+        star.append(shared.filter(F.col("id") != F.col(end)).filter(may).select(pair.alias("pair")).select("pair.*"))
     stars = star[0].unionByName(star[1]).distinct()
     for c in "ab":
-        stars = stars.join(size.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("point").alias(f"p{c}")), c)
-    stars = stars.filter((5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na")))
+        stars = stars.join(one.select(F.col("id").alias(c), F.col("point").alias(f"p{c}")), c)
     stars = written(stars.mapInArrow(_passing, "a bigint, b bigint"), "pairs")
     links = written(verified(stars, docs), "links")
     tested, payload, open_keys = stars, one.select("id", "point", "head"), None
