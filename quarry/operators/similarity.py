@@ -27,11 +27,29 @@ CRITICAL_SYMBOLS = r"\cup \cap \subset \subseteq \supseteq \supset \varnothing \
 CRITICAL = "|".join(CRITICAL_WORDS + [re.escape(s) for s in CRITICAL_SYMBOLS])
 
 
+def _nested(left: str, right: str, depth: int = 6) -> str:
+    """A pattern of a bracketed part with brackets in it, or of all that follows if nothing closes it."""
+    inner = ""
+    for _ in range(depth):
+        inner = rf"{left}(?:[^{left}{right}\\]++|\\[\s\S]{'|' + inner if inner else ''})*+{right}"
+    return rf"{inner}|{left}[\s\S]*+"
+
+
+# Commands that say how a text looks, and what stands for several of one meaning; in the order in which they are replaced.
+LAYOUT = r"\left \right \big \Big \bigg \Bigg \quad \qquad \, \; \!".split() + ["\\ "] + r"\nolimits \limits \displaystyle \textstyle".split()
+UNIFIED = {r"\dfrac": r"\frac", r"\tfrac": r"\frac", r"\cfrac": r"\frac", r"\leqslant": r"\le", r"\geqslant": r"\ge", r"\cdot": "", r"\times": "", r"\div": "", r"\varnothing": r"\emptyset"}
+UNIFIED |= dict.fromkeys(r"\symbfit \symbf \boldsymbol \mathbf \mathrm \text \mbox".split(), "")
+SLOT = rf"\\(?:paren|fillin)(?![A-Za-z])[ \t\n]*+(?:{_nested(chr(92) + '[', chr(92) + ']')}|{_nested(chr(92) + '{', chr(92) + '}')})?"
+
+
 def normalised(text: Column) -> Column:
-    """A text without white space, dollar signs, braces and punctuation, in lower case; blanks become one mark."""
-    s = F.regexp_replace(F.coalesce(text, F.lit("")), "(?m)%.*$", "")
-    s = F.regexp_replace(s, r"\\(?:fillin|paren)(?:\[[^\]]*\])?(?:\{\})?|（\s*(?:\\quad)?\s*）|_{2,}", "_")
-    s = F.regexp_replace(s, r"\\(?:left|right|displaystyle|quad|qquad|,|;|!|:)", "")
+    """A text without comments, layout commands, white space, dollar signs, braces and punctuation, in lower case; blanks and what they hold become one mark."""
+    s = F.regexp_replace(F.coalesce(text, F.lit("")), SLOT, "_")
+    s = F.regexp_replace(s, r"(?<!\\)%[^\n]*", "")
+    s = F.regexp_replace(s, r"[（(]\s*\\quad\s*[）)]", "_")
+    for a, b in [*((c, "") for c in LAYOUT), *UNIFIED.items()]:
+        s = F.replace(s, F.lit(a), F.lit(b))
+    s = F.regexp_replace(s, r"（\s*）|_{2,}|\\underline\{\s*\}", "_")
     return F.lower(F.regexp_replace(s, r"[\s$\{\}，。、；：？！,.;:?!（）()]|\\\\", ""))
 
 

@@ -114,6 +114,13 @@ def rewrite_keeps_clean_text(spark, d):
     return out.select("doc_id", F.col("solution").alias("text"))
 
 
+@query()
+def rewritten_texts(spark, d):
+    """Every document after all rules, field by field; the fold has no SQL form."""
+    docs = read(spark, d, "documents").select("doc_id", F.col("text").alias("stem"), F.col("text").alias("solution"), F.lit("").alias("answer"), F.col("source").alias("source_label"), F.lit("detailed_answer").alias("type"))
+    return rules.normalise(docs, (rules.ENTRY, rules.MIGRATE)).select("doc_id", *rules.FIELDS, "fired")
+
+
 @query()
 def rewrite_fired(spark, d):
     """Which rules change how many documents."""
@@ -204,3 +211,9 @@ def hourly_activity(spark, d):
 @query("SELECT doc_id, sha256(lower(regexp_replace(text, '[\\s$\\{\\}，。、；：？！,.;:?!（）()]', '', 'g'))) AS fingerprint FROM documents WHERE NOT regexp_matches(text, '[%\\\\_]')")
 def normalised_fingerprint(spark, d):
     return read(spark, d, "documents").filter(~F.col("text").rlike("[%\\\\_]")).select("doc_id", similarity.fingerprint(F.col("text")).alias("fingerprint"))
+
+
+@query()
+def all_fingerprints(spark, d):
+    """The fingerprint of every document; slots and comments have no SQL form."""
+    return read(spark, d, "documents").select("doc_id", similarity.fingerprint(F.col("text")).alias("fingerprint"))
