@@ -1,18 +1,17 @@
-"""Near-duplicate embeddings by a forest of random-projection trees.
+"""Near-duplicate embeddings, exactly: pivots, cells and the triangle inequality.
 
-Each tree splits the vectors by random directions at the median of a sample; vectors
-near a split go to both sides (spill).  Pairs are compared within leaves, in double
-precision, and those of cosine ``SIMILARITY`` or more are links.  A pair that several
-trees or leaves bring together counts in the first only.  Links are united to
-components.
+The vectors of a label that is larger than ``LEAF`` are dealt to the nearest of some of
+them, its pivots.  Two vectors of cosine ``SIMILARITY`` or more are near, so each lies
+near the plane between the pivots of both; a vector is compared with its own cell and
+with those cells whose plane is that near, and no other cell can hold a link.  Vectors
+are compared in double precision.  Links are united to components.
 
-The forest is fitted on ``SAMPLE`` vectors at most, in hash order; every row is indexed.
-
-Scale: equal vectors of a label are first collapsed to one with a count.  Leaves are
-tasks of their own; one with more than ``TILE`` vectors is worked in pairs of tiles, so
-no task holds more than two tiles and no pair of a leaf is left out.  A leaf returns a
-row per vector that has links - their number and the least vector of its local
-component - never the pairs.
+Scale: equal vectors of a label are first collapsed to one with a count.  A cell with
+more than ``TILE`` vectors is cut into tiles, and pairs of tiles are tasks of their own,
+so no task holds more than two tiles and no pair is left out.  Where planes tell nothing
+apart - vectors without clusters, or one group of near ones - a label's work grows with
+the square of its size.  A pair of tiles returns a row per vector that has links - their
+number and the least vector of its local component - never the pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, or have a null label, link with nothing and are their own component; only
@@ -32,52 +31,11 @@ from quarry.llm.common import UID, read_table, with_uid, written
 from quarry.llm.components import components
 
 SIMILARITY = 0.93
-TREES = 10
-SPILL = 0.12
-LEAF = 320
-SAMPLE = 20_000
-MAX_DEPTH = 10
-TILE = 2048
-
-
-class Forest:
-    """Directions and cuts of TREES complete binary trees; a cut is (low, high): between them both sides take a vector."""
-
-    def __init__(self, sample: np.ndarray, depth: int, seed: int = 3):
-        rng = np.random.default_rng(seed)
-        self.depth, self.width = depth, sample.shape[1]
-        self.directions = rng.standard_normal((TREES, 2**depth, self.width)).astype(np.float32)
-        self.low = np.zeros((TREES, 2**depth), np.float32)
-        self.high = np.zeros((TREES, 2**depth), np.float32)
-        for t in range(TREES):
-            nodes = {1: np.arange(len(sample))}
-            for node in range(1, 2**depth):
-                rows = nodes.pop(node, np.empty(0, int))
-                if len(rows) < 8:
-                    rows = np.arange(len(sample))
-                p = sample[rows] @ self.directions[t, node]
-                self.low[t, node], cut, self.high[t, node] = np.quantile(p, [0.5 - SPILL, 0.5, 0.5 + SPILL])
-                nodes[2 * node], nodes[2 * node + 1] = rows[p <= cut], rows[p > cut]
-
-    def leaves(self, x: np.ndarray, depths: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(tree, row, leaf) for unit vectors x; rows stop at their own depth."""
-        out = []
-        for t in range(TREES):
-            rows, node = np.arange(len(x)), np.ones(len(x), int)
-            done_rows, done_node = [], []
-            for level in range(self.depth + 1):
-                stop = depths[rows] <= level
-                done_rows.append(rows[stop])
-                done_node.append(node[stop] - (1 << level))
-                rows, node = rows[~stop], node[~stop]
-                if not len(rows):
-                    break
-                p = np.einsum("ij,ij->i", x[rows], self.directions[t, node])
-                left, right = p <= self.high[t, node], p >= self.low[t, node]
-                right |= ~left
-                rows, node = np.concatenate([rows[left], rows[right]]), np.concatenate([2 * node[left], 2 * node[right] + 1])
-            out.append((t, np.concatenate(done_rows), np.concatenate(done_node)))
-        return out
+LEAF = 2048  # mean vectors of a cell
+TILE = 4096
+PIVOTS = 20_000  # of all labels; beyond it cells grow
+#: No vectors that link are farther apart; with room for rounding.
+NEAR = float(np.sqrt(2 - 2 * SIMILARITY)) + 1e-6
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -91,85 +49,73 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, width)
 
 
-_PLACED = "tree int, leaf int, label string, width int, id bigint, n bigint, v array<double>, seen array<bigint>"
+_PLACED = "label string, v array<double>, id bigint, n bigint, width int, home int, near array<int>"
 
 
-def _place(batches, forest: Forest | None, depth_of: dict[str, int]):
-    """A row for each leaf that a vector is in; seen: its leaves in every tree as bits."""
-    words = max(1, (2**forest.depth + 63) // 64) if forest else 1
-    names = ["tree", "leaf", "label", "width", "id", "n", "v", "seen"]
+def _place(batches, pivots: dict[tuple[str, int], np.ndarray]):
+    """Each vector with its cell and the cells that can hold vectors it links with."""
     for batch in batches:
-        widths = np.asarray(batch.column("width"))
-        for width in np.unique(widths).tolist():
-            part = batch.filter(pa.array(widths == width))
-            for a in range(0, part.num_rows, 1000):
-                some = part.slice(a, 1000)
-                labels = some.column("label").to_pylist()
-                x = _matrix(some.column("v"), width).astype(float)
-                if forest and width == forest.width:
-                    found = forest.leaves(_unit(x).astype(np.float32), np.array([depth_of.get(f"{k}", 0) for k in labels]))
-                else:
-                    found = [(0, np.arange(len(x)), np.zeros(len(x), int))]
-                seen = np.zeros((len(x), TREES, words), np.uint64)
-                for t, row, leaf in found:
-                    np.bitwise_or.at(seen, (row, t, leaf >> 6), np.uint64(1) << (leaf & 63).astype(np.uint64))
-                seen = seen.reshape(len(x), -1).view(np.int64)
-                for t, row, leaf in found:
-                    take = pa.array(row)
-                    at = pa.array(np.arange(len(row) + 1, dtype=np.int32) * width)
-                    bits = pa.array(np.arange(len(row) + 1, dtype=np.int32) * seen.shape[1])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(row), t, np.int32)), pa.array(leaf.astype(np.int32)), some.column("label").take(take),
-                            pa.array(np.full(len(row), width, np.int32)), some.column("id").take(take), some.column("n").take(take),
-                            pa.ListArray.from_arrays(at, pa.array(x[row].ravel())), pa.ListArray.from_arrays(bits, pa.array(seen[row].ravel())),
-                        ],
-                        names=names,
-                    )
+        groups: dict[tuple[str, int], list[int]] = {}
+        for at, key in enumerate(zip(batch.column("label").to_pylist(), batch.column("width").to_pylist())):
+            groups.setdefault(key if key in pivots else ("", 0), []).append(at)
+        for key, at in groups.items():
+            some = batch.take(pa.array(at))
+            if key not in pivots:
+                home, edges, near = np.zeros(len(at), np.int32), np.arange(len(at) + 1, dtype=np.int32), np.zeros(len(at), np.int32)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(home), pa.ListArray.from_arrays(pa.array(edges), pa.array(near))], names=[*some.schema.names, "home", "near"])
+                continue
+            p = pivots[key]
+            apart = np.sqrt(np.maximum(0.0, 2 - 2 * (p @ p.T)))
+            step = max(1, (1 << 21) // len(p))
+            for a in range(0, len(at), step):
+                part = some.slice(a, step)
+                close = _unit(_matrix(part.column("v"), key[1]).astype(float)) @ p.T
+                home = close.argmax(axis=1)
+                row, near = np.nonzero(close.max(axis=1)[:, None] - close <= NEAR * apart[home] + 1e-6)
+                edges = np.searchsorted(row, np.arange(len(home) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(home.astype(np.int32)), pa.ListArray.from_arrays(pa.array(edges), pa.array(near.astype(np.int32)))], names=[*part.schema.names, "home", "near"]
+                )
 
 
 _LINKED = "id bigint, n_links bigint, least bigint"
 
 
+def _unite(least: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+    """Joins the components of p and q; least holds each vector's least one."""
+    while True:
+        a, b = least[p], least[q]
+        other = a != b
+        if not other.any():
+            return
+        p, q, a, b = p[other], q[other], a[other], b[other]
+        np.minimum.at(least, np.maximum(a, b), np.minimum(a, b))
+        while (least[least] != least).any():
+            least[:] = least[least]
+
+
 def _compare(table: pa.Table) -> pa.Table:
-    """A leaf, or two of its tiles: links not counted elsewhere, and the local components."""
-    width, tree, leaf = (table.column(c)[0].as_py() for c in ("width", "tree", "leaf"))
+    """A tile, or two of them: the links of its vectors and the local components."""
+    width = table.column("width")[0].as_py()
     x = _unit(_matrix(table.column("v"), width).astype(float))
-    ids, n, tile = (np.asarray(table.column(c)) for c in ("id", "n", "tile"))
-    seen = np.stack([np.asarray(r) for r in table.column("seen").to_numpy()]).view(np.uint64).reshape(len(x), TREES, -1)
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    ids, n = (np.asarray(table.column(c)) for c in ("id", "n"))
+    first = np.asarray(table.column("first"))
+    alone = table.column("i")[0].as_py() == table.column("j")[0].as_py()
     order = np.argsort(ids)
-    x, ids, n, tile, seen = x[order], ids[order], n[order], tile[order], seen[order]
-    rows = np.flatnonzero(tile == i)
-    cols = np.flatnonzero(tile == j)
+    x, ids, n, first = x[order], ids[order], n[order], first[order]
+    rows = np.flatnonzero(first)
+    cols = rows if alone else np.flatnonzero(~first)
     links, least = np.zeros(len(x), np.int64), np.arange(len(x))
-    pairs_a, pairs_b = [], []
     for a in range(0, len(rows), 256):
         r = rows[a : a + 256]
         p, q = np.nonzero(x[r] @ x[cols].T >= SIMILARITY)
         p, q = r[p], cols[q]
-        ok = p < q if i == j else p != q
-        p, q = p[ok], q[ok]
-        pairs_a.append(p.astype(np.int32))
-        pairs_b.append(q.astype(np.int32))
-        fresh = np.ones(len(p), bool)
-        for t in range(tree):
-            fresh &= ~(seen[p, t] & seen[q, t]).any(axis=1)
-        both = seen[p, tree] & seen[q, tree]
-        word, bit = leaf >> 6, np.uint64(leaf & 63)
-        fresh &= ~both[:, :word].any(axis=1) & (both[:, word] & ((np.uint64(1) << bit) - np.uint64(1)) == 0)
-        np.add.at(links, p[fresh], n[q[fresh]])
-        np.add.at(links, q[fresh], n[p[fresh]])
-    p, q = np.concatenate(pairs_a), np.concatenate(pairs_b)
-    while len(p):  # least vector of each local component
-        now = least.copy()
-        np.minimum.at(now, p, least[q])
-        np.minimum.at(now, q, least[p])
-        now = now[now]
-        if (now == least).all():
-            break
-        least = now
-    got = np.flatnonzero((links > 0) | (least != np.arange(len(x))) | np.isin(np.arange(len(x)), least[least != np.arange(len(x))]))
+        if alone:
+            p, q = p[p < q], q[p < q]
+        np.add.at(links, p, n[q])
+        np.add.at(links, q, n[p])
+        _unite(least, p, q)
+    got = np.flatnonzero(links)
     return pa.table({"id": pa.array(ids[got]), "n_links": pa.array(links[got]), "least": pa.array(ids[least[got]])})
 
 
@@ -184,32 +130,27 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     classes = written(
         rows.filter(usable).groupBy("label", "v").agg(F.min(UID).alias("id"), F.count("*").alias("n")).withColumn("width", F.size("v")), "vectors"
     )
-    widths = classes.groupBy("width").count().orderBy(F.desc("count"), "width").limit(1).collect()
-    sizes = classes.groupBy("label").count()
-    forest, depth_of = None, {}
-    if widths:
-        width, total = widths[0]["width"], widths[0]["count"]
-        big = sizes.filter(F.col("count") > LEAF).select("label", F.least(F.lit(MAX_DEPTH), F.ceil(F.log2(F.col("count") / LEAF))).cast("int").alias("depth"))
-        depth_of = {r["label"]: r["depth"] for r in big.orderBy(F.desc("depth"), "label").limit(100_000).collect()}  # others: tiles only
-        if depth_of:
-            share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, 0.9 * SAMPLE / total) * (1 << 30))
-            sample = classes.filter(F.col("width") == width).filter(share).select("v").limit(SAMPLE).toArrow().column("v")
-            if len(sample) < 8:
-                sample = classes.filter(F.col("width") == width).select("v").limit(SAMPLE).toArrow().column("v")
-            forest = Forest(_unit(_matrix(sample, width).astype(float)).astype(np.float32), max(depth_of.values()))
-    index = spark.sparkContext.broadcast((forest, depth_of))
-    placed = written(classes.select("label", "v", "id", "n", "width").mapInArrow(lambda it: _place(it, *index.value), _PLACED), "leaves", "lz4")
-    leaf = ["tree", "leaf", "label", "width"]
-    counts = placed.groupBy(leaf).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+    sizes = classes.groupBy("label", "width").agg(F.count("*").alias("size"))
+    leaf = max(LEAF, -(-(sizes.agg(F.sum("size")).first()[0] or 0) // PIVOTS))
+    chosen = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.ceil(F.col("size") / leaf) / F.col("size") * (1 << 30)
+    pivots: dict[tuple[str, int], list] = {}
+    for r in classes.join(sizes.filter(F.col("size") > leaf), ["label", "width"]).filter(chosen).select("label", "width", "v").orderBy("label", "width", "id").toLocalIterator():
+        pivots.setdefault((r["label"], r["width"]), []).append(r["v"])
+    index = spark.sparkContext.broadcast({k: _unit(np.array(v)) for k, v in pivots.items()})
+    placed = written(classes.select("label", "v", "id", "n", "width").mapInArrow(lambda it: _place(it, index.value), _PLACED), "cells", "lz4")
+    cell = ["label", "width", "home"]
+    counts = placed.groupBy(cell).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    own = placed.join(counts, cell).withColumn("tile", F.struct("home", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int").alias("part"))).drop("tiles")
+    others = counts.withColumnRenamed("home", "cell")
     dealt = (
-        placed.join(counts, leaf)
-        .withColumn("tile", tile)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .withColumn("i", F.least("tile", "other"))
-        .withColumn("j", F.greatest("tile", "other"))
+        own.withColumn("cell", F.explode("near"))
+        .drop("near")
+        .join(others, ["label", "width", "cell"])
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .withColumn("other", F.struct(F.col("cell").alias("home"), "part"))
+        .select("label", "width", "id", "n", "v", (F.col("tile") <= F.col("other")).alias("first"), F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
     )
-    linked = written(dealt.groupBy(*leaf, "i", "j").applyInArrow(_compare, _LINKED), "links")
+    linked = written(dealt.groupBy("label", "width", "i", "j").applyInArrow(_compare, _LINKED), "links")
     n_links = linked.groupBy("id").agg(F.sum("n_links").alias("links"))
     roots = components(linked.filter("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")))
     labelled = classes.join(n_links, "id", "left").join(roots.withColumnRenamed("u", "id"), "id", "left")

@@ -59,5 +59,19 @@ def test_forest_finds_all_links(spark, monkeypatch, leaf, tile):
         assert found == want
 
 
+@pytest.mark.parametrize("spread", [0.02, 0.09])
+def test_dense_groups_are_linked_exactly(spark, monkeypatch, spread):
+    """Groups whose vectors are all near each other, or nearly so, in labels of many cells."""
+    monkeypatch.setattr(embed, "LEAF", 24)
+    monkeypatch.setattr(embed, "TILE", 40)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(4, 16))
+    rows = [(i, [float(c) for c in (centres[i % 4 if i < 300 else 0] + spread * 3 * rng.normal(size=16)).astype(np.float32)], i % 7 // 6) for i in range(500)]
+    rows += vectors(200, seed=9)[:220]
+    want = brute(rows)
+    assert sum(k[1] * n for k, n in want.items()) > 10_000
+    assert Counter(map(tuple, embed.near_duplicates(spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)).collect())) == want
+
+
 def test_empty_table(spark):
     assert embed.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
