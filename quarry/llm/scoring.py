@@ -12,11 +12,13 @@ part with the depths that were.
 Beside it stands a word baseline with add-one smoothing.
 
 Scale: training counts (4-grams of bytes, words) are pre-aggregated in each task and
-summed by Spark over all training documents.  The tree that goes to the tasks has at
-most ``CONTEXTS`` three-byte contexts with 256 entries each; the rarer ones of a larger
-corpus are pooled by their last two bytes.  Word counts are not collected: the
-``FREQUENT`` most frequent go to the tasks, all other words of documents are joined with
-the counts.
+summed by Spark over all training documents.  All contexts take part.  The tables that
+go to the tasks have the ``CONTEXTS`` most frequent three-byte contexts with 256 entries
+each; of the rarer ones the tasks know only which there are (a bit each), and their bytes
+are joined with estimates that Spark computes from their counts, two last bytes at a
+time.  What reaches the driver of them is a sum for each two bytes.  Word counts are
+not collected: the ``FREQUENT`` most frequent go to the tasks, all other words of
+documents are joined with the counts.
 
 Defined results: a null or empty text is the end alone; without training documents
 every byte has probability 1/256 and the baseline knows nothing; repeated rows are
@@ -33,9 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NOT_SPACE, UID, Words, chunks, read_table, remainder, with_uid, written
+from quarry.llm.common import NOT_SPACE, UID, Words, bits_of, chunks, in_bits, read_table, remainder, with_uid, written
 
 CONTEXTS = 65_536
+CONTEXT_BITS = 24
 FREQUENT = 1 << 18
 MARK = 255  # no byte of UTF-8 text: stands before and after each text
 BLOCK = 1 << 21
@@ -157,11 +160,17 @@ def _byte_logs(ones: np.ndarray) -> np.ndarray:
 class Model:
     """Tables of log10 byte probabilities: one row for each context seen, at every depth."""
 
-    def __init__(self, contexts: np.ndarray, bytes_: np.ndarray, n: np.ndarray, pooled: np.ndarray):
-        """Counts of (three bytes as a number, next byte); pooled: that the first byte stands for several."""
-        key = contexts.astype(np.int64) + (pooled.astype(np.int64) << 24)
-        keys, row = np.unique(key, return_inverse=True)
-        two, parent = np.unique(keys & 0xFFFF, return_inverse=True)
+    def __init__(self, contexts: np.ndarray, bytes_: np.ndarray, n: np.ndarray, apart: np.ndarray, rare: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, bits: np.ndarray | None = None):
+        """Counts of (three bytes as a number, next byte); apart: contexts without a table here.
+
+        rare: of contexts that are not here the last two bytes, counts and ln of the estimator's
+        probability, summed; bits: which contexts those are.
+        """
+        keys, at_first, row = np.unique(contexts.astype(np.int64), return_index=True, return_inverse=True)
+        without = apart[at_first] if len(keys) else np.zeros(0, bool)
+        more = np.zeros(0, np.int64) if rare is None else rare[0].astype(np.int64)
+        two, parent = np.unique(np.concatenate([keys & 0xFFFF, more]), return_inverse=True)
+        parent, others = parent[: len(keys)], parent[len(keys) :]
         one, grand = np.unique(two & 0xFF, return_inverse=True)
         order = np.argsort(row, kind="stable")
         at = np.searchsorted(row[order], np.arange(len(keys) + 1))
@@ -181,6 +190,9 @@ class Model:
             log, _ = _kt(_heap(c))
             np.add.at(counts2, parent[a:b], c)
             np.add.at(below2, parent[a:b], log)
+        if rare is not None:
+            np.add.at(counts2, others, rare[1])
+            np.add.at(below2, others, rare[2])
         counts1, below1 = np.zeros((len(one), 256)), np.zeros((len(one), 256))
         counts0, below0 = np.zeros((1, 256)), np.zeros((1, 256))
 
@@ -208,7 +220,9 @@ class Model:
         m2 = sum2[grand] + left2[grand] * p2
         left3, sum3 = left2[grand] * (1 - s2), sum2[grand] + left2[grand] * s2 * p2
         tables = [_byte_logs(m0), _byte_logs(m1), _byte_logs(m2)]
-        kept = np.flatnonzero(keys < 1 << 24)
+        self.parents, self.bits = two[others], bits
+        self.above = (sum3[others], left3[others])
+        kept = np.flatnonzero(~without)
         for a in range(0, len(keys), step):
             b = min(len(keys), a + step)
             _, p3 = _kt(_heap(block(a, b)))
@@ -232,33 +246,78 @@ class Model:
             self.rows = rows
         return self.table.ravel()[self.rows[contexts].astype(np.int64) * 256 + nxt]
 
-    def score(self, parts: list[bytes]) -> np.ndarray:
+    def rare_logs(self, two: int, contexts: np.ndarray, bytes_: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rare contexts that end with two bytes, from their counts: the contexts, and a row of byte logs for each."""
+        keys, row = np.unique(contexts, return_inverse=True)
+        c = np.zeros((len(keys), 256))
+        np.add.at(c, (row, bytes_.astype(int)), n)
+        at = int(np.searchsorted(self.parents, two))
+        return keys, _byte_logs(self.above[0][at] + self.above[1][at] * _kt(_heap(c))[1])
+
+    def score(self, parts: list[bytes], rest: list | None = None) -> np.ndarray:
+        """Scores of texts.  Bytes after rare contexts count nothing; (text, four bytes as a number) of each are added to rest."""
         data, starts, ends = _marked(parts)
         out = np.zeros(len(parts))
         for a in range(3, len(data), BLOCK):
             b = min(len(data), a + BLOCK)
-            total = np.concatenate([[0.0], np.cumsum(self.logs(_contexts(data, a, b), data[a:b]), dtype=np.float64)])
+            contexts = _contexts(data, a, b)
+            logs = self.logs(contexts, data[a:b])
+            if self.bits is not None:
+                gone = np.flatnonzero(in_bits(self.bits, contexts))
+                logs[gone] = 0
+                text = np.searchsorted(ends, a + gone)
+                ok = a + gone >= np.append(starts, len(data))[text]  # not the marks that stand before a text
+                rest.append((text[ok], (contexts[gone[ok]].astype(np.int64) << 8) | data[a + gone[ok]]))
+            total = np.concatenate([[0.0], np.cumsum(logs, dtype=np.float64)])
             lo, hi = np.clip(starts, a, b) - a, np.clip(ends + 1, a, b) - a
             out += total[hi] - total[lo]
         return out
 
 
-def fit(counts: DataFrame) -> Model:
-    """The tree from counts (kind, key, n): its three-byte contexts are the CONTEXTS most frequent, the others pooled."""
+def _sums(table: pa.Table) -> pa.Table:
+    """The contexts that end with two bytes: their counts and ln of the estimator's probability, added up."""
+    keys, row = np.unique(table.column("c").to_numpy(), return_inverse=True)
+    c = np.zeros((len(keys), 256))
+    np.add.at(c, (row, table.column("b").to_numpy().astype(int)), table.column("n").to_numpy())
+    return pa.table(
+        {
+            "two": pa.array([int(keys[0] & 0xFFFF)]), "counts": pa.array([c.sum(axis=0).tolist()]), "logs": pa.array([_kt(_heap(c))[0].sum(axis=0).tolist()]),
+        }
+    )
+
+
+def fit(counts: DataFrame) -> tuple[Model, DataFrame]:
+    """The tree from counts (kind, key, n) with tables of the CONTEXTS most frequent three bytes, and the counts (c, b, n, two) of all others."""
     grams = counts.filter(F.col("kind") == _GRAM).select(F.shiftright("key", 8).alias("c"), F.col("key").bitwiseAND(F.lit(255)).alias("b"), "n")
-    kept = grams.groupBy("c").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "c").limit(CONTEXTS).select("c", F.lit(False).alias("pooled"))
-    rows = (
-        grams.join(F.broadcast(kept), "c", "left")
-        .select(F.when(F.col("pooled").isNull(), F.col("c").bitwiseAND(F.lit(0xFFFF))).otherwise(F.col("c")).alias("c"), F.coalesce("pooled", F.lit(True)).alias("pooled"), "b", "n")
-        .groupBy("c", "pooled", "b")
-        .agg(F.sum("n").alias("n"))
-        .toArrow()
-    )
+    kept = written(grams.groupBy("c").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "c").limit(CONTEXTS).select("c"), "contexts")
+    rows = grams.join(F.broadcast(kept), "c", "left_semi").toArrow()
+    others = grams.join(F.broadcast(kept), "c", "left_anti").withColumn("two", F.col("c").bitwiseAND(F.lit(0xFFFF)))
+    sums = others.groupBy("two").applyInArrow(_sums, "two bigint, counts array<double>, logs array<double>").toArrow()
     get = lambda name: rows.column(name).to_numpy()
-    return Model(get("c"), get("b"), get("n"), get("pooled"))
+    rare = bits = None
+    if sums.num_rows:
+        sums = sums.sort_by("two").combine_chunks()
+        values = lambda name: sums.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        rare = (sums.column("two").to_numpy(), values("counts").reshape(-1, 256), values("logs").reshape(-1, 256))
+        bits = bits_of(others, "c", CONTEXT_BITS)
+    return Model(get("c"), get("b"), get("n"), np.zeros(rows.num_rows, bool), rare, bits), others
+
+
+def _rare_logs(model):
+    """For a cogroup of the bytes that are looked up and the counts: log10 of each one's probability."""
+
+    def found(wanted: pa.Table, counts: pa.Table) -> pa.Table:
+        code = wanted.column("code").to_numpy()
+        if not len(code) or not counts.num_rows:
+            return pa.table({"code": pa.array([], pa.int64()), "log": pa.array([], pa.float64())})
+        c, b, n = (counts.column(x).to_numpy() for x in ("c", "b", "n"))
+        keys, logs = model.value[0].rare_logs(int(code[0] >> 8 & 0xFFFF), c, b, n)
+        return pa.table({"code": pa.array(code), "log": pa.array(logs[np.searchsorted(keys, code >> 8), code & 255].astype(float))})
+
+    return found
 
 
-_SCORED = "n_words bigint, sum_log double, n_known bigint, rare array<bigint>, score double"
+_SCORED = "n_words bigint, sum_log double, n_known bigint, rare array<bigint>, score double, rest array<bigint>"
 
 
 def _score(batches, model: Model, words: np.ndarray, n: np.ndarray):
@@ -274,13 +333,18 @@ def _score(batches, model: Model, words: np.ndarray, n: np.ndarray):
             rare, rare_doc = w.hashes[~found].view(np.int64), doc[~found]
             edges = np.searchsorted(rare_doc, np.arange(len(parts) + 1)).astype(np.int32)
             some = batch.slice(first, len(parts))
+            rest: list = []
+            logs = model.score(parts, rest)
+            text, code = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*rest) if rest else ((), ())))
+            places = np.searchsorted(text, np.arange(len(parts) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(some.column(c) for c in (UID, "doc_id", "held_out")),
                     pa.array(np.diff(w.ptr).astype(np.int64)), pa.array(total.astype(float)), pa.array(known.astype(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(edges), pa.array(rare)), pa.array(model.score(parts)),
+                    pa.ListArray.from_arrays(pa.array(edges), pa.array(rare)), pa.array(logs),
+                    pa.ListArray.from_arrays(pa.array(places), pa.array(code, pa.int64())),
                 ],
-                names=[UID, "doc_id", "held_out", "n_words", "sum_log", "n_known", "rare", "score"],
+                names=[UID, "doc_id", "held_out", "n_words", "sum_log", "n_known", "rare", "score", "rest"],
             )
 
 
@@ -289,7 +353,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     raw = training.select("text").mapInArrow(_count, "kind int, key bigint, n bigint")
     counts = written(raw.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    model = fit(counts)
+    model, others = fit(counts)
     totals = {r["kind"]: (r["n"], r["v"]) for r in counts.filter(F.col("kind") != _GRAM).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     (n_words, v_words), (n_docs, _) = totals.get(_WORD, (0, 0)), totals.get(_END, (0, 0))
     n, v = n_words + n_docs, v_words + (n_docs > 0)
@@ -307,6 +371,14 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
         .groupBy(UID)
         .agg(F.sum(F.log10(F.col("n") + 1)).alias("rare_log"), F.count("*").alias("rare_known"))
     )
+    score_log = F.col("score")
+    if model.bits is not None:
+        looked_up = written(scored.select(UID, F.explode("rest").alias("code")).groupBy(UID, "code").agg(F.count("*").alias("times")), "looked_up")
+        wanted = looked_up.select("code").distinct().withColumn("two", F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF)))
+        logs = wanted.groupBy("two").cogroup(others.groupBy("two")).applyInArrow(_rare_logs(sent), "code bigint, log double")
+        rest = looked_up.join(logs, "code").groupBy(UID).agg(F.sum(F.col("times") * F.col("log")).alias("rest_log"))
+        scored = scored.join(rest, UID, "left")
+        score_log = F.col("score") + F.coalesce("rest_log", F.lit(0.0))
     unit = F.lit(math.log10(n + v + 1))
     zero = F.lit(0).cast("bigint")
     return scored.join(rare, UID, "left").select(
@@ -316,7 +388,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
         (F.col("n_known") + F.coalesce("rare_known", zero) + F.lit(int(n_docs > 0))).alias("n_known"),
         F.lit(n).cast("bigint").alias("train_tokens"),
         (F.col("sum_log") + F.coalesce("rare_log", F.lit(0.0)) + F.lit(math.log10(n_docs + 1)) - (F.col("n_words") + 1) * unit).alias("base_score"),
-        "score",
+        score_log.alias("score"),
     )
 
 

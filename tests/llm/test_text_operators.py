@@ -309,6 +309,17 @@ def test_scoring_matches_brute_force(spark, make_docs, monkeypatch):
     assert all(r.score < 0 for r in got)
 
 
+@pytest.mark.parametrize("contexts", [1, 40])
+def test_scores_do_not_depend_on_how_many_contexts_are_sent(spark, make_docs, monkeypatch, contexts):
+    rows = list(enumerate([*(t for _, t in corpus(8, 20)), "дом и сад", "家と庭 é😀", None, ""]))
+    flagged = with_uid(make_docs(rows)).withColumn("held_out", F.lit(False)).select(UID, "doc_id", "held_out", "text")
+    train = make_docs(rows[: len(rows) // 2] + rows[-4:])
+    want = dict(scoring.score(flagged, train).select("doc_id", "score").collect())
+    monkeypatch.setattr(scoring, "CONTEXTS", contexts)
+    got = dict(scoring.score(flagged, train).select("doc_id", "score").collect())
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-6, abs=1e-6) for k in want)
+
+
 def test_scoring_tree_is_a_distribution():
     """Byte probabilities of every context add up to one, and agree with a direct computation of the weighting."""
     import math
