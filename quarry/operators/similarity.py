@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,7 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-THRESHOLD, CANDIDATES, TOP, STRICT = 0.80, 60, 3, 0.95
+THRESHOLD, TOP, STRICT = 0.80, 3, 0.95
+SALTS = 16
 SAME, SUSPECT, NEW, VARIANT = "并入", "疑似", "新建", "变式"
 
 # Fixed values, in the order in which they are tried: words and symbols that make another item of the same text.
@@ -73,15 +76,37 @@ def classify(score: Column) -> Column:
     return F.when(s == 1.0, SAME).when(s >= THRESHOLD, SUSPECT).otherwise(NEW)
 
 
-@F.pandas_udf(T.DoubleType())
-def ratio(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Ratcliff-Obershelp ratio; its cheap upper bound is tried first."""
-    for a, b in it:
-        out = []
-        for x, y in zip(a, b):
-            m = difflib.SequenceMatcher(None, x, y, autojunk=False)
-            out.append(m.ratio() if m.quick_ratio() >= THRESHOLD else 0.0)
-        yield pd.Series(out)
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, in bits of one number (no matching has more characters)."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    left = full
+    for c in b:
+        u = left & at.get(c, 0)
+        left = ((left + u) | (left - u)) & full
+    return len(a) - left.bit_count()
+
+
+def ratio(threshold: float):
+    """Ratcliff-Obershelp ratio, 0 below the threshold; two upper bounds are tried first."""
+
+    @F.pandas_udf(T.DoubleType())
+    def score(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in it:
+            out = []
+            for x, y in zip(a, b):
+                if x == y:
+                    r = 1.0
+                elif 2 * sum((Counter(x) & Counter(y)).values()) < threshold * (len(x) + len(y)) or 2 * common_length(x, y) < threshold * (len(x) + len(y)):
+                    r = 0.0
+                else:
+                    r = difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+                out.append(r if r >= threshold else 0.0)
+            yield pd.Series(out)
+
+    return score
 
 
 def grams(text: Column, n: int = 3) -> Column:
@@ -94,17 +119,20 @@ def grams(text: Column, n: int = 3) -> Column:
 def near(batch: DataFrame, library: DataFrame, threshold: float = THRESHOLD, top: int = TOP) -> DataFrame:
     """For each row of a batch (key, norm) the most similar rows of the library (key, norm).
 
-    Candidates share trigrams; the CANDIDATES with the most votes stay, then those whose
-    lengths allow the threshold, then the ratio decides.  The veto: pairs whose critical
-    tokens differ are variants.  Meant for a new batch against the library, not a self-join.
+    All rows whose lengths allow the threshold are compared: those of the same band of
+    lengths or the next.  Upper bounds spare most of them the ratio, and none is left out.
+    The veto: pairs whose critical tokens differ are variants.  Meant for a new batch
+    against the library, not a self-join.
     """
-    a = batch.select(F.col("key").alias("left"), F.explode(grams(F.col("norm"))).alias("gram"))
-    b = library.select(F.col("key").alias("right"), F.explode(grams(F.col("norm"))).alias("gram"))
-    votes = a.join(b, "gram").filter("left <> right").groupBy("left", "right").agg(F.count("*").alias("votes"))
-    cut = votes.withColumn("_n", F.row_number().over(W.partitionBy("left").orderBy(F.desc("votes"), "right"))).filter(F.col("_n") <= CANDIDATES).drop("_n")
-    pairs = cut.join(batch.select(F.col("key").alias("left"), F.col("norm").alias("a")), "left").join(library.select(F.col("key").alias("right"), F.col("norm").alias("b")), "right")
+    step = (2 - threshold) / threshold  # no longer text can reach the threshold
+    place = F.log(F.length("norm").cast("double")) / math.log(step) if step > 1 else F.length("norm").cast("double")
+    bands = F.sequence(F.floor(place - 1 - 1e-9), F.floor(place + 1 + 1e-9))
+    a = batch.filter(F.length("norm") > 0).select(F.col("key").alias("left"), F.col("norm").alias("a"), F.explode(bands).alias("band"))
+    a = a.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    b = library.filter(F.length("norm") > 0).select(F.col("key").alias("right"), F.col("norm").alias("b"), F.floor(place).alias("band"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
     low, high = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
-    scored = pairs.filter(low >= high * (threshold / (2 - threshold))).withColumn("score", F.round(ratio("a", "b"), 3)).filter(F.col("score") >= threshold)
+    pairs = a.join(b, ["band", "salt"]).filter("left <> right").filter(low * step >= high - 1e-6)
+    scored = pairs.withColumn("score", ratio(threshold)("a", "b")).filter(F.col("score") >= threshold).withColumn("score", F.round("score", 3))
     best = W.partitionBy("left").orderBy(F.desc("score"), "right")
     variant = critical_tokens(F.col("a")) != critical_tokens(F.col("b"))
     return (

@@ -530,14 +530,17 @@ def critical_tokens(spark, d):
     return v.select("doc_id", F.array_join(similarity.critical_tokens(F.col("s")), ",").alias("tokens"))
 
 
+#: Documents of a new batch.
+NEW = 20
+
+
 @query()
 def near_duplicate_items(spark, d):
-    """The benchmark and its altered copies against the benchmark; the ratio has no SQL form."""
-    b = read(spark, d, "benchmark")
-    library = b.select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("key"), similarity.normalised(F.col("text")).alias("norm"))
-    altered = F.concat(F.substring("text", 1, 60), F.lit(" another "), F.substring("text", 65, 1 << 30))
-    batch = b.select(F.concat(F.lit("n"), F.col("item_id").cast("string")).alias("key"), similarity.normalised(altered).alias("norm"))
-    return similarity.near(batch, library)
+    """The last NEW documents against all before them; the ratio has no SQL form."""
+    docs = read(spark, d, "documents").select("doc_id", F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("key"), similarity.normalised(F.col("text")).alias("norm"))
+    first = read(spark, d, "documents").filter("doc_id is not null").select("doc_id").orderBy(F.desc("doc_id")).limit(NEW).select(F.min("doc_id").alias("first"))
+    sided = docs.crossJoin(F.broadcast(first))
+    return similarity.near(sided.filter("doc_id >= first").select("key", "norm"), sided.filter("doc_id < first").select("key", "norm"))
 
 
 # --- selection ---------------------------------------------------------------------
