@@ -1,4 +1,8 @@
-"""Repeated passages by prefix-partitioned suffix trees over words.
+"""Repeated passages by prefix-partitioned hashes of windows of words.
+
+No suffix tree is built: the result needs only the nodes that a tree would have at depth
+``WINDOW``.  Such a node is a group of windows with one hash; a subtree below is all
+windows of one prefix.
 
 A suffix starts at every word with at least ``WINDOW`` words from there on, and is read
 ``WINDOW`` words deep.  Suffixes are dealt to subtrees by a prefix: ten words where few
