@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +31,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of this machine if it is all there is."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quarry.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quarry-shared-")
         spark.conf.set("quarry.shared.dir", found)
     return found.rstrip("/")
@@ -61,9 +65,27 @@ def drop_written(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of one file that a row number has room for: 2**ROW_BITS; the bits above number the files.
+ROW_BITS = 40
+
+
 def with_uid(df: DataFrame) -> DataFrame:
-    """A number per row, also where ids repeat or are null.  The same at every evaluation over the same files."""
-    return df.withColumn(UID, F.monotonically_increasing_id())
+    """A number per row, also where ids repeat or are null.  The same at every evaluation, however the scan is split.
+
+    Rows of a file scan are numbered by file and by place in the file; a scan that is to be
+    numbered must not have lost its hidden columns to a select() before.  Other rows are
+    written once, with their numbers.  The driver sees the names of the files.
+    """
+    try:
+        paths = df.select(F.col("_metadata.file_path").alias("_q_file"))
+        placed = df.select("*", F.col("_metadata.file_path").alias("_q_file"), F.col("_metadata.row_index").alias("_q_row"))
+    except AnalysisException:
+        return written(df.withColumn(UID, F.monotonically_increasing_id()), "rows")
+    names = sorted(r[0] for r in paths.distinct().collect())
+    if len(names) < 2:
+        return placed.withColumn(UID, F.col("_q_row")).drop("_q_file", "_q_row")
+    files = df.sparkSession.createDataFrame([(n, i << ROW_BITS) for i, n in enumerate(names)], f"_q_file string, {UID} bigint")
+    return placed.join(files, "_q_file").withColumn(UID, F.col(UID) + F.col("_q_row")).drop("_q_file", "_q_row")
 
 
 def remainder(column: str, m: int) -> Column:
@@ -157,15 +179,14 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Row ranges of a batch with about most bytes of text each: the first row, and the texts in UTF-8 (null: empty)."""
-    texts = batch.column(column).cast(pa.large_binary()).to_pylist()
-    first, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t or b"") > most:
-            yield first, [x or b"" for x in texts[first:i]]
-            first, size = i, 0
-        size += len(t or b"")
-    if texts:
-        yield first, [x or b"" for x in texts[first:]]
+    texts = batch.column(column).cast(pa.large_binary())
+    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)))
+    first = 0
+    while first < len(texts):
+        done = sizes[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(sizes, done + most, side="right")))
+        yield first, [x or b"" for x in texts[first:last].to_pylist()]
+        first = last
 
 
 def bits_of(df: DataFrame, column: str, log2_bits: int) -> np.ndarray:

@@ -164,7 +164,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_uid(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = with_uid(read_table(spark, sf_dir, "documents")).select(UID, "doc_id", "text")
     return contamination(docs, read_table(spark, sf_dir, "benchmark")).select(
         "doc_id",
         "n_words",

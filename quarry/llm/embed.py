@@ -122,7 +122,7 @@ def _compare(table: pa.Table) -> pa.Table:
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """Per row of vectors (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
-    rows = with_uid(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label")))
+    rows = with_uid(vectors).select(UID, "vec_id", F.col("embedding").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     usable = F.col("label").isNotNull() & F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda c: c != 0)
     usable = F.coalesce(usable, F.lit(False))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import UID, chunks, read_table, with_uid, written
+from quarry.llm.common import UID, chunks, read_table, written
 
 WINDOW = 2048
 GRAIN = 8
@@ -209,7 +209,8 @@ def pack(docs: DataFrame, tokenizer_folder: str | None = None) -> DataFrame:
     """Pieces of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    tokens = written(with_uid(docs.select("doc_id", "text").mapInArrow(lambda it: _pieces(it, tokenizer_folder), f"doc_id {kind}, " + _PIECE)), "tokens")
+    tokens = docs.select("doc_id", "text").mapInArrow(lambda it: _pieces(it, tokenizer_folder), f"doc_id {kind}, " + _PIECE)
+    tokens = written(tokens.withColumn(UID, F.monotonically_increasing_id()), "tokens")
     whole = tokens.filter(F.col("length") == WINDOW)
     bounds = F.when(F.col("length") > SMALL, F.ceil(F.col("length") / GRAIN)).otherwise(0).cast("int")
     rest = tokens.filter(F.col("length") < WINDOW).select(

@@ -395,5 +395,5 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 7) == 2
-    docs = with_uid(documents.select("doc_id", held_out.alias("held_out"), "text"))
+    docs = with_uid(documents).select(UID, "doc_id", held_out.alias("held_out"), "text")
     return score(docs, documents.filter(~held_out))

@@ -209,7 +209,7 @@ def _cut(batches):
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_uid(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = with_uid(read_table(spark, sf_dir, "documents")).select(UID, "doc_id", "text")
     table, found = repeated(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = with_copies(table)

@@ -149,7 +149,8 @@ def _read(batches):
 def with_revisits(pages: DataFrame) -> DataFrame:
     """Adds payload, digest, record_type and refers_to to page_id, url, html."""
     rows = (
-        with_uid(pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), "html"))
+        with_uid(pages)
+        .select(UID, "page_id", F.col("url").cast("string").alias("url"), "html")
         .withColumn("payload", F.coalesce(F.col("html"), F.lit("")).cast("binary"))
         .drop("html")
         .withColumn("digest", F.sha2("payload", 256))
