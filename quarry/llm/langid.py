@@ -6,16 +6,20 @@ that continues from where the last one ended; a phrase costs log2 of the automat
 text length, so bits per letter estimate the cross entropy.  The language that needs
 the fewest normalised phrases wins.
 
-Texts are read as letters: lower case, anything but a letter becomes one space.  All
-documents of a batch are parsed together, segment by segment, with one table lookup per
-letter and language (numpy); a parse starts anew every ``SEGMENT`` letters, for all
-languages alike.
+Texts are read as letters: lower case, anything but a letter becomes one space.  The
+symbols of an automaton are the bytes of the letters in UTF-8, so each language has the
+alphabet of its own sample, no letter is left out and scripts of thousands of letters
+need no more than 256 columns.  All documents of a batch are parsed together, segment by
+segment, with one table lookup per byte and language (numpy); a parse starts anew every
+``SEGMENT`` bytes, for all languages alike.
 
-The classifier is fitted on ``SAMPLE_LETTERS`` letters for each of the ``LANGUAGES`` most
-frequent labels at most, taken from labelled documents in hash order.  Everything else
-reads whole texts of all rows.
+The classifier is fitted on ``SAMPLE_LETTERS`` letters for each label, or on an equal
+share of ``ALL_LETTERS`` where there are many labels: stretches of ``SAMPLE_DOC_LETTERS``
+letters, at a place that a hash decides, of labelled documents in hash order.  Every
+label is learnt.  Everything else reads whole texts of all rows.
 
-Scale: one pass, no shuffle but the label counts; the broadcast is the sample itself.
+Scale: one pass, no shuffle but the label counts and the sample; the broadcast is the
+automata, whose size ``ALL_LETTERS`` bounds.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; equal
 costs go to the label that sorts first; a table without labels gives ``und``; repeated
@@ -34,9 +38,8 @@ from pyspark.sql import types as T
 from quarry.llm.common import chunks, read_table, remainder
 
 SAMPLE_LETTERS = 60_000
+ALL_LETTERS = 480_000
 SAMPLE_DOC_LETTERS = 3_000
-LANGUAGES = 64
-ALPHABET = 62
 SEGMENT = 2048
 UNDETERMINED = "und"
 
@@ -105,24 +108,33 @@ def automaton(codes: np.ndarray, classes: int) -> np.ndarray:
     return np.where(nxt < 0, root[None, :] | _COUNT, nxt).ravel()
 
 
+def _bytes(code: np.ndarray) -> np.ndarray:
+    return np.frombuffer(code.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8)
+
+
 class Parser:
-    """The automata of all languages over one alphabet."""
+    """The automata of all languages, each over the bytes of its own letters."""
 
     def __init__(self, samples: dict[str, str]):
         self.names = sorted(samples)
-        codes = {k: letters([samples[k]])[0] for k in self.names}
-        values, counts = np.unique(np.concatenate([*codes.values(), np.empty(0, np.uint32)]), return_counts=True)
-        common = values[np.argsort(-counts, kind="stable")][:ALPHABET]
-        self.lookup = np.full(0x110000, len(common), np.uint8)  # the last class: letters that no automaton has
-        self.lookup[common] = np.arange(len(common))
-        self.classes = len(common) + 1
-        self.tables = [automaton(self.lookup[codes[k]][self.lookup[codes[k]] < len(common)], self.classes) for k in self.names]
-        self.cost = np.array([np.log2(max(2, len(codes[k]))) for k in self.names])
+        self.lookups, self.widths, self.tables, self.cost = [], [], [], []
+        for name in self.names:
+            data = _bytes(letters([samples[name]])[0])
+            own = np.unique(data)
+            lookup = np.full(256, len(own), np.int32)  # the last class: bytes that the sample does not have
+            lookup[own] = np.arange(len(own))
+            self.lookups.append(lookup)
+            self.widths.append(np.int32(len(own) + 1))
+            self.tables.append(automaton(lookup[data], len(own) + 1))
+            self.cost.append(np.log2(max(2, len(data))))
+        self.cost = np.array(self.cost)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases per text and language, and letters per text."""
-        code, sizes = letters(texts)
-        symbols = self.lookup[code].astype(np.int32)
+        code, letters_ = letters(texts)
+        symbols = _bytes(code)
+        width = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+        sizes = np.bincount(np.repeat(np.arange(len(texts)), letters_), weights=width, minlength=len(texts)).astype(np.int64)
         n_segments = np.maximum(0, -(-sizes // SEGMENT))
         doc = np.repeat(np.arange(len(texts)), n_segments)
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(n_segments) - n_segments, n_segments)
@@ -132,21 +144,20 @@ class Parser:
         start, length, doc = start[order], length[order], doc[order]
         out = np.zeros((len(texts), len(self.names)))
         if not len(doc):
-            return out, sizes
+            return out, letters_
         alive = np.searchsorted(-length, -np.arange(length[0]), side="left")  # segments longer than t
         state = np.zeros((len(self.names), len(doc)), np.int32)
         count = np.ones((len(self.names), len(doc)), np.int32)  # the phrase that is open at the end
-        width = np.int32(self.classes)
         for t in range(int(length[0])):
             m = int(alive[t])
             c = symbols[start[:m] + t]
             for k, table in enumerate(self.tables):
-                x = table[state[k, :m] * width + c]
+                x = table[state[k, :m] * self.widths[k] + self.lookups[k][c]]
                 count[k, :m] += x >> 30
                 state[k, :m] = x & _STATE
         for k in range(len(self.names)):
             out[:, k] = np.bincount(doc, weights=count[k], minlength=len(texts))
-        return out, sizes
+        return out, letters_
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Label, score (how much cheaper than the next language, 0 to 1) and bits per letter."""
@@ -164,18 +175,22 @@ class Parser:
 
 
 def training_sample(labelled: DataFrame) -> dict[str, str]:
-    """SAMPLE_LETTERS of text for each of the LANGUAGES most frequent labels of labelled (doc_id, text, lang)."""
+    """The sample of each label of labelled (doc_id, text, lang)."""
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return {}
-    most = 4 * SAMPLE_LETTERS // SAMPLE_DOC_LETTERS  # documents a label, some of them short
+    each = min(SAMPLE_LETTERS, ALL_LETTERS // len(counts))
+    most = -(-4 * each // SAMPLE_DOC_LETTERS)  # documents a label, some of them short
     hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2 * most / r["count"])))])
+    share = rows.sparkSession.createDataFrame([(k, int(min(1.0, 2 * most / n) * (1 << 30))) for k, n in counts.items()], "lang string, share long")
+    begin = F.pmod(F.hash("doc_id", "text"), F.greatest(F.lit(1), F.length("text") - (SAMPLE_DOC_LETTERS - 1))) + 1
     picked = (
-        rows.withColumn("_q_h", hashed)
-        .filter(F.col("_q_h") < F.element_at(share, F.col("lang")) * F.lit(1 << 30))
-        .select("lang", "_q_h", F.substring("text", 1, SAMPLE_DOC_LETTERS).alias("text"))
+        rows.withColumn("lang", F.col("lang").cast("string"))
+        .withColumn("_q_h", hashed)
+        .join(share, "lang")
+        .filter("_q_h < share")
+        .select("lang", "_q_h", F.substr("text", begin, F.lit(SAMPLE_DOC_LETTERS)).alias("text"))
         .withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy("_q_h", "text")))  # about 2 * most rows a label
         .filter(F.col("rn") <= most)
         .orderBy("lang", "rn")
@@ -183,23 +198,15 @@ def training_sample(labelled: DataFrame) -> dict[str, str]:
     )
     out: dict[str, str] = {}
     for r in picked:
-        if len(out.get(r["lang"], "")) < SAMPLE_LETTERS:
-            out[r["lang"]] = (out.get(r["lang"], "") + " " + r["text"])[: SAMPLE_LETTERS + 1]
+        if len(out.get(r["lang"], "")) < each:
+            out[r["lang"]] = (out.get(r["lang"], "") + " " + r["text"])[: each + 1]
     return out
 
 
-_parser: dict[int, Parser] = {}
-
-
-def _identify(batches, samples):
-    key = hash(tuple(sorted(samples.value.items())))
-    if key not in _parser:
-        _parser.clear()
-        _parser[key] = Parser(samples.value)
-    parser = _parser[key]
+def _identify(batches, parser: Parser, text: str):
     for batch in batches:
         labels, scores, bits = [], [], []
-        for _, parts in chunks(batch, "text"):
+        for _, parts in chunks(batch, text):
             a, b, c = parser.predict([p.decode("utf-8", "replace") for p in parts])
             labels += a
             scores += b.tolist()
@@ -208,12 +215,15 @@ def _identify(batches, samples):
         yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "lang_pred", "score", "bits_per_letter"])
 
 
-def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, labelled: DataFrame, text: str = "text") -> DataFrame:
     """docs and lang_pred, score and bits_per_letter, learnt from labelled (doc_id, text, lang).  docs must not have columns of these names."""
-    samples = docs.sparkSession.sparkContext.broadcast(training_sample(labelled))
+    taken = {"lang_pred", "score", "bits_per_letter"} & set(docs.columns)
+    if taken:
+        raise ValueError(f"docs has columns of the result's names: {sorted(taken)}")
+    parser = docs.sparkSession.sparkContext.broadcast(Parser(training_sample(labelled)))
     fields = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("bits_per_letter", T.DoubleType())]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in fields)])
-    return docs.mapInArrow(lambda it: _identify(it, samples), schema)
+    return docs.mapInArrow(lambda it: _identify(it, parser.value, text), schema)
 
 
 def learnable(documents: DataFrame) -> DataFrame:
