@@ -15,8 +15,9 @@ from quarry.llm.common import UID, drop_written, read_table, with_uid, written
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents of no language: those without a letter.  Learns from the labelled ones among them."""
-    found = langid.identify(docs.select(F.struct(*docs.columns).alias("_q_row"), F.col("text").alias("text")), langid.learnable(docs))
-    return found.filter(F.col("lang_pred") != langid.UNDETERMINED).select("_q_row.*")
+    own = docs.toDF(*(f"_q_{i}" for i in range(len(docs.columns))))  # names that the operator's columns cannot clash with
+    found = langid.identify(own, langid.learnable(docs), f"_q_{docs.columns.index('text')}")
+    return found.filter(F.col("lang_pred") != langid.UNDETERMINED).drop("lang_pred", "score", "bits_per_letter").toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
