@@ -65,6 +65,8 @@ def drop_written(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Names of files are sent to all tasks up to this size; beyond it they are joined.
+BROADCAST_BYTES = 8_000_000
 #: Rows of one file that a row number has room for: 2**ROW_BITS; the bits above number the files.
 ROW_BITS = 40
 
@@ -85,6 +87,8 @@ def with_uid(df: DataFrame) -> DataFrame:
     if len(names) < 2:
         return placed.withColumn(UID, F.col("_q_row")).drop("_q_file", "_q_row")
     files = df.sparkSession.createDataFrame([(n, i << ROW_BITS) for i, n in enumerate(names)], f"_q_file string, {UID} bigint")
+    if sum(map(len, names)) <= BROADCAST_BYTES:
+        files = F.broadcast(files)
     return placed.join(files, "_q_file").withColumn(UID, F.col(UID) + F.col("_q_row")).drop("_q_file", "_q_row")
 
 
