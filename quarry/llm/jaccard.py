@@ -40,7 +40,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm.common import NOT_SPACE, UID, Words, chunks, drop_written, grams, read_table, with_uid, written
@@ -51,8 +50,13 @@ TILE = 4096
 BOX = 32
 HEAD = 8
 COARSE = 32
-BUCKET_DOCS = 1500
+#: Shingles of a tile's rows and of a bucket's texts: what a task holds is bound by these as well as by rows.
+TILE_SHINGLES = 1 << 24
+BUCKET_DOCS, BUCKET_SHINGLES = 1500, 1_000_000
 MIN_GROUPS, MAX_GROUPS = 16, 1 << 20
+BLOCK_COUNTS = 2_000_000
+#: Sizes of linked sets differ by a factor of 1.25 at most, so they are in the same or in neighbouring steps of this base.
+SIZE_STEP = 1.26
 
 
 def shingle_sets(parts: list[bytes]) -> list[np.ndarray]:
@@ -71,11 +75,11 @@ def shingle_sets(parts: list[bytes]) -> list[np.ndarray]:
 
 
 def point(s: np.ndarray) -> bytes:
-    """Counts of as many groups as there are shingles, up to twice as many, in half a byte each; 15 stands for 15 or more.
+    """Counts of a group for two to four shingles, in half a byte each; 15 stands for 15 or more.
 
     A point of twice the groups folds to one of this by adding neighbours.
     """
-    g = min(MAX_GROUPS, max(MIN_GROUPS, 1 << len(s).bit_length()))
+    g = min(MAX_GROUPS, max(MIN_GROUPS, 1 << len(s).bit_length() >> 2))
     c = np.minimum(15, np.bincount((s >> np.uint64(64 - (g.bit_length() - 1))).astype(np.int64), minlength=g)).astype(np.uint8)
     return (c[0::2] | (c[1::2] << 4)).tobytes()
 
@@ -112,22 +116,23 @@ def needed(a, b):
     return -((-4 * (a + b)) // 9)
 
 
-def _fine(points: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+def _fine(points: list[bytes], p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """The point bound of pairs: the sum of the lesser counts at the coarser of the two sizes."""
     out = np.zeros(len(p), np.int64)
-    sizes = np.array([len(x) for x in points])
-    for g in np.unique(np.minimum(sizes[p], sizes[q])).tolist():
-        at = np.flatnonzero(np.minimum(sizes[p], sizes[q]) == g)
-        rows, back = np.unique(np.concatenate([p[at], q[at]]), return_inverse=True)
-        folded = np.stack([points[r].reshape(g, -1).sum(axis=1) for r in rows.tolist()])
-        step = max(1, 4_000_000 // g)
-        for a in range(0, len(at), step):
-            x, y = back[: len(at)][a : a + step], back[len(at) :][a : a + step]
-            out[at[a : a + step]] = np.minimum(folded[x], folded[y]).sum(axis=1, dtype=np.int64)
+    sizes = np.array([2 * len(x) for x in points])
+    coarser = np.minimum(sizes[p], sizes[q])
+    for g in np.unique(coarser).tolist():
+        same = np.flatnonzero(coarser == g)
+        step = max(1, BLOCK_COUNTS // g)
+        for a in range(0, len(same), step):
+            at = same[a : a + step]
+            rows, back = np.unique(np.concatenate([p[at], q[at]]), return_inverse=True)
+            folded = np.stack([_counts(points[r]).reshape(g, -1).sum(axis=1) for r in rows.tolist()])
+            out[at] = np.minimum(folded[back[: len(at)]], folded[back[len(at) :]]).sum(axis=1, dtype=np.int64)
     return out
 
 
-def tree_pairs(token: int, n: np.ndarray, at: np.ndarray, comp: np.ndarray, points: list[np.ndarray], head: np.ndarray, left: np.ndarray, right: np.ndarray):
+def tree_pairs(token: int, n: np.ndarray, at: np.ndarray, comp: np.ndarray, points: list[bytes], head: np.ndarray, left: np.ndarray, right: np.ndarray):
     """Pairs of rows, one of left and one of right each, of different components that box and point bounds let pass, and their bounds.
 
     n: set sizes, at: the key's place in each set's hash order, head: the sets' first
@@ -135,8 +140,8 @@ def tree_pairs(token: int, n: np.ndarray, at: np.ndarray, comp: np.ndarray, poin
     that key.
     """
     out = [(np.empty(0, np.int64),) * 3]
-    small = min(COARSE, *map(len, points))
-    flat = np.stack([x.reshape(small, -1).sum(axis=1) for x in points])
+    small = min(COARSE, *(2 * len(x) for x in points))
+    flat = np.stack([_counts(x).reshape(small, -1).sum(axis=1) for x in points])
     boxes = [(a, min(len(n), a + BOX)) for a in range(0, len(n), BOX)]
     tops = np.stack([flat[a:b].max(axis=0) for a, b in boxes])
     earlier = head.astype(np.uint64) < np.uint64(token % 2**64)
@@ -204,7 +209,7 @@ def _search(batches, forest: bool):
             if b - a < 2 or (comp == comp[0]).all():
                 continue
             tile = col["tile"][a:b]
-            vectors = [_counts(p) for p in points[a:b].to_pylist()]
+            vectors = points[a:b].to_pylist()
             head = np.zeros((b - a, HEAD), np.int64)
             for r, h in enumerate(heads[a:b].to_pylist()):
                 head[r, : len(h) // 8] = np.frombuffer(h, np.int64)
@@ -255,7 +260,7 @@ def _passing(batches):
     """Of rows (a, b, na, nb, pa, pb) the pairs that pass the point bound."""
     for batch in batches:
         na, nb = np.asarray(batch.column("na")), np.asarray(batch.column("nb"))
-        points = [_counts(p) for c in ("pa", "pb") for p in batch.column(c).to_pylist()]
+        points = [p for c in ("pa", "pb") for p in batch.column(c).to_pylist()]
         at, m = [], len(na)
         for k in range(0, m, 2000):
             p = np.arange(k, min(m, k + 2000))
@@ -292,10 +297,11 @@ def _linked(docs: pa.Table, pairs: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array([a for a, _ in out], pa.int64()), "v": pa.array([b for _, b in out], pa.int64())})
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (u, v) among pairs (a, b) of ids, verified on the texts of docs (_q_uid, text), that unite what the pairs' links unite."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().count()
-    side = max(2, int(np.ceil((ids / BUCKET_DOCS) ** 0.5)))
+def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Links (u, v) among pairs (a, b) of ids, verified on the texts of docs (_q_uid, text), that unite what the pairs' links unite.  sizes: (id, n)."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    total = ids.join(sizes.select("id", "n"), "id").agg(F.count("*").alias("ids"), F.sum("n").alias("n")).first()
+    side = max(2, int(np.ceil(max(total["ids"] / BUCKET_DOCS, (total["n"] or 0) / BUCKET_SHINGLES) ** 0.5)))
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
     dealt = pairs.withColumn("bucket", part("a") * side + part("b"))
     need = dealt.select("bucket", F.col("a").alias("id")).unionByName(dealt.select("bucket", F.col("b").alias("id"))).distinct()
@@ -324,19 +330,28 @@ def near_classes(docs: DataFrame) -> DataFrame:
         stars = stars.join(size.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("point").alias(f"p{c}")), c)
     stars = stars.filter((5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na")))
     stars = written(stars.mapInArrow(_passing, "a bigint, b bigint"), "pairs")
-    links = written(verified(stars, docs), "links")
+    links = written(verified(stars, docs, size), "links")
     tested, payload, open_keys = stars, one.select("id", "point", "head"), None
     inner = shared.filter("m > 3 and id <> first and id <> last").select("token", "id", "n", "at")
     for forest in (True, False):
         roots = components(links).withColumnRenamed("u", "id")
         rest = inner if open_keys is None else inner.join(open_keys, "token", "left_semi")
         labelled = rest.join(roots, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
-        # a row matters if its neighbour by size under the key could link, and the key has several components
-        by_size, whole = W.partitionBy("token").orderBy("n", "id"), W.partitionBy("token")
-        near = (5 * F.col("n") >= 4 * F.lead("n").over(by_size)) | (5 * F.lag("n").over(by_size) >= 4 * F.col("n"))
-        mixed = labelled.withColumn("near", near).withColumn("several", F.min("comp").over(whole) < F.max("comp").over(whole)).filter("near and several")
-        mixed = written(mixed.select("token", "id", "n", "at", "comp"), "mixed")
-        tiles = mixed.groupBy("token").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+        labelled = written(labelled.withColumn("step", F.floor(F.log("n") / F.lit(float(np.log(SIZE_STEP)))).cast("int")), "labelled")
+        # a row matters if under its key, among the sizes that it can link with, there are several components
+        around = (
+            labelled.groupBy("token", "step")
+            .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            .select("token", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), "lo", "hi")
+            .groupBy("token", "step")
+            .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+            .filter("lo < hi")
+            .select("token", "step")
+        )
+        mixed = written(labelled.join(around, ["token", "step"], "left_semi").select("token", "id", "n", "at", "comp"), "mixed")
+        drop_written(labelled)
+        held = F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)
+        tiles = mixed.groupBy("token").agg(F.ceil(held).cast("int").alias("tiles"))
         rows = (
             mixed.join(tiles, "token")
             .join(payload, "id")
@@ -348,7 +363,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
         found = written(ordered.mapInArrow(lambda it, f=forest: _search(it, f), "a bigint, b bigint").distinct(), "found")
         open_keys = written(found.filter("b < 0").select(F.col("a").alias("token")), "open")
         more = written(found.filter("b >= 0").join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = written(links.unionByName(verified(more, docs)), "links")
+        links = written(links.unionByName(verified(more, docs, size)), "links")
         drop_written(mixed)
         drop_written(found)
         tested = tested.unionByName(more)
@@ -358,7 +373,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_uid(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = with_uid(read_table(spark, sf_dir, "documents")).select(UID, "doc_id", "text")
     found = near_classes(docs)
     least = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return found.join(least, "root").select("doc_id", "n_shingles", "component_id")
