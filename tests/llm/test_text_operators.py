@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,21 @@ def test_substrings_with_small_subtrees(spark, make_docs, tmp_path, monkeypatch)
     test_substrings_match_brute_force(spark, make_docs, tmp_path)
 
 
+def test_tree_compares_words_not_hashes():
+    """Rows under one anchor, as equal hashes would bring them together: only equal words make a node."""
+    a = [f"w{i}" for i in range(60)]
+    rows = [(3, 30, 0, a), (1, 10, 5, a[:25] + ["other"] + a[26:]), (2, 20, 7, a[4:58]), (None, 40, 0, a), (2, 21, 0, a[:50])]
+    table = pa.table(
+        {
+            "anchor": [5] * len(rows), "doc_id": pa.array([r[0] for r in rows], pa.int64()), UID: [r[1] for r in rows], "pos": pa.array([r[2] for r in rows], pa.int32()),
+            "n": pa.array([len(r[3]) - 49 for r in rows], pa.int32()), "words": pa.array([" ".join([*r[3], ""]).encode() for r in rows], pa.binary()),
+        }
+    )
+    for batches in (table.to_batches(), table.to_batches(max_chunksize=2)):
+        got = [x for b in substrings._deep_nodes(batches) for x in zip(b.column(UID).to_pylist(), b.column("pos").to_pylist())]
+        assert sorted(got) == [(30, 0), *((30, p) for p in range(4, 9))]
+
+
 def jaccard_brute(rows):
     sets = []
     for _, t in rows:
