@@ -193,6 +193,29 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         first = last
 
 
+def by_key(batches, names: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, of batches that are sorted by these columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(c) for c in names]
+        new = np.zeros(batch.num_rows - 1, bool)
+        for k in keys:
+            new |= np.asarray(pc.fill_null(pc.not_equal(k[1:], k[:-1]), True))
+        starts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        for a, b in zip(starts[:-1], starts[1:]):
+            key = [k[a].as_py() for k in keys] if a == 0 or b == batch.num_rows else None
+            if held and (a > 0 or key != last):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def bits_of(df: DataFrame, column: str, log2_bits: int) -> np.ndarray:
     """A bit for each hash in a column, at the hash mod 2**log2_bits, as bytes: at most 2**(log2_bits - 6) rows reach the driver."""
     bit = F.col(column).bitwiseAND(F.lit((1 << log2_bits) - 1))
