@@ -5,6 +5,9 @@ shared folder and returns an index row per record: file, offset, length, URL, di
 The index is a table.  Reading starts from the index alone: selected records are dealt
 by file and range, sorted by offset, and neighbouring byte ranges are read at once.
 
+Files open with a warcinfo record; records have dates, ids that follow from the row, and
+revisits name the response's id, URL and date (WARC/1.1).  The page_id may be of any type.
+
 Records with equal payloads of at least ``MIN_REVISIT`` bytes: the one with the least
 page_id (then the first row) is the response, the others are revisits of it that carry
 no payload.
@@ -21,9 +24,11 @@ empty header; an empty table gives an empty index; other columns are ignored.
 
 from __future__ import annotations
 
+import datetime
 import gzip
 import hashlib
 import uuid
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -37,14 +42,12 @@ RANGE_BYTES = 8_000_000
 GAP_BYTES = 65_536
 FILE_BYTES = 1_000_000_000
 
-INDEX = pa.schema(
-    [("page_id", pa.int64()), ("url", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("digest", pa.string()), ("record_type", pa.string())]
-)
 RECORD = pa.schema(
-    [("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+    [("page_id", pa.string()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string())]
 )
-_INDEX_DDL = "page_id bigint, url string, path string, offset bigint, length bigint, digest string, record_type string"
-_RECORD_DDL = "page_id bigint, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+_INDEX_DDL = "url string, path string, offset bigint, length bigint, digest string, record_type string"
+_RECORD_DDL = "page_id string, url string, payload binary, payload_bytes bigint, payload_digest string, record_type string, refers_to string"
+_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -53,29 +56,49 @@ def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
+def record_id(digest: str, uid: int) -> str:
+    """The same for a row whoever computes it, so that a revisit can name the response's."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{digest}-{uid}')}>"
+
+
+def _uri(url: str | None) -> str:
+    url = url or ""
+    return url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if any(c in url for c in "\r\n") else url
+
+
+def _member(head: list[str], block: bytes) -> bytes:
+    raw = "\r\n".join(["WARC/1.1", *head, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    return gzip.compress(raw, compresslevel=3, mtime=0)
+
+
+def info(date: str, name: str) -> bytes:
+    """The record that opens each file."""
+    head = ["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"]
+    return _member(head, b"software: quarry\r\nformat: WARC File Format 1.1\r\n")
+
+
+def record(row: dict, date: str) -> bytes:
     """One WARC record as a gzip member.  A revisit carries the headers only; length and digest are those of the full payload."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-    block = http + (payload if kind == "response" else b"")
-    safe = (url or "").replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if any(c in (url or "") for c in "\r\n") else url or ""
+    payload, digest, kind = row["payload"], row["digest"], row["record_type"]
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (payload if kind == "response" else b"")
     head = [
-        "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>",
-        f"WARC-Target-URI: {safe}",
+        f"WARC-Record-ID: {record_id(digest, row[UID])}",
+        f"WARC-Date: {date}",
+        f"WARC-Target-URI: {_uri(row['url'])}",
         f"WARC-Payload-Digest: sha256:{digest}",
+        f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
         f"WARC-Payload-Length: {len(payload)}",
         "Content-Type: application/http; msgtype=response",
-        f"Content-Length: {len(block)}",
     ]
-    if page_id is not None:
-        head.append(f"WARC-Page-Id: {page_id}")
+    if row["page"] is not None:
+        head.append(f"WARC-Page-Id: {quote(row['page'])}")
     if kind == "revisit":
-        head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        if refers_to is not None:
-            head.append(f"WARC-Refers-To-Page: {refers_to}")
-    raw = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
-    return gzip.compress(raw, compresslevel=3, mtime=0)
+        first = row["first"]
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(digest, first[UID])}", f"WARC-Refers-To-Target-URI: {_uri(first['url'])}", f"WARC-Refers-To-Date: {date}"]
+        if first["page_id"] is not None:
+            head.append(f"WARC-Refers-To-Page: {quote(first['page_id'])}")
+    return _member(head, block)
 
 
 def parse(member: bytes) -> dict:
@@ -88,19 +111,19 @@ def parse(member: bytes) -> dict:
     kind, digest, size = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha256:"), int(fields["WARC-Payload-Length"])
     if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError(f"payload of page {fields.get('WARC-Page-Id')} is not the one that was written")
-    number = lambda name: int(fields[name]) if name in fields else None
+    id_ = lambda name: unquote(fields[name]) if name in fields else None
     return {
-        "page_id": number("WARC-Page-Id"),
+        "page_id": id_("WARC-Page-Id"),
         "url": fields["WARC-Target-URI"],
         "payload": payload if kind == "response" else None,
         "payload_bytes": size,
         "payload_digest": digest,
         "record_type": kind,
-        "refers_to": number("WARC-Refers-To-Page"),
+        "refers_to": id_("WARC-Refers-To-Page"),
     }
 
 
-def _write(batches, folder: str):
+def _write(batches, folder: str, date: str):
     fs, root = _file_system(folder)
     sink, path, at = None, None, 0
     try:
@@ -111,13 +134,16 @@ def _write(batches, folder: str):
                     if sink is not None:
                         sink.close()
                     fs.create_dir(root, recursive=True)
-                    name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                    name = f"{uuid.uuid4().hex}.warc.gz"
                     path, sink = f"{folder}/{name}", fs.open_output_stream(f"{root}/{name}", compression=None)
-                member = record(r["page_id"], r["url"], r["payload"], r["digest"], r["record_type"], r["refers_to"])
+                    at = sink.write(info(date, name))
+                member = record(r, date)
                 sink.write(member)
-                rows.append({"page_id": r["page_id"], "url": r["url"], "path": path, "offset": at, "length": len(member), "digest": r["digest"], "record_type": r["record_type"]})
+                rows.append((r["url"], path, at, len(member), r["digest"], r["record_type"]))
                 at += len(member)
-            yield pa.RecordBatch.from_pylist(rows, INDEX)
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), *columns], names=["page_id", "url", "path", "offset", "length", "digest", "record_type"])
     finally:
         if sink is not None:
             sink.close()
@@ -147,7 +173,7 @@ def _read(batches):
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """Adds payload, digest, record_type and refers_to to page_id, url, html."""
+    """Of page_id, url, html: page_id, row number, url, payload, digest, record_type and of a revisit the first row of its group."""
     rows = (
         with_uid(pages)
         .select(UID, "page_id", F.col("url").cast("string").alias("url"), "html")
@@ -158,26 +184,34 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     first = (
         rows.filter(F.octet_length("payload") >= MIN_REVISIT)
         .groupBy("digest")
-        .agg(F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", UID)).alias("first"), F.count("*").alias("n"))
+        .agg(F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", UID, "url")).alias("first"), F.count("*").alias("n"))
         .filter("n > 1")
         .select("digest", "first")
     )
     again = F.col("first").isNotNull() & (F.octet_length("payload") >= MIN_REVISIT) & (F.col(UID) != F.col("first")[UID])
     return rows.join(first, "digest", "left").select(
-        "page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first.page_id")).alias("refers_to")
+        "page_id", UID, "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("first")
     )
 
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes a record per row of pages (page_id, url, html); returns the index, a table in the shared folder."""
     folder = folder or shared_path(pages.sparkSession, "warc")
-    return written(with_revisits(pages).mapInArrow(lambda it: _write(it, folder), _INDEX_DDL), "warc-index")
+    date = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    rows = with_revisits(pages)
+    kind = rows.schema["page_id"].dataType.simpleString()
+    text = F.col("first.page_id").cast("string")
+    rows = rows.withColumn("first", F.when(F.col("first").isNotNull(), F.struct(text.alias("page_id"), F.col(f"first.{UID}").alias(UID), F.col("first.url").alias("url"))))
+    rows = rows.withColumn("page", F.col("page_id").cast("string"))
+    return written(rows.mapInArrow(lambda it: _write(it, folder, date), f"page_id {kind}, " + _INDEX_DDL), "warc-index")
 
 
 def read_records(index: DataFrame) -> DataFrame:
     """The records that the rows of an index select, read by byte range."""
+    kind = index.schema["page_id"].dataType
     ranges = index.select("path", "offset", "length").withColumn("block", F.floor(F.col("offset") / RANGE_BYTES))
-    return ranges.repartition("path", "block").sortWithinPartitions("path", "offset").select("path", "offset", "length").mapInArrow(_read, _RECORD_DDL)
+    found = ranges.repartition("path", "block").sortWithinPartitions("path", "offset").select("path", "offset", "length").mapInArrow(_read, _RECORD_DDL)
+    return found.withColumn("page_id", F.col("page_id").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import random
 import re
@@ -404,6 +405,22 @@ def test_warc_round_trip(spark):
     assert kinds[4, "response", None] == kinds[5, "response", None] == 1
     assert kinds[None, "response", None] == kinds[None, "revisit", None] == 1
     assert {r.payload.decode() for r in got if r.record_type == "response"} == {h or "" for _, _, h in rows}
+    heads = []
+    for path in {r.path for r in index.collect()}:
+        raw = gzip.open(path.removeprefix("file:"), "rb").read()
+        assert raw.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
+        while raw:
+            head, _, raw = raw.partition(b"\r\n\r\n")
+            heads.append(dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:]))
+            raw = raw[int(heads[-1]["Content-Length"]) + 4 :]
+    by_id = {h["WARC-Record-ID"]: h for h in heads}
+    assert len(by_id) == len(heads) and all("WARC-Date" in h for h in heads)
+    for h in heads:
+        if h["WARC-Type"] == "revisit":
+            first = by_id[h["WARC-Refers-To"]]
+            assert first["WARC-Type"] == "response" and first["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] and first["WARC-Target-URI"] == h["WARC-Refers-To-Target-URI"]
+    named = warc.read_records(warc.write_archives(pages.withColumn("page_id", F.concat(F.lit("p/ é"), "page_id"))))
+    assert "p/ é1" in {r.page_id for r in named.filter("record_type = 'response'").collect()}
     one = warc.read_records(index.filter("page_id = 4")).collect()
     assert len(one) == 1 and one[0].payload == b"short"
 
