@@ -84,21 +84,34 @@ def _sketch(batches, column: str, lengths: list[int] | None, bits: np.ndarray |
         n_words, found = [], []
         for _, parts in chunks(batch, column):
             words = Words(parts, ALNUM, lower=True)
-            ptr, h = words.ptr, words.hashes
-            mine: list[list[dict]] = [[] for _ in parts]
-            for pos, n, x in _fingerprints(words, lengths, bits):
-                doc = np.searchsorted(ptr, pos, side="right") - 1
-                for p, d, v in zip(pos.tolist(), doc.tolist(), x.astype(np.int64).tolist()):
-                    ctx = None
-                    if n == K and v is not None and ptr[d + 1] - ptr[d] >= WINDOW:
-                        ctx = [int(h[q].astype(np.int64)) if ptr[d] <= q < ptr[d + 1] else 0 for q in range(p - SIDE, p + K + SIDE)]
-                    mine[d].append({"h": v, "pos": p - int(ptr[d]), "len": n, "ctx": ctx})
-            n_words += np.diff(ptr).tolist()
-            found += mine
-        kind = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("len", pa.int32()), ("ctx", pa.list_(pa.int64()))]))
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in keep), pa.array(n_words, pa.int64()), pa.array(found, kind)], names=[*keep, "n_words", "found"]
-        )
+            n_words.append(np.diff(words.ptr))
+            found.append(_listed(words, list(_fingerprints(words, lengths, bits))))
+        sizes = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
+        lists = pa.concat_arrays(found) if found else pa.array([], _KIND)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sizes.astype(np.int64)), lists], names=[*keep, "n_words", "found"])
+
+
+_KIND = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("len", pa.int32()), ("ctx", pa.list_(pa.int64()))]))
+
+
+def _listed(words: Words, prints: list[tuple[np.ndarray, int, np.ndarray]]) -> pa.ListArray:
+    """The fingerprints of each text; those of k-grams in texts of a window or more with the words around them."""
+    ptr, h = words.ptr, words.hashes
+    pos = np.concatenate([np.zeros(0, np.int64), *(p for p, _, _ in prints)])
+    n = np.concatenate([np.zeros(0, np.int64), *(np.full(len(p), k) for p, k, _ in prints)])
+    x = np.concatenate([np.zeros(0, np.uint64), *(v for _, _, v in prints)])
+    doc = np.searchsorted(ptr, pos, side="right") - 1
+    order = np.argsort(doc, kind="stable")
+    pos, n, x, doc = pos[order], n[order], x[order], doc[order]
+    around = (n == K) & (ptr[doc + 1] - ptr[doc] >= WINDOW)
+    at = pos[around, None] + np.arange(-SIDE, K + SIDE)
+    inside = (at >= ptr[doc[around], None]) & (at < ptr[doc[around] + 1, None])
+    values = np.where(inside, h[np.where(inside, at, 0)], np.uint64(0)) if len(h) else np.zeros(at.shape, np.uint64)
+    width = np.where(around, K + 2 * SIDE, 0)
+    edges = np.concatenate([[0], np.cumsum(width)]).astype(np.int32)
+    ctx = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.ascontiguousarray(values).ravel().view(np.int64)), mask=pa.array(~around))
+    fields = [pa.array(x.view(np.int64)), pa.array((pos - ptr[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), ctx]
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(ptr))).astype(np.int32)), pa.StructArray.from_arrays(fields, names=["h", "pos", "len", "ctx"]))
 
 
 def _reach(side: str) -> F.Column:

@@ -86,6 +86,7 @@ def blocks(page: str) -> list[Node]:
     nodes = [Node("#page", -1, 0, "", 0)]
     stack: list[tuple[str, int]] = [("#page", 0)]  # open tags, and the block each is in
     current, leaf, in_link, at, size, seen = 0, -1, 0, 0, len(page), 0
+    unclosed: set[str] = set()
 
     def add(text: str) -> None:
         nonlocal leaf, seen
@@ -130,7 +131,9 @@ def blocks(page: str) -> list[Node]:
                     break  # an inline end tag doesn't close blocks
             continue
         if name in RAW:
-            stop = re.compile(rf"</{name}\b[^>]*+>?", re.I).search(page, at)
+            stop = None if name in unclosed else re.compile(rf"</{name}\b[^>]*+>?", re.I).search(page, at)
+            if stop is None:
+                unclosed.add(name)  # nor is there an end tag farther on
             nodes[current].controls += name in ("select", "textarea", "button")
             at = stop.end() if stop else (size if name in ("script", "style", "textarea", "title") else at)
             if name == "title":
