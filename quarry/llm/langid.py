@@ -19,7 +19,7 @@ letters, at a place that a hash decides, of labelled documents in hash order.  E
 label is learnt.  Everything else reads whole texts of all rows.
 
 Scale: one pass, no shuffle but the label counts and the sample; the broadcast is the
-automata, whose size ``ALL_LETTERS`` bounds.
+sample, whose size ``ALL_LETTERS`` bounds, and a row for each label.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; equal
 costs go to the label that sorts first; a table without labels gives ``und``; repeated
@@ -188,7 +188,7 @@ def training_sample(labelled: DataFrame) -> dict[str, str]:
     picked = (
         rows.withColumn("lang", F.col("lang").cast("string"))
         .withColumn("_q_h", hashed)
-        .join(share, "lang")
+        .join(F.broadcast(share), "lang")  # a row for each label
         .filter("_q_h < share")
         .select("lang", "_q_h", F.substr("text", begin, F.lit(SAMPLE_DOC_LETTERS)).alias("text"))
         .withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy("_q_h", "text")))  # about 2 * most rows a label
@@ -203,7 +203,15 @@ def training_sample(labelled: DataFrame) -> dict[str, str]:
     return out
 
 
-def _identify(batches, parser: Parser, text: str):
+_parser: dict[int, Parser] = {}
+
+
+def _identify(batches, samples: dict[str, str], text: str):
+    key = hash(tuple(sorted(samples.items())))
+    if key not in _parser:  # a worker keeps the automata for its next task
+        _parser.clear()
+        _parser[key] = Parser(samples)
+    parser = _parser[key]
     for batch in batches:
         labels, scores, bits = [], [], []
         for _, parts in chunks(batch, text):
@@ -220,10 +228,10 @@ def identify(docs: DataFrame, labelled: DataFrame, text: str = "text") -> DataFr
     taken = {"lang_pred", "score", "bits_per_letter"} & set(docs.columns)
     if taken:
         raise ValueError(f"docs has columns of the result's names: {sorted(taken)}")
-    parser = docs.sparkSession.sparkContext.broadcast(Parser(training_sample(labelled)))
+    samples = docs.sparkSession.sparkContext.broadcast(training_sample(labelled))
     fields = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("bits_per_letter", T.DoubleType())]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in fields)])
-    return docs.mapInArrow(lambda it: _identify(it, parser.value, text), schema)
+    return docs.mapInArrow(lambda it: _identify(it, samples.value, text), schema)
 
 
 def learnable(documents: DataFrame) -> DataFrame:
