@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -75,39 +76,40 @@ def fold_pages(parts: DataFrame) -> DataFrame:
     )
 
 
-def _align(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Monotone alignment of one document's questions and answers by shared character pairs."""
-    q, a = pdf[pdf.side == "q"].sort_values("at"), pdf[pdf.side == "a"].sort_values("at")
-
-    def grams(s: str) -> set[str]:
-        s = "".join((s or "").lower().split())
-        return {s[i : i + 2] for i in range(len(s) - 1)}
-
-    gq, ga = [grams(s) for s in q.text], [grams(s) for s in a.text]
-    sim = [[len(x & y) / min(len(x), len(y)) if x and y else 0.0 for y in ga] for x in gq]
-    n, m = len(gq), len(ga)
-    best = [[0.0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            s = sim[i][j]
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + s if s >= ALIGN_MIN else 0.0)
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        s = sim[i][j]
-        if s >= ALIGN_MIN and best[i][j] == best[i + 1][j + 1] + s:
-            out.append((pdf.doc.iloc[0], int(q["at"].iloc[i]), int(a["at"].iloc[j]), round(s, 6)))
-            i, j = i + 1, j + 1
-        elif best[i][j] == best[i + 1][j]:
-            i += 1
-        else:
-            j += 1
-    return pd.DataFrame(out, columns=["doc", "q", "a", "score"])
+def _chain(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Of one document's pairs (q, a, score) the chain of the greatest total in which both places rise; of equal ones that of the earlier last pair."""
+    rows = pairs.sort_values(["q", "a"], ignore_index=True)
+    a, score = rows["a"].to_numpy(), rows["score"].to_numpy()
+    total, before = score.copy(), np.full(len(rows), -1)
+    first = rows.groupby("q").ngroup().to_numpy()
+    starts = np.searchsorted(first, first)  # pairs of lesser questions stand before this one
+    for k in range(len(rows)):
+        ahead = np.flatnonzero(a[: starts[k]] < a[k])
+        if len(ahead):
+            best = ahead[np.argmax(total[ahead])]
+            total[k], before[k] = total[best] + score[k], best
+    keep, k = [], int(np.argmax(total))
+    while k >= 0:
+        keep.append(k)
+        k = before[k]
+    return rows.iloc[keep[::-1]]
 
 
 def align(rows: DataFrame) -> DataFrame:
-    """(doc, side 'q' or 'a', at, text) to pairs (doc, q, a, score) in order; a document's questions are few."""
-    kind = rows.schema["doc"].dataType.simpleString()
-    return rows.select("doc", "side", F.col("at").cast("int").alias("at"), "text").groupBy("doc").applyInPandas(_align, f"doc {kind}, q int, a int, score double")
+    """(doc, side 'q' or 'a', at, text) to pairs (doc, q, a, score) in order.
+
+    Candidates are pairs that share character pairs, scored by the share of the smaller
+    side's; they come from a join, so only a document's candidate pairs meet in a task.
+    """
+    text = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", ""))
+    places = F.when(F.length(text) > 1, F.sequence(F.lit(1), F.length(text) - 1)).otherwise(F.array().cast("array<int>"))
+    sides = rows.select("doc", "side", F.col("at").cast("int").alias("at"), F.array_distinct(F.transform(places, lambda i: F.substr(text, i, F.lit(2)))).alias("grams"))
+    grams = sides.select("doc", "side", "at", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    q = grams.filter("side = 'q'").select("doc", "gram", F.col("at").alias("q"), F.col("n").alias("nq"))
+    a = grams.filter("side = 'a'").select("doc", "gram", F.col("at").alias("a"), F.col("n").alias("na"))
+    shared = q.join(a, ["doc", "gram"]).groupBy("doc", "q", "a").agg(F.count("*").alias("n"), F.min(F.least("nq", "na")).alias("least"))
+    pairs = shared.select("doc", "q", "a", F.round(F.col("n") / F.col("least"), 6).alias("score")).filter(F.col("score") >= ALIGN_MIN)
+    return pairs.groupBy("doc").applyInPandas(_chain, pairs.schema)
 
 
 def _numbered(pdf: pd.DataFrame) -> pd.DataFrame:

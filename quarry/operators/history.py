@@ -21,16 +21,35 @@ def first_of(rows: DataFrame, by: list[str], order: list) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
-def final_names(renames: DataFrame, most: int = 32) -> DataFrame:
-    """(old, new) for a ledger of renames (old, new): chains are followed, cycles stop at the longest chain allowed.
+def _kept(rows: DataFrame) -> DataFrame:
+    """rows, computed once: a checkpoint where spark.checkpoint.dir names a folder, else the cache."""
+    folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return rows.persist()
+    rows.sparkSession.sparkContext.setCheckpointDir(folder)
+    return rows.checkpoint()
 
-    The ledger is joined with itself, so paths double in length each round.
+
+def final_names(renames: DataFrame, order: str | None = None) -> DataFrame:
+    """(old, new) for a ledger of renames (old, new): chains are followed to their end, of whatever length.
+
+    Of a name's entries the last in order counts (without an order the greatest).  Names
+    that lead into a cycle keep their own entry.  The ledger is joined with itself, so
+    paths double each round; a round that ends no further path is the last.
     """
-    now = renames.filter("old <> new").groupBy("old").agg(F.max("new").alias("new"))
-    for _ in range(max(1, most.bit_length() - 1)):
+    last = F.max("new") if order is None else F.max_by("new", order)
+    now = _kept(renames.filter("old <> new").groupBy("old").agg(last.alias("new")).withColumn("direct", F.col("new")))
+    before = None
+    while True:
         step = now.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
-        now = now.join(step, now["new"] == step["_old"], "left").select("old", F.when(F.col("_new").isNull() | (F.col("_new") == F.col("old")), F.col("new")).otherwise(F.col("_new")).alias("new"))
-    return now
+        now = _kept(now.join(step, now["new"] == step["_old"], "left").select("old", F.coalesce("_new", "new").alias("new"), "direct"))
+        names = now.select(F.col("old").alias("new"))
+        left = now.join(names, "new", "left_semi").count()
+        if left in (0, before):
+            break
+        before = left
+    cycles = now.select(F.col("old").alias("_old"))
+    return now.join(cycles, now["new"] == cycles["_old"], "left").select("old", F.when(F.col("_old").isNotNull(), F.col("direct")).otherwise(F.col("new")).alias("new"))
 
 
 def changes(before: DataFrame, after: DataFrame, trash: DataFrame, renames: DataFrame | None = None) -> DataFrame:

@@ -71,13 +71,24 @@ def compare_and_swap(items: DataFrame, patches: DataFrame) -> DataFrame:
 
 
 def free_keys(batch: DataFrame, existing: DataFrame) -> DataFrame:
-    """A key book/label#n for each row of a batch (seq, book, label): n counts on after the largest in use."""
-    prefix = F.concat_ws("/", "book", "label")
-    used = existing.select(
-        F.regexp_extract("key", "^(.*)#([0-9]+)$", 1).alias("prefix"), F.regexp_extract("key", "#([0-9]+)$", 1).try_cast("bigint").alias("n")
-    ).groupBy("prefix").agg(F.max("n").alias("used"))
-    rows = batch.withColumn("prefix", prefix).withColumn("_n", F.row_number().over(W.partitionBy("prefix").orderBy("seq")))
-    return rows.join(used, "prefix", "left").withColumn("key", F.concat_ws("#", "prefix", (F.coalesce("used", F.lit(0)) + F.col("_n")).cast("string"))).drop("prefix", "_n", "used")
+    """A key book/label#n for each row of a batch (seq, book, label): the free numbers of the prefix from 1 on, in the order of seq.
+
+    A slash or a number sign in a name becomes its full-width form.  Of a prefix only the
+    numbers in use that lie among the first (rows + numbers in use) matter; the free ones
+    are what is left of these.
+    """
+    safe = lambda c: F.translate(F.coalesce(c, F.lit("")), "/#", "／＃")
+    rows = batch.withColumn("_prefix", F.concat_ws("/", safe("book"), safe("label"))).withColumn("_n", F.row_number().over(W.partitionBy("_prefix").orderBy("seq")))
+    number = F.regexp_extract("key", "#([0-9]+)$", 1).try_cast("bigint")
+    used = existing.select(F.regexp_extract("key", "^(.*)#([0-9]+)$", 1).alias("_prefix"), number.alias("_used")).filter("_used > 0").distinct()
+    # The k-th number in use has _used - k free ones before it; row n takes the n-th free number.
+    before = used.withColumn("_k", F.row_number().over(W.partitionBy("_prefix").orderBy("_used"))).withColumn("_free", F.col("_used") - F.col("_k"))
+    skipped = before.groupBy("_prefix", "_free").agg(F.max("_k").alias("_k"))
+    both = rows.select("_prefix", F.col("_n").alias("_at"), F.lit(1).alias("_row")).unionByName(skipped.select("_prefix", (F.col("_free") + 1).alias("_at"), F.col("_k"), F.lit(0).alias("_row")), allowMissingColumns=True)
+    over = W.partitionBy("_prefix").orderBy("_at", "_row").rowsBetween(W.unboundedPreceding, 0)
+    numbered = both.withColumn("_skip", F.coalesce(F.max("_k").over(over), F.lit(0))).filter("_row = 1").select("_prefix", F.col("_at").alias("_n"), "_skip")
+    joined = rows.join(numbered, ["_prefix", "_n"])
+    return joined.withColumn("key", F.concat_ws("#", "_prefix", (F.col("_n") + F.col("_skip")).cast("string"))).drop("_prefix", "_n", "_skip")
 
 
 def exact_duplicates(batch: DataFrame, library: DataFrame) -> DataFrame:

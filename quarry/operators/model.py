@@ -80,10 +80,11 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("type"),
         F.col("text").alias("stem"),
         F.substring("text", 1, 12).alias("answer"),
-        F.when(F.col("n_chars") % 5 == 0, "").when(F.col("n_chars") % 5 == 1, "无").otherwise(F.substring("text", 1, 200)).alias("solution"),
+        F.when(F.col("n_chars") % 5 == 0, "").when(F.col("n_chars") % 5 == 1, "无").otherwise(F.col("text")).alias("solution"),
         F.concat(F.col("source"), F.when(k % 3 == 0, EXAM_BOOK).otherwise("")).alias("book"),
         F.concat(F.lit("2020年"), F.col("source"), F.lit("卷")).alias("source_label"),
         F.when(k % 4 == 0, F.concat(F.lit("region"), number(6))).alias("region"),
+        F.when(k % 8 == 0, "single").when(k % 12 == 4, "multi").when(k % 4 == 0, "book").alias("region_scope"),
         F.when(k % 7 != 0, 2000 + k % 25).cast("int").alias("year"),
         F.when(F.col("quality") == 1, "简单题").when(F.col("quality") == 0, "难题").alias("difficulty"),
         F.when(k % 5 == 0, k % 4).cast("int").alias("stars"),
@@ -117,9 +118,10 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 ITEMS_SQL = """
 WITH items AS (
   SELECT 'q' || doc_id AS key, doc_id + 1 AS seq, lang AS type, text AS stem, substr(text, 1, 12) AS answer,
-    CASE WHEN n_chars % 5 = 0 THEN '' WHEN n_chars % 5 = 1 THEN '无' ELSE substr(text, 1, 200) END AS solution,
+    CASE WHEN n_chars % 5 = 0 THEN '' WHEN n_chars % 5 = 1 THEN '无' ELSE text END AS solution,
     source || CASE WHEN doc_id % 3 = 0 THEN '高考真题' ELSE '' END AS book, '2020年' || source || '卷' AS source_label,
     CASE WHEN doc_id % 4 = 0 THEN 'region' || (doc_id % 6) END AS region,
+    CASE WHEN doc_id % 8 = 0 THEN 'single' WHEN doc_id % 12 = 4 THEN 'multi' WHEN doc_id % 4 = 0 THEN 'book' END AS region_scope,
     CAST(CASE WHEN doc_id % 7 <> 0 THEN 2000 + doc_id % 25 END AS INTEGER) AS year,
     CASE quality WHEN 1 THEN '简单题' WHEN 0 THEN '难题' END AS own_difficulty, CASE WHEN doc_id % 5 = 0 THEN CAST(doc_id % 4 AS INTEGER) END AS own_stars,
     CASE WHEN doc_id % 11 = 0 THEN CAST([] AS VARCHAR[]) ELSE ['1.' || (doc_id % 4) || '.' || (doc_id % 9), '2.' || (doc_id % 3) || '.1'] END AS points,

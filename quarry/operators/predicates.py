@@ -87,7 +87,7 @@ def build(p: Params, tag_ids: dict[str, list[str]] | None = None) -> Column:
     if p.points:
         every.append(F.arrays_overlap("points", F.array(*map(F.lit, p.points))))
     if p.region_scope:
-        every.append(F.when(blank(F.col("region")), "unknown").otherwise("single").isin(p.region_scope))
+        every.append(F.when(blank(F.col("region_scope")), "unknown").otherwise(F.col("region_scope")).isin(p.region_scope))
     if p.paper_state:  # unknown counts as complete
         partial = F.col("paper_complete").eqNullSafe(False)
         every.append(partial if p.paper_state == "partial" else ~partial)

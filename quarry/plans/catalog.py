@@ -75,11 +75,11 @@ def filter_facets(spark, d):
 @query(
     """SELECT key, seq FROM full_items WHERE (stars > 0) AND (duplicate_group IS NOT NULL OR true) AND CASE WHEN trim(coalesce(point_source, '')) = '' THEN '无' ELSE point_source END IN ('无')
   AND CASE WHEN trim(coalesce(answer_source, '')) = '' THEN '无' ELSE answer_source END IN ('无', 'official') AND trim(coalesce(reviewed_at, '')) = ''
-  AND CASE WHEN trim(coalesce(region, '')) = '' THEN 'unknown' ELSE 'single' END = 'unknown'""",
+  AND coalesce(region_scope, 'unknown') IN ('unknown', 'multi')""",
     base=True,
 )
 def filter_states(spark, d):
-    p = predicates.Params(star_state="rated", point_source=["无"], answer_source=["无", "official"], reviewed="no", region_scope=["unknown"])
+    p = predicates.Params(star_state="rated", point_source=["无"], answer_source=["无", "official"], reviewed="no", region_scope=["unknown", "multi"])
     return full(spark, d).filter(predicates.build(p)).select("key", "seq")
 
 
@@ -145,11 +145,11 @@ def bm25_search(spark, d):
 
 
 @query(
-    f"""WITH t AS (SELECT doc_id AS key, unnest({_TOKENS}) AS token FROM documents) SELECT token, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT key, token, count(*) AS tf FROM t GROUP BY ALL) GROUP BY token HAVING count(*) > 1"""
+    f"""WITH t AS (SELECT doc_id AS key, unnest({_TOKENS}) AS token FROM documents) SELECT token, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT key, token, count(*) AS tf FROM t GROUP BY ALL) GROUP BY token"""
 )
 def inverted_index(spark, d):
     postings, _ = search.inverted_index(read(spark, d, "documents"), "doc_id", "text")
-    return postings.groupBy("token").agg(F.count("*").alias("postings"), F.sum("tf").alias("tf")).filter("postings > 1")
+    return postings.groupBy("token").agg(F.count("*").alias("postings"), F.sum("tf").alias("tf"))
 
 
 @query(
@@ -401,14 +401,17 @@ def renamed_usage(spark, d):
 
 
 @query(
-    """WITH b AS (SELECT doc_id AS seq, source AS book, lang AS label FROM documents WHERE doc_id % 3 = 0),
-e AS (SELECT source || '/' || lang AS p, max(doc_id % 40) AS used FROM documents WHERE doc_id % 3 = 1 GROUP BY 1)
-SELECT seq, book || '/' || label || '#' || (coalesce(used, 0) + row_number() OVER (PARTITION BY book, label ORDER BY seq)) AS key FROM b LEFT JOIN e ON e.p = book || '/' || label"""
+    """WITH b AS (SELECT doc_id AS seq, source AS book, lang AS label FROM documents WHERE doc_id % 2 = 0),
+e AS (SELECT DISTINCT source || '/' || lang AS p, doc_id % 400 AS u FROM documents WHERE doc_id % 2 = 1),
+r AS (SELECT *, book || '/' || label AS p, row_number() OVER (PARTITION BY book, label ORDER BY seq) AS n FROM b),
+c AS (SELECT p, u, u - row_number() OVER (PARTITION BY p ORDER BY u) AS free FROM e)
+SELECT seq, r.p || '#' || (n + (SELECT count(*) FROM c WHERE c.p = r.p AND c.free < n)) AS key FROM r"""
 )
 def next_free_keys(spark, d):
+    """The even documents as a batch, the odd ones' numbers in use."""
     docs = read(spark, d, "documents")
-    batch = docs.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("seq"), F.col("source").alias("book"), F.col("lang").alias("label"))
-    have = docs.filter("doc_id % 3 = 1").select(F.concat("source", F.lit("/"), "lang", F.lit("#"), (F.col("doc_id") % 40).cast("string")).alias("key"))
+    batch = docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("seq"), F.col("source").alias("book"), F.col("lang").alias("label"))
+    have = docs.filter("doc_id % 2 = 1").select(F.concat("source", F.lit("/"), "lang", F.lit("#"), (F.col("doc_id") % 400).cast("string")).alias("key"))
     return merge.free_keys(batch, have).select("seq", "key")
 
 

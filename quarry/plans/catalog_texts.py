@@ -100,18 +100,18 @@ def new_noise(spark, d):
 
 
 @query(
-    r"""SELECT doc_id, regexp_replace(regexp_replace(text, '([，。；、！？])([，。；、！？])+', '\1', 'g'), '\\arc\{([^}]*)\}', '\\overset{\\frown}{\1}', 'g') AS text FROM documents WHERE NOT regexp_matches(text, '[\\%$，。]') AND length(text) > 0"""
+    r"""SELECT doc_id, regexp_matches(text, '[\\%$，。]') AS concerned, CASE WHEN NOT regexp_matches(text, '[\\%$，。]') THEN text END AS text FROM documents"""
 )
 def rewrite_keeps_clean_text(spark, d):
-    """All rules over texts that none of them concerns: they stay as they are."""
-    docs = read(spark, d, "documents").filter(~F.col("text").rlike(r"[\\%$，。]") & (F.length("text") > 0))
-    rows = docs.select("doc_id", F.col("text").alias("solution"), F.lit("x").alias("stem"), F.lit("").alias("answer"), F.lit("").alias("source_label"), F.lit("detailed").alias("type"))
-    skip = {"step_scores", "running_head", "solution_echo", "answer_from_solution"}
+    """Every document after the rules, its text returned where no rule on marks concerns it: that stays as it is.  rewritten_texts returns the others'."""
+    docs = read(spark, d, "documents").withColumn("concerned", F.col("text").rlike(r"[\\%$，。]"))
+    rows = docs.select("doc_id", "concerned", F.col("text").alias("solution"), F.lit("x").alias("stem"), F.lit("").alias("answer"), F.lit("").alias("source_label"), F.lit("detailed").alias("type"))
+    skip = {"step_scores", "running_head", "solution_echo", "answer_from_solution"}  # these take away whole parts of a text
     out = rows
     for r in rules.RULES:
         if r.name not in skip:
             out = out.withColumns(r.rewrite(F.col))
-    return out.select("doc_id", F.col("solution").alias("text"))
+    return out.select("doc_id", "concerned", F.when(~F.col("concerned"), F.col("solution")).alias("text"))
 
 
 @query()
@@ -146,14 +146,14 @@ def numbered_lines(spark, d):
 
 @query(
     _LINES
-    + r""", q AS (SELECT doc, line_no AS k, substr(text, 1, 40) AS quote FROM n WHERE line_no % 5 = 0), s AS (SELECT doc, k, left(lower(regexp_replace(quote, '\s+', '', 'g')), 24) AS a FROM q),
+    + r""", q AS (SELECT doc, line_no AS k, text AS quote FROM n ), s AS (SELECT doc, k, left(lower(regexp_replace(quote, '\s+', '', 'g')), 24) AS a FROM q),
 f AS (SELECT s.doc, k, min(line_no) AS line_no FROM s JOIN n ON n.doc = s.doc WHERE length(a) >= 6 AND contains(lower(regexp_replace(text, '\s+', '', 'g')), a) GROUP BY s.doc, k),
 b AS (SELECT s.doc, k, line_no AS start FROM s JOIN f USING (doc, k)), z AS (SELECT doc, max(line_no) AS last FROM n GROUP BY doc)
 SELECT doc, k, start, coalesce(lead(start) OVER (PARTITION BY doc ORDER BY start, k) - 1, last) AS range_end FROM b JOIN z USING (doc)"""
 )
 def anchored_blocks(spark, d):
     lines = _lines(spark, d).withColumn("line_no", F.col("line_no").cast("bigint"))
-    quotes = lines.filter("line_no % 5 = 0").select("doc", F.col("line_no").alias("n"), F.substring("text", 1, 40).alias("quote"))
+    quotes = lines.select("doc", F.col("line_no").alias("n"), F.col("text").alias("quote"))
     starts = documents.find_lines(lines, quotes).withColumnRenamed("line_no", "start")
     return documents.blocks(starts, lines).select("doc", F.col("n").alias("k"), "start", F.col("end").alias("range_end"))
 
@@ -208,9 +208,19 @@ def hourly_activity(spark, d):
     return ingest.activity(read(spark, d, "events")).select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("SELECT doc_id, sha256(lower(regexp_replace(text, '[\\s$\\{\\}，。、；：？！,.;:?!（）()]', '', 'g'))) AS fingerprint FROM documents WHERE NOT regexp_matches(text, '[%\\\\_]')")
+def _normalised_sql() -> str:
+    """The normalisation of texts without slots, as SQL."""
+    s = r"regexp_replace(regexp_replace(text, '(^|[^\\])%[^\n]*', '\1', 'g'), '[（(]\s*\\quad\s*[）)]', '_', 'g')"
+    for a, b in [*((c, "") for c in similarity.LAYOUT), *similarity.UNIFIED.items()]:
+        s = f"replace({s}, '{a}', '{b}')"
+    s = rf"regexp_replace({s}, '（\s*）|_{{2,}}|\\underline\{{\s*\}}', '_', 'g')"
+    return rf"lower(regexp_replace({s}, '[\s$\{{\}}，。、；：？！,.;:?!（）()]|\\\\', '', 'g'))"
+
+
+@query(f"SELECT doc_id, sha256({_normalised_sql()}) AS fingerprint FROM documents")
 def normalised_fingerprint(spark, d):
-    return read(spark, d, "documents").filter(~F.col("text").rlike("[%\\\\_]")).select("doc_id", similarity.fingerprint(F.col("text")).alias("fingerprint"))
+    """The fingerprint of every document; the SQL knows no slots, which these texts do not have."""
+    return read(spark, d, "documents").select("doc_id", similarity.fingerprint(F.col("text")).alias("fingerprint"))
 
 
 @query()

@@ -1,9 +1,7 @@
-"""Text volumes of items, a versioned item table, Markdown exchange, the archive of papers, and JSON-lines ledgers."""
+"""Text volumes of items, an item table of batches, Markdown exchange, the archive of papers, and JSON-lines ledgers."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,48 +23,32 @@ def read_volumes(spark: SparkSession, folder: str) -> DataFrame:
     """The items of volumes; blocks split where a header begins, tombstones left out."""
     raw = spark.read.option("lineSep", "\n" + HEAD).text(folder)
     block = F.when(F.startswith("value", F.lit(HEAD)), F.substring("value", len(HEAD) + 1, 1 << 30)).otherwise(F.col("value"))
-    parts = raw.select(block.alias("b")).filter((F.trim("b") != "") & ~F.contains("b", F.lit(GONE)))
+    parts = raw.select(block.alias("b")).filter((F.trim("b") != "") & ~F.startswith("b", F.lit(GONE)) & ~F.col("b").rlike(rf"^\{{[^\n]*\}}\n{GONE}"))
     cut = F.locate("\n", F.col("b"))
     head = F.from_json(F.when(cut > 0, F.substr("b", F.lit(1), cut - 1)).otherwise(F.col("b")), HEADER)
     body = F.when(cut > 0, F.regexp_replace(F.substr("b", cut + 1), "\n$", "")).otherwise("")
     return parts.select(head.alias("h"), body.alias("stem")).select("h.*", "stem").filter("key is not null")
 
 
-class Table:
-    """A Parquet table of versions: a write makes a new version and then moves the pointer, so readers see all of it or nothing."""
-
-    def __init__(self, spark: SparkSession, folder: str, keep: int = 3):
-        self.spark, self.folder, self.keep = spark, folder.rstrip("/"), keep
-
-    def _fs(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
-
-    def versions(self) -> list[int]:
-        fs, path = self._fs()
-        if not fs.exists(path(self.folder)):
-            return []
-        return sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(path(self.folder)) if s.getPath().getName().startswith("v"))
-
-    def read(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/v{self.versions()[-1] if version is None else version}")
-
-    def write(self, rows: DataFrame, based_on: int | None = None) -> int:
-        """A new version; refused if the table has moved on from the version that the rows are based on."""
-        fs, path = self._fs()
-        found = self.versions()
-        if based_on is not None and found and found[-1] != based_on:
-            raise RuntimeError(f"version {based_on} is not the latest, {found[-1]}")
-        new, stage = (found[-1] if found else 0) + 1, f"{self.folder}/_stage-{uuid.uuid4().hex}"
-        rows.write.parquet(stage)
-        if not fs.rename(path(stage), path(f"{self.folder}/v{new}")):
-            raise RuntimeError("another writer was first")
-        for old in found[: max(0, len(found) + 1 - self.keep)]:
-            fs.delete(path(f"{self.folder}/v{old}"), True)
-        return new
-
-    def append(self, rows: DataFrame) -> int:
-        return self.write(self.read().unionByName(rows) if self.versions() else rows)
+def append_batch(rows: DataFrame, folder: str, batch: int) -> None:
+    """Rows as one batch of a table that only grows: a partition of its own, so writers of different batches never touch each other's rows.
+
+    A batch that is written again replaces itself and nothing else.
+    """
+    rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/batch={int(batch)}")
+
+
+def all_rows(spark: SparkSession, folder: str, schema: str | None = None) -> DataFrame:
+    """Every row of every batch, with batch."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.option("basePath", folder).parquet(f"{folder.rstrip('/')}/batch=*")
+
+
+def current(rows: DataFrame, key: str = "key", order: str = "seq") -> DataFrame:
+    """Of each key the row of the latest batch, and there the last; without batch."""
+    place = F.struct("batch", order)
+    last = F.row_number().over(W.partitionBy(key).orderBy(place.desc()))
+    return rows.withColumn("_n", last).filter("_n = 1").drop("_n", "batch")
 
 
 def to_markdown(items: DataFrame, per: int = 100) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quarry.operators.history import last_wins
 from quarry.operators.similarity import fingerprint
-from quarry.sources.volumes import Table
+from quarry.sources.volumes import all_rows, append_batch
 
 
 def incoming(spark: SparkSession, folder: str, schema: str, delay: str = "1 hour") -> DataFrame:
@@ -17,20 +17,25 @@ def incoming(spark: SparkSession, folder: str, schema: str, delay: str = "1 hour
     return rows.withWatermark("at", delay).dropDuplicatesWithinWatermark(["fingerprint"])
 
 
-def merge_into(table: Table):
-    """A foreachBatch function: rows of known fingerprints are left out, of a repeated key the last wins.  A batch that is replayed changes nothing."""
+def merge_into(folder: str):
+    """A foreachBatch function: rows whose fingerprint an earlier batch has are left out; of a key in the batch the last row wins.
+
+    A known key with a new text becomes that key's latest row (see volumes.current).  Each
+    micro-batch writes a partition of its own, so nothing is rewritten, and a batch that
+    is replayed replaces its own rows and sees only those of earlier ones.
+    """
 
     def run(batch: DataFrame, epoch: int) -> None:
         rows = last_wins(batch)
-        if table.versions():
-            rows = rows.join(table.read().select("fingerprint").distinct(), "fingerprint", "left_anti").select(batch.columns)
-        if not rows.isEmpty():
-            table.append(rows)
+        if epoch:
+            known = all_rows(batch.sparkSession, folder).filter(F.col("batch") < epoch).select("fingerprint").distinct()
+            rows = rows.join(known, "fingerprint", "left_anti").select(batch.columns)
+        append_batch(rows, folder, epoch)
 
     return run
 
 
-def ingest(spark: SparkSession, folder: str, schema: str, table: Table, checkpoint: str) -> StreamingQuery:
+def ingest(spark: SparkSession, folder: str, schema: str, table: str, checkpoint: str) -> StreamingQuery:
     stream = incoming(spark, folder, schema)
     return stream.writeStream.foreachBatch(merge_into(table)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
