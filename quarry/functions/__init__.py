@@ -1 +1 @@
-
+"""Text functions as expressions."""

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions.text import pairs
+
 ANCHOR_MIN, ANCHOR_MAX, ALIGN_MIN = 6, 24, 0.22
 
 
@@ -102,14 +104,13 @@ def align(rows: DataFrame) -> DataFrame:
     side's; they come from a join, so only a document's candidate pairs meet in a task.
     """
     text = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", ""))
-    places = F.when(F.length(text) > 1, F.sequence(F.lit(1), F.length(text) - 1)).otherwise(F.array().cast("array<int>"))
-    sides = rows.select("doc", "side", F.col("at").cast("int").alias("at"), F.array_distinct(F.transform(places, lambda i: F.substr(text, i, F.lit(2)))).alias("grams"))
+    sides = rows.select("doc", "side", F.col("at").cast("int").alias("at"), F.array_distinct(pairs(text)).alias("grams"))
     grams = sides.select("doc", "side", "at", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     q = grams.filter("side = 'q'").select("doc", "gram", F.col("at").alias("q"), F.col("n").alias("nq"))
     a = grams.filter("side = 'a'").select("doc", "gram", F.col("at").alias("a"), F.col("n").alias("na"))
     shared = q.join(a, ["doc", "gram"]).groupBy("doc", "q", "a").agg(F.count("*").alias("n"), F.min(F.least("nq", "na")).alias("least"))
-    pairs = shared.select("doc", "q", "a", F.round(F.col("n") / F.col("least"), 6).alias("score")).filter(F.col("score") >= ALIGN_MIN)
-    return pairs.groupBy("doc").applyInPandas(_chain, pairs.schema)
+    candidates = shared.select("doc", "q", "a", F.round(F.col("n") / F.col("least"), 6).alias("score")).filter(F.col("score") >= ALIGN_MIN)
+    return candidates.groupBy("doc").applyInPandas(_chain, candidates.schema)
 
 
 def _numbered(pdf: pd.DataFrame) -> pd.DataFrame:

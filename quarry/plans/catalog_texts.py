@@ -62,7 +62,8 @@ def conform_all(spark, d):
 
 @query(
     _TYPED
-    + """SELECT key, CASE WHEN seq % 4 < 3 AND trim(answer) = '' THEN 0.0 WHEN seq % 4 < 2 AND NOT regexp_matches(trim(answer), '^[A-D]{1,4}$') THEN 0.6 ELSE 1.0 END::DOUBLE AS conf_answer,
+    + """SELECT key, CASE WHEN seq % 4 < 3 AND trim(answer) = '' THEN 0.0 WHEN seq % 4 < 2 AND NOT regexp_matches(trim(answer), '^[A-D]{1,4}$') THEN 0.6
+  WHEN (n_options = 1 AND regexp_matches(trim(answer), '[B-D]')) OR (n_options = 3 AND contains(answer, 'D')) THEN 0.7 ELSE 1.0 END::DOUBLE AS conf_answer,
   CASE WHEN trim(solution) = '' THEN 0.0 ELSE round(greatest(0.0, 1.0::DOUBLE - CASE WHEN length(trim(solution)) < 24 THEN 0.4::DOUBLE ELSE 0 END - CASE WHEN regexp_matches(trim(solution), '(，|,|、|；|;|所以|因此|=)$') THEN 0.35::DOUBLE ELSE 0 END
     - CASE WHEN (length(solution) - length(replace(solution, '$', ''))) % 2 = 1 THEN 0.3::DOUBLE ELSE 0 END), 2) END::DOUBLE AS conf_solution
 FROM y""",

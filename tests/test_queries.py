@@ -6,7 +6,7 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 
-from quarry.plans import catalog, catalog_texts  # noqa: E402, F401
+from quarry.plans import catalog, catalog_queues, catalog_texts  # noqa: E402, F401
 
 
 @pytest.fixture(scope="module")
