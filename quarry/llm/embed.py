@@ -163,7 +163,7 @@ def _compare(table: pa.Table) -> pa.RecordBatch:
     x = _unit(_matrix(table.column("v"), width))
     ids, n, tile = (np.asarray(table.column(c)) for c in ("id", "n", "tile"))
     i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    order = np.argsort(ids)
+    order = np.unique(ids, return_index=True)[1]
     x, ids, n, tile = x[order], ids[order], n[order], tile[order]
     rows = np.flatnonzero(tile == i)
     cols = rows if i == j else np.flatnonzero(tile == j)
@@ -225,7 +225,7 @@ def leaves(classes: DataFrame) -> DataFrame:
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("label", "width", F.xxhash64("tree", "cell").alias("leaf"), "id", "n", "v").dropDuplicates(["label", "width", "leaf", "id"])
+    return out.select("label", "width", F.xxhash64("tree", "cell").alias("leaf"), "id", "n", "v")
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
