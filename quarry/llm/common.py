@@ -7,9 +7,11 @@ hash depends on nothing but the bytes.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +99,37 @@ def remainder(column: str, m: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % m
 
 
+# --- a Python worker's memory --------------------------------------------
+
+_held: dict[Hashable, Any] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Drops what the worker holds and gives free memory back to the system.  A worker serves one stage after another, and idle memory adds to the next one's."""
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """A model that a worker holds for its next tasks; it holds one at a time."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def released(batches: Iterator) -> Iterator:
+    """batches, by a task that starts and ends with released memory."""
+    release()
+    try:
+        yield from batches
+    finally:
+        release()
+
+
 # --- words ---------------------------------------------------------------
 
 _rng = np.random.Generator(np.random.PCG64(7))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import ALNUM, UID, Words, bits_of, chunks, grams, in_bits, read_table, with_uid, written
+from quarry.llm.common import ALNUM, UID, Words, bits_of, chunks, grams, in_bits, read_table, released, with_uid, written
 
 WINDOW, K = 13, 7
 SIDE = WINDOW - K
@@ -129,7 +129,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "n_words bigint, found " + _FOUND
     items = written(
         benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(
-            lambda it: _sketch(it, "text", None, None, ["item_id"]), "item_id string, " + schema
+            lambda it: released(_sketch(it, "text", None, None, ["item_id"])), "item_id string, " + schema
         ),
         "items",
     )
@@ -139,7 +139,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(bits_of(prints, "h", log2))
     sketch = written(
         docs.select(UID, "doc_id", "text").mapInArrow(
-            lambda it: _sketch(it, "text", lengths, bits.value, [UID, "doc_id"]),
+            lambda it: released(_sketch(it, "text", lengths, bits.value, [UID, "doc_id"])),
             f"{UID} bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + schema,
         ),
         "winnowed",

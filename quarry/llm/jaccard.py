@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NOT_SPACE, UID, Words, chunks, drop_written, grams, read_table, with_uid, written
+from quarry.llm.common import NOT_SPACE, UID, Words, chunks, drop_written, grams, read_table, release, released, with_uid, written
 from quarry.llm.components import components
 
 N = 5
@@ -271,6 +271,7 @@ def _passing(batches):
 
 def _linked(docs: pa.Table, pairs: pa.Table) -> pa.Table:
     """The links of a bucket that unite it: a pair whose sides are united already is not verified again."""
+    release()
     ids = docs.column("id").to_pylist() if docs.num_rows else []
     texts = docs.column("text").cast(pa.binary()).to_pylist() if docs.num_rows else []
     sets: dict[int, np.ndarray] = {}
@@ -313,7 +314,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     """Per row of docs (_q_uid, doc_id, text): _q_uid, doc_id, n_shingles and root, the least _q_uid of its component."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketch = written(
-        docs.select(UID, "doc_id", "text").mapInArrow(_sketch, f"{UID} bigint, doc_id {kind}, n bigint, key binary, point binary, head binary, prefix array<bigint>"), "sketches"
+        docs.select(UID, "doc_id", "text").mapInArrow(lambda it: released(_sketch(it)), f"{UID} bigint, doc_id {kind}, n bigint, key binary, point binary, head binary, prefix array<bigint>"), "sketches"
     )
     sets = sketch.filter("n > 0").groupBy("key").agg(F.min(UID).alias("id"), F.count("*").alias("m")).filter("m > 1").select("key", "id")
     copies = written(sketch.filter("n > 0").select("key", UID).join(sets, "key").select(UID, "id"), "copies")
@@ -329,7 +330,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     for c in "ab":
         stars = stars.join(size.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("point").alias(f"p{c}")), c)
     stars = stars.filter((5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na")))
-    stars = written(stars.mapInArrow(_passing, "a bigint, b bigint"), "pairs")
+    stars = written(stars.mapInArrow(lambda it: released(_passing(it)), "a bigint, b bigint"), "pairs")
     links = written(verified(stars, docs, size), "links")
     tested, payload, open_keys = stars, one.select("id", "point", "head"), None
     inner = shared.filter("m > 3 and id <> first and id <> last").select("token", "id", "n", "at")
@@ -360,7 +361,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
             .select("token", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "n", "at", "id", "comp", "tile", "point", "head")
         )
         ordered = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n")
-        found = written(ordered.mapInArrow(lambda it, f=forest: _search(it, f), "a bigint, b bigint").distinct(), "found")
+        found = written(ordered.mapInArrow(lambda it, f=forest: released(_search(it, f)), "a bigint, b bigint").distinct(), "found")
         open_keys = written(found.filter("b < 0").select(F.col("a").alias("token")), "open")
         more = written(found.filter("b >= 0").join(tested, ["a", "b"], "left_anti"), "pairs")
         links = written(links.unionByName(verified(more, docs, size)), "links")

@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import chunks, read_table, remainder
+from quarry.llm.common import chunks, held, read_table, remainder
 
 SAMPLE_LETTERS = 60_000
 ALL_LETTERS = 480_000
@@ -203,15 +203,8 @@ def training_sample(labelled: DataFrame) -> dict[str, str]:
     return out
 
 
-_parser: dict[int, Parser] = {}
-
-
 def _identify(batches, samples: dict[str, str], text: str):
-    key = hash(tuple(sorted(samples.items())))
-    if key not in _parser:  # a worker keeps the automata for its next task
-        _parser.clear()
-        _parser[key] = Parser(samples)
-    parser = _parser[key]
+    parser = held(("automata", *sorted(samples.items())), lambda: Parser(samples))
     for batch in batches:
         labels, scores, bits = [], [], []
         for _, parts in chunks(batch, text):

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import UID, chunks, read_table, written
+from quarry.llm.common import UID, chunks, held, read_table, written
 
 WINDOW = 2048
 GRAIN = 8
@@ -92,16 +92,12 @@ class WordTokenizer:
         return first + b"".join(map(self.words.__getitem__, parts[1:]))
 
 
-_tokenizer: dict[str | None, WordTokenizer] = {}
-
 _PIECE = "start bigint, length bigint, doc_tokens bigint, ids_crc32 bigint, ids binary"
 
 
 def _pieces(batches, folder: str | None):
     """Whole windows (without ids) and the remainder (with ids, for later cuts) of each document."""
-    if folder not in _tokenizer:
-        _tokenizer[folder] = WordTokenizer(folder)
-    encode, end = _tokenizer[folder].encode, np.array([END_ID], "<u4").tobytes()
+    encode, end = held(("tokenizer", folder), lambda: WordTokenizer(folder)).encode, np.array([END_ID], "<u4").tobytes()
     for batch in batches:
         doc_ids = batch.column("doc_id")
         for first, parts in chunks(batch, "text"):
