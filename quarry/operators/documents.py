@@ -131,6 +131,37 @@ def item_starts(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n", n).filter("n is not null").select("doc", "line_no", "n").groupBy("doc").applyInPandas(_numbered, f"doc {kind}, n int, start int")
 
 
+# What marks an option, a blank, and the place for a choice.
+OPTION = r"(?<![A-Za-z0-9])([ABCD])\s*[.．、]\s*"
+BLANK = r"\\fillin|＿{2,}|_{3,}|（\s{2,}）|\(\s{2,}\)"
+CHOICE_PLACE = r"[（(]\s{0,2}[）)]\s*[。.]?\s*$"
+
+
+def split_options(block: Column) -> Column:
+    """A block of lines as (stem, options (label, text)): a line with two labels or more is options from the first label on, a line that begins with one is an option; the last text of a label counts."""
+    each = F.transform(F.split(F.coalesce(block, F.lit("")), "\n"), lambda ln: F.struct(ln.alias("line"), F.regexp_extract_all(ln, F.lit(OPTION), F.lit(1)).alias("labels"), F.split(ln, OPTION, -1).alias("parts")))
+    several = lambda x: F.size(x["labels"]) >= 2
+    optional = lambda x: several(x) | ((F.size(x["labels"]) == 1) & (F.length(F.element_at(x["parts"], 1)) <= 2))
+    kept = F.transform(each, lambda x: F.when(several(x), F.nullif(F.trim(F.element_at(x["parts"], 1)), F.lit(""))).when(~optional(x), x["line"]))
+    named = lambda x: F.zip_with(x["labels"], F.slice(x["parts"], 2, F.size(x["labels"])), lambda a, b: F.struct(a.alias("label"), F.trim(b).alias("text")))
+    found = F.flatten(F.transform(F.filter(each, optional), named))
+    last = F.filter(found, lambda o, i: ~F.exists(F.slice(found, i + 2, F.size(found)), lambda p: p["label"] == o["label"]))
+    return F.struct(F.trim(F.array_join(F.array_compact(kept), "\n"), F.lit(" \t\r\n")).alias("stem"), F.array_sort(last).alias("options"))
+
+
+def classify_type(stem: Column, options: Column, answer: Column, hint: Column | None = None) -> Column:
+    """An item's type by its text; the hint decides only where there are options and no answer."""
+    s, a = F.coalesce(stem, F.lit("")), F.trim(F.coalesce(answer, F.lit("")))
+    choice = (F.size(options) >= 3) | (F.regexp_count(s, F.lit(OPTION)) >= 3)
+    several = a.rlike("^[A-D]{2,4}$") | (~a.rlike("^[A-D]$") & (F.coalesce(hint, F.lit("")) == "multi_choice") if hint is not None else F.lit(False))
+    return (
+        F.when(choice, F.when(several, "multi_choice").otherwise("single_choice"))
+        .when(s.rlike(BLANK), "fill_in_blank")
+        .when(s.rlike(CHOICE_PLACE), "single_choice")
+        .otherwise("detailed_answer")
+    )
+
+
 def tag_noise(texts: DataFrame, key: str, text: str, known: DataFrame, pattern: str) -> DataFrame:
     """New snippets that match a pattern: (snippet, hash, n, first_key), without those whose hash is known."""
     each = texts.select(key, F.explode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))).alias("snippet"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -77,6 +78,57 @@ def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
     return counted.filter(hit).crossJoin(F.broadcast(stats)).select("key", score.alias("score"))  # stats: one row
 
 
+def searchable(*columns: Column) -> Column:
+    """The words of some texts in lower case, each between spaces of its own; LaTeX commands and marks are gone, an ideograph is a word."""
+    s = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in columns))
+    s = F.regexp_replace(s, r"\\[A-Za-z]+", " ")
+    s = F.lower(F.regexp_replace(s, "([\\x{3400}-\\x{9fff}])", " $1 "))
+    words = F.filter(F.split(s, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
+
+
+def phrases(query: str) -> list[str]:
+    """The phrases of a query as they stand in searchable(): a run of ideographs is one phrase of its characters, so is a word with underscores of its parts; other characters part phrases."""
+    out = []
+    for run in re.findall("[\u3400-\u9fff]+|[A-Za-z0-9_]+", query or ""):
+        words = list(run) if run[0] >= "\u3400" else run.lower().replace("_", " ").split()
+        if words:
+            out.append(" " + "  ".join(words) + " ")
+    return out
+
+
+def phrase_search(docs: DataFrame, key: str, document: Column, query: str) -> DataFrame:
+    """key and score of the documents, given by searchable(), that hold every phrase; BM25 with a phrase as the unit.  Nothing for a query without a phrase.
+
+    A document is read once and scored where it is; what moves is one row of totals.
+    """
+    asked = phrases(query)
+    counted = docs.select(F.col(key).alias("key"), document.alias("_doc")).select(
+        "key", F.regexp_count("_doc", F.lit(r"\S+")).alias("length"), *(F.regexp_count("_doc", F.lit(f"(?={t})")).alias(f"tf{i}") for i, t in enumerate(asked))
+    )
+    held = [F.col(f"tf{i}") > 0 for i in range(len(asked))]
+    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("avg"), *(F.count_if(h).alias(f"df{i}") for i, h in enumerate(held)))
+    score = F.lit(0.0)
+    for i in range(len(asked)):
+        idf = F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6))
+        score = score + idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("length") / F.col("avg")))
+    hit = reduce(lambda a, b: a & b, held, F.lit(bool(asked)))
+    return counted.filter(hit).crossJoin(F.broadcast(stats)).select("key", score.alias("score"))  # stats: one row
+
+
+def best_phrases(docs: DataFrame, key: str, document: Column, query: str, limit: int = 2000) -> DataFrame:
+    """The best of phrase_search(); the limit is held to 1 to 10000."""
+    return phrase_search(docs, key, document, query).orderBy(F.desc("score"), "key").limit(max(1, min(limit, 10_000)))
+
+
+def two_tiers(scored: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Items (key, score, used) by their place in a phrase search (key, score) first, the others, or all if it found none, by field score after them."""
+    from pyspark.sql import Window as W
+
+    place = ranked.select("key", F.row_number().over(W.orderBy(F.desc("score"), "key")).alias("rank"))  # at most 10000 rows
+    return scored.join(place, "key", "left").orderBy(*ordering("", "keyword"))
+
+
 def ordering(sort: str, keyword: str = "") -> list[Column]:
     """Sort keys, all of them total orders: the last one is seq."""
     seq = F.col("seq")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators import quality, queues, semantics
+from quarry.operators import documents, quality, queues, search, semantics
 from quarry.operators.model import read
 from quarry.plans.catalog import full, query
 from quarry.plans.catalog_texts import _TYPED, _typed
@@ -167,3 +167,46 @@ def violation_counts(spark, d):
     rules = {k: v for k, v in quality.conformance("text").items() if k in ("dollar", "double_dollar")}
     return quality.violations(read(spark, d, "documents"), "doc_id", rules).groupBy("rule").agg(F.count("*").alias("n"))
 
+
+
+_SEARCHABLE = r"""' ' || array_to_string(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(coalesce(text, ''), '\\[A-Za-z]+', ' ', 'g'), '([\x{3400}-\x{9fff}])', ' \1 ', 'g')), '[^\p{L}\p{N}]+'), lambda w: w <> ''), '  ') || ' '"""
+_PHRASE = search.phrases("of_the and")
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id AS key, {_SEARCHABLE} AS s FROM documents),
+c AS (SELECT key, len(list_filter(string_split(s, ' '), lambda x: x <> '')) AS n, (length(s) - length(replace(s, '{_PHRASE[0]}', ''))) // {len(_PHRASE[0])} AS a, (length(s) - length(replace(s, '{_PHRASE[1]}', ''))) // {len(_PHRASE[1])} AS b FROM t),
+s AS (SELECT count(*) AS n, avg(n) AS av, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c)
+SELECT key, round(greatest(ln((s.n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * c.n / av)) + greatest(ln((s.n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * c.n / av)), 6) AS score
+FROM c, s WHERE a > 0 AND b > 0"""
+)
+def phrase_search(spark, d):
+    found = search.phrase_search(read(spark, d, "documents"), "doc_id", search.searchable(F.col("text")), "of_the and")
+    return found.select("key", F.round("score", 6).alias("score"))
+
+
+@query(
+    _TYPED
+    + """SELECT key, 'answer_place' AS rule FROM y WHERE trim(answer) <> '' AND type <> 'detailed_answer' UNION ALL SELECT key, 'blanks' FROM y WHERE type = 'fill_in_blank'""",
+    base=True,
+)
+def item_conformance(spark, d):
+    """Rules on formulas and places for answers; tests check each by hand."""
+    return quality.violations(_typed(spark, d), "key", quality.item_conformance()).select("key", "rule")
+
+
+@query(
+    r"""WITH l AS (SELECT conv_id, turn, role, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)),
+m AS (SELECT *, len(regexp_extract_all(line, '(^|[^A-Za-z0-9])[ABCD]\s*[.．、]')) AS n, regexp_replace(line, '(^|[^A-Za-z0-9])[ABCD]\s*[.．、].*$', '\1') AS head FROM l),
+k AS (SELECT conv_id, turn, role, text, string_agg(CASE WHEN n >= 2 THEN nullif(trim(head), '') WHEN n = 1 AND length(head) <= 2 THEN NULL ELSE line END, chr(10) ORDER BY i) AS stem FROM m GROUP BY ALL),
+c AS (SELECT conv_id, turn, role, text FROM conversations)
+SELECT c.conv_id, c.turn, c.role, regexp_replace(coalesce(stem, ''), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS stem, ['Aone', 'Btwo', 'C' || c.role] AS options, CASE WHEN c.turn % 2 = 0 THEN 'multi_choice' ELSE 'single_choice' END AS type
+FROM c JOIN k ON k.conv_id = c.conv_id AND k.turn = c.turn AND k.role = c.role AND k.text IS NOT DISTINCT FROM c.text"""
+)
+def split_and_typed(spark, d):
+    """Turns with options put below them, split and typed again; a line of a turn that begins like an option is one, which the options below replace."""
+    c = read(spark, d, "conversations")
+    block = F.concat(F.coalesce("text", F.lit("")), F.lit("\nA. one  B．two\nC、 "), F.col("role"))
+    rows = c.select("conv_id", "turn", "role", documents.split_options(block).alias("x"))
+    kind = documents.classify_type(F.col("x.stem"), F.col("x.options"), F.when(F.col("turn") % 2 == 0, "AC").otherwise("B"))
+    return rows.select("conv_id", "turn", "role", "x.stem", F.transform("x.options", lambda o: F.concat(o["label"], o["text"])).alias("options"), kind.alias("type"))
