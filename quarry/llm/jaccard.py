@@ -299,15 +299,27 @@ def _linked(docs: pa.Table, pairs: pa.Table) -> pa.Table:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Links (u, v) among pairs (a, b) of ids, verified on the texts of docs (_q_uid, text), that unite what the pairs' links unite.  sizes: (id, n)."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    total = ids.join(sizes.select("id", "n"), "id").agg(F.count("*").alias("ids"), F.sum("n").alias("n")).first()
+    """Links (u, v) among pairs (a, b) of ids, verified on the texts of docs (_q_uid, text), that unite what the pairs' links unite.  sizes: (id, n).
+
+    Pairs are dealt to a grid of buckets by both ids.  An id of so many partners that they
+    overfill its row of buckets has them salted over parts; sets of a pair are of like
+    size, so its partners' shingles are about its own times their number.
+    """
+    met = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("pairs"))
+    met = written(met.join(sizes.select("id", "n"), "id"), "partners")
+    total = met.agg(F.count("*").alias("ids"), F.sum("n").alias("n")).first()
     side = max(2, int(np.ceil(max(total["ids"] / BUCKET_DOCS, (total["n"] or 0) / BUCKET_SHINGLES) ** 0.5)))
+    parts = F.ceil(F.greatest(F.col("pairs") / BUCKET_DOCS, F.col("pairs") * F.col("n") / BUCKET_SHINGLES)).cast("int")
+    hot = met.select("id", parts.alias("parts")).filter("parts > 1")
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
     dealt = pairs.withColumn("bucket", part("a") * side + part("b"))
-    need = dealt.select("bucket", F.col("a").alias("id")).unionByName(dealt.select("bucket", F.col("b").alias("id"))).distinct()
-    texts = need.join(docs.select(F.col(UID).alias("id"), "text"), "id").select(F.col("bucket").alias("place"), "id", "text")
-    return texts.groupBy("place").cogroup(dealt.groupBy("bucket")).applyInArrow(_linked, "u bigint, v bigint")
+    for own, other in ("ab", "ba"):
+        salt = F.pmod(F.xxhash64(other, F.lit(1)), F.col("parts")).cast("int")
+        dealt = dealt.join(hot.withColumnRenamed("id", own), own, "left").withColumn(f"salt_{own}", F.coalesce(salt, F.lit(0))).drop("parts")
+    key = ["bucket", "salt_a", "salt_b"]
+    need = dealt.select(*key, F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = need.join(docs.select(F.col(UID).alias("id"), "text"), "id").select(*key, "id", "text")
+    return texts.groupBy(*key).cogroup(dealt.select(*key, "a", "b").groupBy(*key)).applyInArrow(_linked, "u bigint, v bigint")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:

@@ -286,4 +286,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)),
         F.sha2(written_out(base).cast("binary"), 256).alias("base_sha256"),
         written_out(F.col("_q_spans")).alias("spans"),
+        F.size("_q_spans").cast("bigint").alias("n_spans"),
     )
