@@ -318,8 +318,9 @@ def verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame) -> DataFrame:
         dealt = dealt.join(hot.withColumnRenamed("id", own), own, "left").withColumn(f"salt_{own}", F.coalesce(salt, F.lit(0))).drop("parts")
     key = ["bucket", "salt_a", "salt_b"]
     need = dealt.select(*key, F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = need.join(docs.select(F.col(UID).alias("id"), "text"), "id").select(*key, "id", "text")
-    return texts.groupBy(*key).cogroup(dealt.select(*key, "a", "b").groupBy(*key)).applyInArrow(_linked, "u bigint, v bigint")
+    place = [f"text_{k}" for k in key]  # names of their own: both sides come from the same pairs
+    texts = need.join(docs.select(F.col(UID).alias("id"), "text"), "id").select(*(F.col(k).alias(p) for k, p in zip(key, place)), "id", "text")
+    return texts.groupBy(*place).cogroup(dealt.select(*key, "a", "b").groupBy(*key)).applyInArrow(_linked, "u bigint, v bigint")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
