@@ -73,3 +73,40 @@ def test_fingerprints(spark):
 @pytest.mark.parametrize("name", ["rewritten_texts", "all_fingerprints"])
 def test_every_document_is_returned(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+#: rule: (scope, type, before, after), each of stem, answer, solution and source label.
+BY_RULE = [
+    ("answer_book_footer", "single_choice", ("q", "A", "one\n\n数学参考答案(甲版)-2\n\ntwo", ""), ("q", "A", "one\n\ntwo", "")),
+    ("label_paren", "single_choice", ("q", "A", "", "卷（一（二 "), ("q", "A", "", "卷（一（二））")),
+    ("label_full_width", "single_choice", ("q", "A", "", "卷(一）"), ("q", "A", "", "卷（一）")),
+    ("label_full_width", "single_choice", ("q", "A", "", "卷(一)"), ("q", "A", "", "卷(一)")),
+    ("answer_into_paren", "single_choice", (r"a ( ) is （\quad）.", "$B$", "", ""), (r"a ( ) is \paren[$B$].", "$B$", "", "")),
+    ("answer_into_paren", "single_choice", (r"a \paren", "B", "", ""), (r"a \paren[B]", "B", "", "")),
+    ("answer_into_paren", "fill_in_blank", ("a ( )", "B", "", ""), ("a ( )", "B", "", "")),
+    ("paren_follows_answer", "multi_choice", (r"a \paren[AC] b", "ACD", "", ""), (r"a \paren[ACD] b", "ACD", "", "")),
+    ("paren_follows_answer", "multi_choice", (r"\paren[A] \paren[B]", "C", "", ""), (r"\paren[A] \paren[B]", "C", "", "")),
+    ("drop_leftover_blank", "single_choice", (r"is $(\quad)$ \paren[A]", "A", "", ""), (r"is \paren[A]", "A", "", "")),
+    ("drop_leftover_blank", "single_choice", (r"is （ \paren[] ）", "A", "", ""), (r"is \paren[]", "A", "", "")),
+    ("ensure_paren", "single_choice", ("q ", "A", "", ""), (r"q \paren[A]", "A", "", "")),
+    ("ensure_paren", "single_choice", ("q ", "", "", ""), ("q ", "", "", "")),
+    ("answer_list", "fill_in_blank", ("q", r"\begin{enumerate}\item 1 \item 2\end{enumerate}", "", ""), ("q", "1；2", "", "")),
+    ("unify_detailed_answer", "detailed_answer", ("q", "7", "so 7", ""), ("q", "见解析", "so 7", "")),
+    ("unify_detailed_answer", "detailed_answer", ("q", "7", "解析无", ""), ("q", "7", "解析无", "")),
+    ("unify_separator", "fill_in_blank", (r"\fillin{} \fillin{}", "1, 2; 3", "", ""), (r"\fillin{} \fillin{}", "1, 2；3", "", "")),
+    ("unify_separator", "fill_in_blank", (r"\fillin{}", "1; 3", "", ""), (r"\fillin{}", "1; 3", "", "")),
+    ("list_options", "detailed_answer", (r"\begin{enumerate} [label=a] \item x", "", "", ""), (r"\begin{enumerate} \item x", "", "", "")),
+    ("solution_tags_entry", "detailed_answer", ("q", "", "【详解】 so", ""), ("q", "", "so", "")),
+    ("type_head_existing", "multi_choice", ("（多选）q", "A", "", ""), ("q", "A", "", "")),
+    ("sentence_period_existing", "detailed_answer", ("成立. 因", "", "", ""), ("成立。 因", "", "", "")),
+]
+
+
+def test_each_rule_by_hand(spark):
+    fields = ["stem", "answer", "solution", "source_label"]
+    by_name = {r.name: r for r in rules.RULES}
+    rows = spark.createDataFrame([(k, kind, *before) for k, (_, kind, before, _) in enumerate(BY_RULE)], "k int, type string, " + ", ".join(f"{f} string" for f in fields))
+    for name in dict.fromkeys(b[0] for b in BY_RULE):
+        mine = [k for k, b in enumerate(BY_RULE) if b[0] == name]
+        got = rows.filter(F.col("k").isin(mine)).withColumns(by_name[name].rewrite(F.col)).select("k", *fields).collect()
+        assert {r["k"]: tuple(r)[1:] for r in got} == {k: BY_RULE[k][3] for k in mine}, name
