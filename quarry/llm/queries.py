@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, embed, extract, jaccard, langid, middle, packing, pii, scoring, substrings, warc
+from quarry.llm import decontaminate, embed, extract, jaccard, langid, middle, packing, pii, repair, scoring, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": langid.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substrings": substrings.query,
     "op10_scoring": scoring.query,
     "op12_fill_in_middle": middle.query,
+    "op13_conversation_repair": repair.query,
 }
 
 SQL: dict[str, str] = {
@@ -29,4 +30,5 @@ SQL: dict[str, str] = {
     "op8_decontamination": decontaminate.ORACLE_SQL,
     "op9_substrings": substrings.ORACLE_SQL,
     "op12_fill_in_middle": middle.ORACLE_SQL,
+    "op13_conversation_repair": repair.ORACLE_SQL,
 }
