@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontaminate, embed, extract, jaccard, langid, middle, packing, pii, repair, scoring, substrings, warc
+from quarry.llm import decontaminate, embed, extract, jaccard, langid, middle, packing, pii, repair, scoring, substrings, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": langid.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": decontaminate.query,
     "op9_substrings": substrings.query,
     "op10_scoring": scoring.query,
+    "op11_url_filter": urls.query,
     "op12_fill_in_middle": middle.query,
     "op13_conversation_repair": repair.query,
 }
@@ -29,6 +30,7 @@ SQL: dict[str, str] = {
     "op6_embedding_neardup": embed.ORACLE_SQL,
     "op8_decontamination": decontaminate.ORACLE_SQL,
     "op9_substrings": substrings.ORACLE_SQL,
+    "op11_url_filter": urls.ORACLE_SQL,
     "op12_fill_in_middle": middle.ORACLE_SQL,
     "op13_conversation_repair": repair.ORACLE_SQL,
 }
