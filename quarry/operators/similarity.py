@@ -1,21 +1,13 @@
-"""Exact and near duplicates of items: normalised text, fingerprints, candidate join, ratio, semantic veto."""
+"""Exact duplicates of items and what near ones are told by: normalised text, fingerprints, critical tokens, verdicts, overlaps.  The search is in near.py."""
 
 from __future__ import annotations
 
-import difflib
-import math
 import re
-from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 THRESHOLD, TOP, STRICT = 0.80, 3, 0.95
-SALTS = 16
 SAME, SUSPECT, NEW, VARIANT = "并入", "疑似", "新建", "变式"
 
 # Fixed values, in the order in which they are tried: words and symbols that make another item of the same text.
@@ -89,59 +81,6 @@ def common_length(a: str, b: str) -> int:
     return len(a) - left.bit_count()
 
 
-def ratio(threshold: float):
-    """Ratcliff-Obershelp ratio, 0 below the threshold; two upper bounds are tried first."""
-
-    @F.pandas_udf(T.DoubleType())
-    def score(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in it:
-            out = []
-            for x, y in zip(a, b):
-                if x == y:
-                    r = 1.0
-                elif 2 * sum((Counter(x) & Counter(y)).values()) < threshold * (len(x) + len(y)) or 2 * common_length(x, y) < threshold * (len(x) + len(y)):
-                    r = 0.0
-                else:
-                    r = difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
-                out.append(r if r >= threshold else 0.0)
-            yield pd.Series(out)
-
-    return score
-
-
-def grams(text: Column, n: int = 3) -> Column:
-    """Distinct runs of n characters; a shorter text is its own."""
-    chars = F.split(text, "")
-    many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.array_join(F.slice(chars, i, F.lit(n)), "")))
-    return F.when(F.length(text) >= n, many).when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
-
-
-def near(batch: DataFrame, library: DataFrame, threshold: float = THRESHOLD, top: int = TOP) -> DataFrame:
-    """For each row of a batch (key, norm) the most similar rows of the library (key, norm).
-
-    All rows whose lengths allow the threshold are compared: those of the same band of
-    lengths or the next.  Upper bounds spare most of them the ratio, and none is left out.
-    The veto: pairs whose critical tokens differ are variants.  Meant for a new batch
-    against the library, not a self-join.
-    """
-    step = (2 - threshold) / threshold  # no longer text can reach the threshold
-    place = F.log(F.length("norm").cast("double")) / math.log(step) if step > 1 else F.length("norm").cast("double")
-    bands = F.sequence(F.floor(place - 1 - 1e-9), F.floor(place + 1 + 1e-9))
-    a = batch.filter(F.length("norm") > 0).select(F.col("key").alias("left"), F.col("norm").alias("a"), F.explode(bands).alias("band"))
-    a = a.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    b = library.filter(F.length("norm") > 0).select(F.col("key").alias("right"), F.col("norm").alias("b"), F.floor(place).alias("band"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt"))
-    low, high = F.least(F.length("a"), F.length("b")), F.greatest(F.length("a"), F.length("b"))
-    pairs = a.join(b, ["band", "salt"]).filter("left <> right").filter(low * step >= high - 1e-6)
-    scored = pairs.withColumn("score", ratio(threshold)("a", "b")).filter(F.col("score") >= threshold).withColumn("score", F.round("score", 3))
-    best = W.partitionBy("left").orderBy(F.desc("score"), "right")
-    variant = critical_tokens(F.col("a")) != critical_tokens(F.col("b"))
-    return (
-        scored.withColumn("rank", F.row_number().over(best))
-        .filter(F.col("rank") <= top)
-        .select("left", "right", "score", "rank", F.when(variant, VARIANT).otherwise(classify(F.col("score"))).alias("verdict"))
-    )
-
-
 def dice(pairs: DataFrame, a: str, b: str, key: list[str]) -> DataFrame:
     """Dice coefficient of the multisets of character pairs of two columns."""
     def bag(c: str, side: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import facets, history, merge, model, predicates, search, selection, similarity, windows
+from quarry.operators import facets, history, merge, model, near, predicates, search, selection, similarity, windows
 from quarry.operators.model import ITEMS_SQL, items, points, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -524,26 +524,47 @@ def token_overlap(spark, d):
 
 
 @query(
-    f"""WITH v AS (SELECT doc_id, ['函数单调递增', '函数递增且大于等于0', 'A\\subseteq B', '至少一个正数'][1 + CAST(doc_id % 4 AS INT)] AS s FROM documents)
+    f"""WITH v AS (SELECT doc_id, replace(replace(replace(replace(coalesce(text, ''), 'the', '大于等于'), 'tion', '单调递增'), ' de ', 'A\\subseteq B'), 'ing', '至少一个正数') AS s FROM documents)
 SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(s, '{similarity.CRITICAL}'))), ',') AS tokens FROM v"""
 )
 def critical_tokens(spark, d):
-    texts = F.array(*map(F.lit, ["函数单调递增", "函数递增且大于等于0", "A\\subseteq B", "至少一个正数"]))
-    v = read(spark, d, "documents").select("doc_id", F.get(texts, (F.col("doc_id") % 4).cast("int")).alias("s"))
+    s = F.coalesce("text", F.lit(""))
+    for part, words in {"the": "大于等于", "tion": "单调递增", " de ": "A\\subseteq B", "ing": "至少一个正数"}.items():
+        s = F.replace(s, F.lit(part), F.lit(words))
+    v = read(spark, d, "documents").select("doc_id", s.alias("s"))
     return v.select("doc_id", F.array_join(similarity.critical_tokens(F.col("s")), ",").alias("tokens"))
 
 
-#: Documents of a new batch.
-NEW = 20
+#: Searches ask for every document whose id is divisible by this, against all documents.
+EVERY = 50
+
+
+def _asked(spark, d) -> tuple[DataFrame, DataFrame]:
+    docs = read(spark, d, "documents")
+    keyed = lambda rows: rows.select(F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("key"), similarity.normalised(F.col("text")).alias("norm"))
+    return keyed(docs.filter(F.col("doc_id") % EVERY == 0)), keyed(docs)
 
 
 @query()
 def near_duplicate_items(spark, d):
-    """The last NEW documents against all before them; the ratio has no SQL form."""
-    docs = read(spark, d, "documents").select("doc_id", F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("key"), similarity.normalised(F.col("text")).alias("norm"))
-    first = read(spark, d, "documents").filter("doc_id is not null").select("doc_id").orderBy(F.desc("doc_id")).limit(NEW).select(F.min("doc_id").alias("first"))
-    sided = docs.crossJoin(F.broadcast(first))
-    return similarity.near(sided.filter("doc_id >= first").select("key", "norm"), sided.filter("doc_id < first").select("key", "norm"))
+    """Every EVERY-th document against all; the ratio has no SQL form."""
+    return near.near(*_asked(spark, d))
+
+
+@query()
+def whole_item_duplicates(spark, d):
+    """Of the same documents those that a more than 0.95 similar one keeps out of the library."""
+    return near.same_items(*_asked(spark, d))
+
+
+@query(
+    r"""SELECT count(*) AS total, count(*) FILTER (n <> '') AS indexed, count(*) FILTER (n = '') AS skipped, round(count(*) FILTER (n <> '') / count(*), 4) AS coverage, count(*) FILTER (n = '') = 0 AS ready,
+  array_to_string(coalesce((array_agg(doc_id ORDER BY doc_id) FILTER (n = ''))[1:3], []), ',') AS first_skipped
+FROM (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '%[^\n]*', '', 'g'), '[\s${}，。、；：？！,.;:?!（）()]', '', 'g') AS n FROM documents)"""
+)
+def near_index_status(spark, d):
+    found = near.index_status(read(spark, d, "documents"), "doc_id", similarity.normalised(F.col("text")))
+    return found.withColumn("first_skipped", F.array_join(F.col("first_skipped").cast("array<string>"), ","))
 
 
 # --- selection ---------------------------------------------------------------------

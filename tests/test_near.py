@@ -3,32 +3,107 @@
 import difflib
 import random
 
-from quarry.operators import similarity
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.operators import near, similarity
 from quarry.plans import catalog
 
 
-def brute(batch, library):
+def brute(batch, library, threshold=similarity.THRESHOLD, top=similarity.TOP):
     out = set()
     for k, x in batch:
-        found = [(r, j) for j, y in library if j != k and x and y and (r := difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()) >= similarity.THRESHOLD]
-        out |= {(k, j, round(r, 3)) for r, j in sorted(found, key=lambda x: (-round(x[0], 3), x[1]))[: similarity.TOP]}
+        found = [(r, j) for j, y in library if j != k and x and y and (r := difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()) >= threshold]
+        out |= {(k, j, round(r, 3)) for r, j in sorted(found, key=lambda x: (-round(x[0], 3), x[1]))[:top]}
     return out
 
 
-def test_no_match_is_cut(spark):
-    """Far more than 60 library texts share more trigrams with the new text than its copies do; some share none."""
+def found(spark, batch, library, *more):
+    return near.near(*(spark.createDataFrame(x, "key string, norm string") for x in (batch, library)), *more).collect()
+
+
+def noisy(rng, text, share):
+    return "".join(c if rng.random() > share else "#" for c in text)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    """Far more than 60 library texts share more grams with the new text than its copies do; some share none."""
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
     new = "".join(words[:30])
     library = [(f"l{i}", "".join(rng.sample(words, 60)) + new[:100]) for i in range(90)]
-    library += [("copy", new[:70] + "zz" + new[72:]), ("same", new), ("short", "ab2cd"), ("empty", "")]
-    library += [(f"m{i}", "".join(rng.sample(words, 30))) for i in range(90)] + [(f"z{i}", "".join(c if rng.random() > 0.12 else "#" for c in new)) for i in range(20)]
-    batch = [("n1", new), ("n2", "ab1cd"), ("n3", ""), ("n4", "".join(words[30:]))]
-    got = similarity.near(*(spark.createDataFrame(x, "key string, norm string") for x in (batch, library))).collect()
+    library += [("copy", new[:70] + "zz" + new[72:]), ("same", new), ("short", "ab2cd"), ("empty", ""), ("none", None)]
+    library += [(f"m{i}", "".join(rng.sample(words, 30))) for i in range(90)] + [(f"z{i}", noisy(rng, new, 0.12)) for i in range(20)]
+    library += [(f"d{i}", noisy(rng, "".join(words[30:]), 0.01)) for i in range(300)] + [(f"e{i}", "same text") for i in range(50)]
+    batch = [("n1", new), ("n2", "ab1cd"), ("n3", ""), ("n4", "".join(words[30:])), ("e7", "same text"), ("e8", "same text"), ("n5", None), ("n6", "x")]
+    return batch, library
+
+
+@pytest.mark.parametrize("run", [near.RUN, None])
+def test_no_match_is_cut(spark, texts, run):
+    batch, library = texts
+    got = found(spark, batch, library, similarity.THRESHOLD, similarity.TOP, run)
     want = brute(batch, library)
     assert {(r.left, r.right, r.score) for r in got} == want and ("n2", "short", 0.8) in want and ("n1", "same", 1.0) in want
+    assert {r.complete for r in got} == {run is None} and {r["rank"] for r in got} == {1, 2, 3}
+
+
+def test_scattered_replacements_need_every_pair(spark):
+    """Blocks of four characters at a ratio of 0.8: ruled out with a run of 8, found without, and the result says so."""
+    rng = random.Random(1)
+    one = "".join(rng.choice("abcdefghijklmnop") for _ in range(400))
+    other = "".join("#" if i % 5 == 4 else c for i, c in enumerate(one))
+    assert not found(spark, [("a", one)], [("b", other)])
+    got = found(spark, [("a", one)], [("b", other)], 0.8, 3, None)
+    assert [(r.right, r.score, r.complete) for r in got] == [("b", 0.8, True)]
+
+
+def test_high_thresholds_are_complete(spark, texts):
+    batch, library = texts
+    got = found(spark, batch, library, 0.95, 5)
+    assert {(r.left, r.right, r.score) for r in got} == brute(batch, library, 0.95, 5) and all(r.complete for r in got)
+
+
+def test_blocks_of_queries(spark, texts, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK_CHARS", 200)
+    batch, library = texts
+    assert {(r.left, r.right, r.score) for r in found(spark, batch, library)} == brute(batch, library)
+
+
+def test_more_than_the_threshold(spark):
+    """Exactly 0.95 does not count, more does, and a variant is no exception."""
+    base = "函数单调递增" + "".join(chr(0x4E00 + 7 * i) for i in range(94))
+    rows = [("a", base), ("b", base[:95] + "#####"), ("c", base[:96] + "####"), ("v", base.replace("递增", "递减"))]
+    make = lambda x: spark.createDataFrame(x, "key string, norm string")
+    assert near.same_items(make(rows[:1]), make(rows[1:2])).count() == 0
+    assert [(r.right, r.score) for r in near.same_items(make(rows[:1]), make(rows[:3])).collect()] == [("c", 0.96)]
+    assert [(r.right, r.verdict) for r in near.same_items(make(rows[:1]), make(rows)).collect()] == [("v", similarity.VARIANT)]
+
+
+def test_bounds_hold():
+    """Common grams, hashed or not, never fall below what the ratio needs."""
+    rng = random.Random(6)
+    for _ in range(300):
+        x = "".join(rng.choice("abcd") for _ in range(rng.randint(0, 120)))
+        y = noisy(rng, x, rng.random() * 0.3)[rng.randint(0, 3) :] + x[:5]
+        r, size = difflib.SequenceMatcher(None, x, y, autojunk=False).ratio(), len(x) + len(y)
+        a, b = near.least_grams(max(r, 1e-9), None)
+        gx, gy = near.gram_hashes(x), near.gram_hashes(y)
+        common = near.common_grams(gx, gy)
+        assert common >= a * size - b - 1e-6
+        assert float(near._roots([gx])[0] @ near._roots([gy])[0]) >= 0.999 * common
+
+
+def test_status(spark, texts):
+    got = near.index_status(spark.createDataFrame(texts[1], "key string, norm string"), "key", F.col("norm")).first()
+    assert (got.total, got.indexed, got.skipped, got.ready, got.first_skipped) == (len(texts[1]), len(texts[1]) - 2, 2, False, ["empty", "none"])
+    assert tuple(near.index_status(spark.createDataFrame([], "key string, norm string"), "key", F.col("norm")).first()) == (0, 0, 0, 1.0, True, [])
 
 
 def test_documents_are_searched(spark, sf):
     got = catalog.QUERIES["near_duplicate_items"](spark, sf).collect()
-    assert got and all(int(r.left[1:]) > int(r.right[1:]) for r in got)
+    docs = catalog.read(spark, sf, "documents").select(F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("key"), similarity.normalised(F.col("text")).alias("norm"), "doc_id").collect()
+    want = brute([(r.key, r.norm) for r in docs if r.doc_id % 50 == 0 and len(r.norm) < 6000], [(r.key, r.norm) for r in docs if len(r.norm) < 9000])
+    long = {r.key for r in docs if len(r.norm) >= 6000}
+    assert {(r.left, r.right, r.score) for r in got if r.left not in long} == want
