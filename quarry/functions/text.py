@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The numerals from nought to nine; tokens by character, and what stands beside them.
 NUMERALS = "〇一二三四五六七八九"
@@ -45,16 +48,47 @@ def numeral(c: Column) -> Column:
     return F.when(c.rlike("^.?十.?$"), some(tens, 1) * 10 + some(ones, 0)).otherwise(digit(c)).cast("int")
 
 
+def letters_only(c: Column) -> Column:
+    """A text's ideographs, Latin letters and digits, without LaTeX commands."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\\[A-Za-z]+\*?", " "), r"[^\x{4e00}-\x{9fff}A-Za-z0-9]", "")
+
+
+def _counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return np.unique((c[:-1] << np.uint64(32)) | c[1:], return_counts=True)
+
+
+@F.pandas_udf(T.DoubleType())
+def dice_of(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Dice coefficient of two texts' pairs of neighbouring characters, counted with repetition; 0 if one has none."""
+    out = np.zeros(len(a))
+    for i, (x, y) in enumerate(zip(a, b)):
+        if x and y and len(x) > 1 and len(y) > 1:
+            (p, n), (q, m) = _counted(x), _counted(y)
+            _, k, j = np.intersect1d(p, q, assume_unique=True, return_indices=True)
+            out[i] = 2 * np.minimum(n[k], m[j]).sum() / (len(x) + len(y) - 2)
+    return pd.Series(out)
+
+
+# What an answer's writing may have that says nothing, and marks of one meaning.
+SILENT = r"\left \right \! \, \; \: \quad \qquad \text \mbox \displaystyle $".split()
+ALIKE = {r"\dfrac": r"\frac", r"\tfrac": r"\frac", "（": "(", "）": ")", "，": ",", "、": ",", "；": ";", "：": ":", "。": "."}
+
+
 def canonical_answer(c: Column) -> Column:
-    """An answer without layout, white space and dollar signs, its punctuation in half width."""
-    s = F.regexp_replace(F.coalesce(c, F.lit("")), r"\\(?:left|right|!|,|;|:|quad|qquad|text|mbox|displaystyle)", "")
-    s = F.translate(F.regexp_replace(s, r"\\[dt]frac", r"\\frac"), "（），、；", "(),,;")
-    return F.regexp_replace(s, r"[\s$\x{3000}]", "")
+    """An answer read command by command and character by character: each is left out, replaced by what it stands for, or kept."""
+    known = F.create_map(*(F.lit(x) for pair in ({s: "" for s in SILENT} | ALIKE).items() for x in pair))
+    atoms = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?s)\\[A-Za-z]+|\\.|[^\s\x{3000}]"), F.lit(0))
+    return F.array_join(F.transform(atoms, lambda a: F.coalesce(F.try_element_at(known, a), a)), "")
 
 
 def answers_conflict(one: Column, other: Column) -> Column:
-    """Whether two answers differ in what they say: not if one is missing or refers to the solution, nor if only one of them consists of option letters."""
-    a, b = canonical_answer(one), canonical_answer(other)
-    letters = lambda s: s.rlike("^[A-F]+$")
-    refers = F.contains(a, F.lit("见解析")) | F.contains(b, F.lit("见解析"))
-    return (a != "") & (b != "") & (a != b) & (letters(a) == letters(b)) & ~refers
+    """Whether two answers say different things.  No answer, an answer that points to the solution, and option letters beside another kind of answer contradict nothing."""
+    sides = F.array(canonical_answer(one), canonical_answer(other))
+
+    def differ(s: Column) -> Column:
+        silent = F.exists(s, lambda a: (a == "") | F.contains(a, F.lit("见解析")))
+        kinds = F.array_distinct(F.transform(s, lambda a: a.rlike("^[A-F]+$")))
+        return ~silent & (F.size(F.array_distinct(s)) == 2) & (F.size(kinds) == 1)
+
+    return let(sides, differ)

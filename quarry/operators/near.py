@@ -1,20 +1,22 @@
 """Near-duplicate search: a set of query texts against a library, by grams, then a longest common subsequence, then the ratio.
 
-The ratio of two texts is 2 M / S: M characters in matching blocks, S in both texts.  Three
+The ratio of two texts is 2 M / S: M characters in matching blocks, S in both texts.  Four
 upper bounds of it are tried before it is computed, the cheapest first:
 
 1. *Lengths*: M is at most the shorter text.
-2. *Grams*: k blocks of M characters hold at least M - (GRAM - 1) k common grams, and between
+2. *Grams*: k blocks of M characters hold at least M - (gram - 1) k common grams, and between
    two blocks stands a character that matches nothing, so k <= S - 2 M + 1.  Common grams U
    are counted with repetition; sums of geometric means of hashed counts bound them from
    above for many pairs at once (a matrix product), a merge of the sorted grams counts them.
-3. *Subsequence*: the blocks are a common subsequence.
+3. *Characters*: M is at most the number of common characters, whatever their order.
+4. *Subsequence*: the blocks are a common subsequence.
 
-The second bound is exact, but below a threshold of about 0.9 it rules nothing out.  With ``run``
-pairs of more than M / run + 2 blocks may be ruled out too: blocks shorter than that on
-average, as where single characters are replaced all over a text.  ``complete`` in the
-result says whether that could have happened.  ``run=None`` rules out nothing that could
-reach the threshold.
+The second bound is exact, but below a threshold of about 0.9 it rules nothing out.  With
+``run`` pairs of more than M / run + 2 blocks may be ruled out too: blocks shorter than that
+on average, as where single characters are replaced all over a text.  Library texts of
+``LONG`` characters or more take longer grams and runs (``SIZES``).  ``complete`` in the result
+says whether something could have been ruled out so.  ``run=None`` rules out nothing that
+could reach the threshold.
 
 A query keeps its best hits so far, and a text that cannot beat them is not compared
 further, so a group of thousands of near copies costs little.  Queries go to the tasks in
@@ -38,64 +40,163 @@ from pyspark.sql import functions as F
 
 from quarry.operators.similarity import CRITICAL, STRICT, THRESHOLD, TOP, VARIANT, classify, common_length
 
-GRAM, RUN = 5, 8
-DIMS, PART = 4096, 64
+RUN, LONG = 8, 2000
+#: Gram, hashed counts, and how many times run is asked for: of library texts below LONG characters, and of the others.
+SIZES = ((5, 8192, 1), (8, 32768, 2))
+CHARACTERS, PART = 64, 64
+#: Common grams a character of both texts from which on the exact bound is used.
+EXACT = 0.1
+#: Cells of a table of both texts from which on matching blocks are searched with arrays.
+CELLS = 40_000
 BLOCK_CHARS = 8_000_000
 CHUNK = 512
 MEMO = 20_000
 _MULTIPLY, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_INVERSE = np.uint64(pow(int(_MULTIPLY), -1, 1 << 64))
 
 
-def least_grams(threshold: float, run: int | None) -> tuple[float, float]:
-    """(a, b): pairs with fewer than a S - b common grams are ruled out."""
-    exact = (GRAM - 0.5) * threshold - (GRAM - 1)
-    assumed = (1 - (GRAM - 1) / run) * threshold / 2 if run else -math.inf
-    return (exact, float(GRAM - 1)) if exact >= assumed else (assumed, 2.0 * (GRAM - 1))
+def least_grams(threshold: float, run: int | None, size: int = 0) -> tuple[float, float]:
+    """(a, b): pairs with fewer than a S - b common grams of a size are ruled out: for certain, where that rules out enough, else as run assumes."""
+    gram, _, times = SIZES[size]
+    exact = (gram - 0.5) * threshold - (gram - 1)
+    assumed = (1 - (gram - 1) / (run * times)) * threshold / 2 if run else 0.0
+    return (exact, float(gram - 1)) if not run or exact >= EXACT else (assumed, 2.0 * (gram - 1))
 
 
 def complete(threshold: float, run: int | None) -> bool:
     """Whether no pair of the threshold is ruled out, whatever its blocks."""
-    return least_grams(threshold, run) == least_grams(threshold, None)
+    return all(least_grams(threshold, run, i) == least_grams(threshold, None, i) for i in range(len(SIZES)))
 
 
-def gram_hashes(text: str) -> np.ndarray:
-    """Sorted hashes of a text's grams, with repetition; none for a shorter text."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    if len(c) < GRAM:
-        return np.empty(0, np.uint64)
-    h = np.zeros(len(c) - GRAM + 1, np.uint64)
-    for i in range(GRAM):
-        h = h * _MULTIPLY + c[i : len(c) - GRAM + 1 + i]
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+Grams = tuple[np.ndarray, np.ndarray]
+
+
+def gram_hashes(text: str, gram: int) -> Grams:
+    """Sorted hashes of a text's grams and how often each stands there; none for a shorter text."""
+    c = _points(text)
+    if len(c) < gram:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    h = np.zeros(len(c) - gram + 1, np.uint64)
+    for i in range(gram):
+        h = h * _MULTIPLY + c[i : len(c) - gram + 1 + i]
     h = (h ^ (h >> np.uint64(29))) * _MIX
-    return np.sort(h ^ (h >> np.uint64(32)))
+    return np.unique(h ^ (h >> np.uint64(32)), return_counts=True)
 
 
-def common_grams(x: np.ndarray, y: np.ndarray) -> int:
-    """Size of the intersection of two sorted multisets."""
-    if len(x) > len(y):
+def common_grams(x: Grams, y: Grams) -> int:
+    """Size of the intersection of two multisets."""
+    if len(x[0]) > len(y[0]):
         x, y = y, x
-    place = np.arange(len(x)) - np.searchsorted(x, x)  # how many of the same stand before each
-    return int(((np.searchsorted(y, x, "right") - np.searchsorted(y, x)) > place).sum())
+    if not len(x[0]):
+        return 0
+    at = np.minimum(np.searchsorted(y[0], x[0]), len(y[0]) - 1)
+    return int(np.minimum(x[1], y[1][at])[y[0][at] == x[0]].sum())
 
 
-def _roots(grams: list[np.ndarray]) -> np.ndarray:
+def _roots(grams: list[Grams], dims: int) -> np.ndarray:
     """A row of square roots of hashed counts per text: their products bound common grams from above."""
-    out = np.empty((len(grams), DIMS), np.float32)
-    for i, g in enumerate(grams):
-        out[i] = np.bincount((g % np.uint64(DIMS)).astype(np.int64), minlength=DIMS)
+    out = np.empty((len(grams), dims), np.float32)
+    for i, (g, n) in enumerate(grams):
+        out[i] = np.bincount((g % np.uint64(dims)).astype(np.int64), n, dims)
     return np.sqrt(out, out=out)
 
 
+def _characters(text: str) -> np.ndarray:
+    """Counts of a text's characters, hashed: common counts bound common characters from above."""
+    return np.bincount((_points(text) % np.uint64(CHARACTERS)).astype(np.int64), minlength=CHARACTERS).astype(np.int32)
+
+
+def subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence; what both begin and end with is not searched."""
+    n = min(len(a), len(b))
+    x, y = _points(a[:n]), _points(b[:n])
+    head = n if (x == y).all() else int((x != y).argmax())
+    x, y = _points(a[head:][::-1][: n - head]), _points(b[head:][::-1][: n - head])
+    tail = n - head if (x == y).all() else int((x != y).argmax())
+    return head + tail + common_length(a[head : len(a) - tail], b[head : len(b) - tail])
+
+
+def _longest(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """(i, j, n) of the longest run that two arrays of code points share: the first in a, and of those the first in b."""
+
+    def hashes(c: np.ndarray, n: int, power: int, prefix: np.ndarray) -> np.ndarray:
+        return prefix[n:] - prefix[: len(c) - n + 1] * np.uint64(power)
+
+    def prefixes(c: np.ndarray) -> np.ndarray:
+        # Prefix sums of c[k] * M^(len - 1 - k), read backwards by multiplying: kept as h[k + 1] = h[k] * M + c[k].
+        steps = np.empty(len(c) + 1, np.uint64)
+        inverse = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(c), _INVERSE, np.uint64)]))
+        powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(c), _MULTIPLY, np.uint64)]))
+        steps[0] = 0
+        np.cumsum((c + np.uint64(1)) * _MIX * inverse[1:], out=steps[1:])
+        return steps * powers
+
+    pa_, pb = prefixes(a), prefixes(b)
+    low, high, best = 0, min(len(a), len(b)), (0, 0, 0)
+    while low < high:
+        n = (low + high + 1) // 2
+        power = pow(int(_MULTIPLY), n, 1 << 64)
+        x, y = hashes(a, n, power, pa_), hashes(b, n, power, pb)
+        found = np.isin(x, y)
+        i = int(found.argmax())
+        if found[i]:
+            j = int((y == x[i]).argmax())
+            if not (a[i : i + n] == b[j : j + n]).all():
+                raise ArithmeticError("two runs of one hash")
+            low, best = n, (i, j, n)
+        else:
+            high = n - 1
+    return best
+
+
+def matched(a: str, b: str, least: float) -> int:
+    """Characters in the matching blocks of two texts: the longest first, then left and right of it; 0 as soon as there cannot be so many as least."""
+    total, room, todo = 0, min(len(a), len(b)), [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        room -= min(len(x), len(y))
+        if len(x) * len(y) <= CELLS:
+            n = sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+            total += n
+        else:
+            i, j, n = _longest(_points(x), _points(y))
+            total += n
+            if n:
+                for p, q in ((x[:i], y[:j]), (x[i + n :], y[j + n :])):
+                    if p and q:
+                        todo.append((p, q))
+                        room += min(len(p), len(q))
+        if total + room < least:
+            return 0
+    return total
+
+
+class Index:
+    """Query texts of a range of lengths, ready to be compared with library texts of one size."""
+
+    def __init__(self, queries: "Queries", size: int, low: int, high: int, run: int | None):
+        self.gram, self.dims, _ = SIZES[size]
+        self.low, self.lengths = low, queries.lengths[low:high]
+        self.grams = [gram_hashes(t, self.gram) for _, t in queries.texts[low:high]]
+        self.roots = _roots(self.grams, self.dims)
+        self.a, self.b = least_grams(queries.threshold, run, size)
+
+
 class Queries:
-    """Query texts in order of length, with their grams and the best hits so far."""
+    """Query texts in order of length and the best hits so far."""
 
     def __init__(self, texts: list[tuple[str, str]], threshold: float, keep: int, run: int | None):
         self.texts = sorted(texts, key=lambda x: len(x[1]))
         self.lengths = np.array([len(t) for _, t in self.texts], np.int64)
-        self.grams = [gram_hashes(t) for _, t in self.texts]
-        self.roots = _roots(self.grams)
+        self.counts = np.array([_characters(t) for _, t in self.texts]).reshape(-1, CHARACTERS)
         self.threshold, self.keep = threshold, keep
-        self.a, self.b = least_grams(threshold, run)
+        self.share = (2 - threshold) / threshold  # no text that is so many times longer can reach the threshold
+        last, first = int(np.searchsorted(self.lengths, LONG * self.share + 1, "right")), int(np.searchsorted(self.lengths, LONG / self.share - 1))
+        self.indexes = (Index(self, 0, 0, last, run), Index(self, 1, first, len(texts), run))
         self.best: list[list[tuple[float, str, bool]]] = [[] for _ in texts]
         self.memo: dict[tuple[int, str], float] = {}
 
@@ -109,34 +210,46 @@ class Queries:
         own = self.texts[q][1]
         if own == text:
             return 1.0
+        size = len(own) + len(text)
         if (q, text) not in self.memo:
-            r = 2 * common_length(own, text) / (len(own) + len(text))
-            if self.beaten(q, r, key):
+            if self.beaten(q, 2 * subsequence(own, text) / size, key):
                 return 0.0
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            self.memo[q, text] = difflib.SequenceMatcher(None, own, text, autojunk=False).ratio()
+            worst = -self.best[q][-1][0] - 0.001 if len(self.best[q]) >= self.keep else 0.0  # lower scores round to worse ones
+            self.memo[q, text] = 2 * matched(own, text, max(self.threshold, worst) * size / 2 - 1e-6) / size
         return self.memo[q, text]
 
     def compare(self, rows: list[tuple[str, str]]) -> None:
         """Meets some library texts (key, text) with the queries of allowed lengths."""
         rows = sorted((r for r in rows if r[1]), key=lambda x: len(x[1]))
-        for a in range(0, len(rows), PART):
-            part = rows[a : a + PART]
-            share = (2 - self.threshold) / self.threshold  # no longer text can reach the threshold
-            low = int(np.searchsorted(self.lengths, math.ceil(len(part[0][1]) / share - 1e-6)))
-            high = int(np.searchsorted(self.lengths, math.floor(len(part[-1][1]) * share + 1e-6), "right"))
-            if low >= high:
+        cut = sum(len(t) < LONG for _, t in rows)
+        for index, some in zip(self.indexes, (rows[:cut], rows[cut:])):
+            for a in range(0, len(some), PART):
+                self._compare(index, some[a : a + PART])
+
+    def _compare(self, index: Index, part: list[tuple[str, str]]) -> None:
+        low = int(np.searchsorted(index.lengths, math.ceil(len(part[0][1]) / self.share - 1e-6)))
+        high = int(np.searchsorted(index.lengths, math.floor(len(part[-1][1]) * self.share + 1e-6), "right"))
+        if low >= high:
+            return
+        grams = [gram_hashes(t, index.gram) for _, t in part]
+        common = _roots(grams, index.dims) @ index.roots[low:high].T
+        sizes = np.array([len(t) for _, t in part])[:, None] + index.lengths[None, low:high]
+        # 0.999: single precision errs by less.
+        allowed = common >= 0.999 * (index.a * sizes - index.b) - 1
+        for i, (key, text) in enumerate(part):
+            places = np.flatnonzero(allowed[i])
+            if not len(places):
                 continue
-            grams = [gram_hashes(t) for _, t in part]
-            common = _roots(grams) @ self.roots[low:high].T
-            sizes = np.array([len(t) for _, t in part])[:, None] + self.lengths[None, low:high]
-            # 0.999: single precision errs by less.
-            for i, j in zip(*np.nonzero(common >= 0.999 * (self.a * sizes - self.b) - 1)):
-                q, (key, text) = low + int(j), part[i]
-                size = len(text) + int(self.lengths[q])
-                blocks = (float(common[i, j]) / 0.999 + 1 + (GRAM - 1) * (size + 1)) / (2 * GRAM - 1)
-                if self.beaten(q, 2 * min(len(text), int(self.lengths[q]), blocks) / size, key) or (self.texts[q][1] != text and common_grams(grams[i], self.grams[q]) < self.a * size - self.b):
+            asked = places + low + index.low
+            most = np.minimum(self.counts[asked], _characters(text)).sum(axis=1)
+            most = np.minimum(most, (common[i, places] / 0.999 + 1 + (index.gram - 1) * (sizes[i, places] + 1)) / (2 * index.gram - 1))
+            bounds = 2 * most / sizes[i, places]
+            for j, q, bound in zip(places.tolist(), asked.tolist(), bounds.tolist()):
+                if self.beaten(q, bound, key):
+                    continue
+                if self.texts[q][1] != text and common_grams(grams[i], index.grams[low + j]) < index.a * sizes[i, j] - index.b:
                     continue
                 r = self.ratio(q, text, key)
                 if r >= self.threshold and not self.beaten(q, r, key):

@@ -69,22 +69,20 @@ def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
         "key", F.size("words").alias("length"), *(_count_of(t).alias(f"tf{i}") for i, t in enumerate(words))
     )
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("avg"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))))
-    hit = reduce(lambda a, b: a & b, (F.col(f"tf{i}") > 0 for i in range(len(words))), F.lit(True))
-    score = F.lit(0.0)
-    for i in range(len(words)):
-        idf = F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6))
-        tf = F.col(f"tf{i}")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("avg")))
-    return counted.filter(hit).crossJoin(F.broadcast(stats)).select("key", score.alias("score"))  # stats: one row
+    return ranked(counted, stats, len(words))
 
 
-def searchable(*columns: Column) -> Column:
-    """The words of some texts in lower case, each between spaces of its own; LaTeX commands and marks are gone, an ideograph is a word."""
+def words(*columns: Column) -> Column:
+    """The words of some texts in lower case; LaTeX commands and marks are gone, an ideograph is a word."""
     s = F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in columns))
     s = F.regexp_replace(s, r"\\[A-Za-z]+", " ")
     s = F.lower(F.regexp_replace(s, "([\\x{3400}-\\x{9fff}])", " $1 "))
-    words = F.filter(F.split(s, r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
+    return F.filter(F.split(s, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def searchable(*columns: Column) -> Column:
+    """words() as one text, each between spaces of its own."""
+    return F.concat(F.lit(" "), F.array_join(words(*columns), "  "), F.lit(" "))
 
 
 def phrases(query: str) -> list[str]:
@@ -97,23 +95,29 @@ def phrases(query: str) -> list[str]:
     return out
 
 
+def ranked(counted: DataFrame, stats: DataFrame, n: int) -> DataFrame:
+    """key and BM25 score of the rows (key, length, tf0, tf1, ...) that hold all n units; stats is one row: n, avg, df0, df1, ..."""
+    score = F.lit(0.0)
+    for i in range(n):
+        idf = F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6))
+        tf = F.col(f"tf{i}")
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("avg")))
+    hit = reduce(lambda a, b: a & b, (F.col(f"tf{i}") > 0 for i in range(n)), F.lit(n > 0))
+    return counted.filter(hit).crossJoin(F.broadcast(stats)).select("key", score.alias("score"))
+
+
 def phrase_search(docs: DataFrame, key: str, document: Column, query: str) -> DataFrame:
     """key and score of the documents, given by searchable(), that hold every phrase; BM25 with a phrase as the unit.  Nothing for a query without a phrase.
 
-    A document is read once and scored where it is; what moves is one row of totals.
+    A document is scored where it is; what moves is one row of totals.  postings.py has the
+    same from a stored index.
     """
     asked = phrases(query)
     counted = docs.select(F.col(key).alias("key"), document.alias("_doc")).select(
         "key", F.regexp_count("_doc", F.lit(r"\S+")).alias("length"), *(F.regexp_count("_doc", F.lit(f"(?={t})")).alias(f"tf{i}") for i, t in enumerate(asked))
     )
-    held = [F.col(f"tf{i}") > 0 for i in range(len(asked))]
-    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("avg"), *(F.count_if(h).alias(f"df{i}") for i, h in enumerate(held)))
-    score = F.lit(0.0)
-    for i in range(len(asked)):
-        idf = F.greatest(F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)), F.lit(1e-6))
-        score = score + idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("length") / F.col("avg")))
-    hit = reduce(lambda a, b: a & b, held, F.lit(bool(asked)))
-    return counted.filter(hit).crossJoin(F.broadcast(stats)).select("key", score.alias("score"))  # stats: one row
+    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("avg"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(asked))))
+    return ranked(counted, stats, len(asked))
 
 
 def best_phrases(docs: DataFrame, key: str, document: Column, query: str, limit: int = 2000) -> DataFrame:

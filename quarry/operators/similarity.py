@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import let
+
 THRESHOLD, TOP, STRICT = 0.80, 3, 0.95
 SAME, SUSPECT, NEW, VARIANT = "并入", "疑似", "新建", "变式"
 
@@ -39,13 +41,19 @@ SLOT = rf"\\(?:paren|fillin)(?![A-Za-z])[ \t\n]*+(?:{_nested(chr(92) + '[', chr(
 
 def normalised(text: Column) -> Column:
     """A text without comments, layout commands, white space, dollar signs, braces and punctuation, in lower case; blanks and what they hold become one mark."""
-    s = F.regexp_replace(F.coalesce(text, F.lit("")), SLOT, "_")
-    s = F.regexp_replace(s, r"(?<!\\)%[^\n]*", "")
+    t = F.coalesce(text, F.lit(""))
+    uncommented = lambda s: F.regexp_replace(s, r"(?<!\\)%[^\n]*", "")
+    s = uncommented(F.regexp_replace(t, SLOT, "_"))
     s = F.regexp_replace(s, r"[（(]\s*\\quad\s*[）)]", "_")
     for a, b in [*((c, "") for c in LAYOUT), *UNIFIED.items()]:
         s = F.replace(s, F.lit(a), F.lit(b))
-    s = F.regexp_replace(s, r"（\s*）|_{2,}|\\underline\{\s*\}", "_")
-    return F.lower(F.regexp_replace(s, r"[\s$\{\}，。、；：？！,.;:?!（）()]|\\\\", ""))
+    # A text without a backslash has no command and no slot.
+    s = F.when(F.contains(t, F.lit("\\")), s).when(F.contains(t, F.lit("%")), uncommented(t)).otherwise(t)
+    blank = r"（\s*）|_{2,}|\\underline\{\s*\}"
+
+    s = let(s, lambda s: F.when(s.rlike("[（_]|\\\\underline"), F.regexp_replace(s, blank, "_")).otherwise(s))
+    s = let(s, lambda s: F.when(F.contains(s, F.lit("\\\\")), F.replace(s, F.lit("\\\\"), F.lit(""))).otherwise(s))
+    return F.lower(F.translate(s, " \t\n\r\f\u000b${}，。、；：？！,.;:?!（）()", ""))
 
 
 def fingerprint(stem: Column, options: Column | None = None) -> Column:

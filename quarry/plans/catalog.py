@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators import facets, history, merge, model, near, predicates, search, selection, similarity, windows
+from quarry.operators import facets, history, merge, model, near, postings, predicates, search, selection, similarity, windows
 from quarry.operators.model import ITEMS_SQL, items, points, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,6 +133,11 @@ _sorted("sort_year_up", "year2", "coalesce(year, 0) = 0, coalesce(year, 0), seq"
 _TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '([\x{4e00}-\x{9fff}])', ' \1 ', 'g'), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
 
 
+def token_index(spark, d):
+    """Stored postings of tokens() of the documents."""
+    return postings.index(spark, [f"{d}/documents.parquet"], read(spark, d, "documents").select("doc_id", "text"), "doc_id", search.tokens(F.col("text")), "tokens")
+
+
 @query(
     f"""WITH t AS (SELECT doc_id AS key, {_TOKENS} AS w FROM documents),
 c AS (SELECT key, len(w) AS n, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'tion')) AS b FROM t),
@@ -141,15 +146,27 @@ SELECT key, round(greatest(ln((s.n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 /
 FROM c, s WHERE a > 0 AND b > 0"""
 )
 def bm25_search(spark, d):
-    return search.bm25(read(spark, d, "documents"), "doc_id", "text", "the tion").select("key", F.round("score", 6).alias("score"))
+    """From the stored index, which the first search of these files builds."""
+    return postings.search_words(spark, token_index(spark, d), "the tion").select("key", F.round("score", 6).alias("score"))
 
 
 @query(
     f"""WITH t AS (SELECT doc_id AS key, unnest({_TOKENS}) AS token FROM documents) SELECT token, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT key, token, count(*) AS tf FROM t GROUP BY ALL) GROUP BY token"""
 )
 def inverted_index(spark, d):
-    postings, _ = search.inverted_index(read(spark, d, "documents"), "doc_id", "text")
-    return postings.groupBy("token").agg(F.count("*").alias("postings"), F.sum("tf").alias("tf"))
+    found, _ = search.inverted_index(read(spark, d, "documents"), "doc_id", "text")
+    return found.groupBy("token").agg(F.count("*").alias("postings"), F.sum("tf").alias("tf"))
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id AS key, {_TOKENS} AS w FROM documents), p AS (SELECT key, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS place FROM t)
+SELECT token, count(DISTINCT key) AS postings, CAST(sum(place) AS BIGINT) AS places, CAST(min(place) AS INTEGER) AS first, CAST(max(place) AS INTEGER) AS last FROM p GROUP BY token"""
+)
+def stored_postings(spark, d):
+    """The whole stored index: its postings and positions by token."""
+    rows = spark.read.parquet(f"{token_index(spark, d).folder}/postings")
+    places = F.aggregate("positions", F.lit(0).cast("bigint"), lambda a, p: a + p)
+    return rows.groupBy("token").agg(F.count("*").alias("postings"), F.sum(places).alias("places"), F.min(F.get("positions", F.lit(0))).alias("first"), F.max(F.element_at("positions", -1)).alias("last"))
 
 
 @query(

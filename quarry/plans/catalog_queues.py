@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators import documents, quality, queues, search, semantics
+from quarry.operators import documents, postings, quality, queues, search, semantics
 from quarry.operators.model import read
 from quarry.plans.catalog import full, query
 from quarry.plans.catalog_texts import _TYPED, _typed
@@ -181,7 +181,9 @@ SELECT key, round(greatest(ln((s.n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 /
 FROM c, s WHERE a > 0 AND b > 0"""
 )
 def phrase_search(spark, d):
-    found = search.phrase_search(read(spark, d, "documents"), "doc_id", search.searchable(F.col("text")), "of_the and")
+    """From the stored index, which the first search of these files builds."""
+    at = postings.index(spark, [f"{d}/documents.parquet"], read(spark, d, "documents").select("doc_id", "text"), "doc_id", search.words(F.col("text")), "words")
+    found = postings.search_phrases(spark, at, "of_the and")
     return found.select("key", F.round("score", 6).alias("score"))
 
 

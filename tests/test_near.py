@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,11 +89,40 @@ def test_bounds_hold():
         x = "".join(rng.choice("abcd") for _ in range(rng.randint(0, 120)))
         y = noisy(rng, x, rng.random() * 0.3)[rng.randint(0, 3) :] + x[:5]
         r, size = difflib.SequenceMatcher(None, x, y, autojunk=False).ratio(), len(x) + len(y)
-        a, b = near.least_grams(max(r, 1e-9), None)
-        gx, gy = near.gram_hashes(x), near.gram_hashes(y)
-        common = near.common_grams(gx, gy)
-        assert common >= a * size - b - 1e-6
-        assert float(near._roots([gx])[0] @ near._roots([gy])[0]) >= 0.999 * common
+        for size_of, (gram, dims, _) in enumerate(near.SIZES):
+            a, b = near.least_grams(max(r, 1e-9), None, size_of)
+            gx, gy = near.gram_hashes(x, gram), near.gram_hashes(y, gram)
+            common = near.common_grams(gx, gy)
+            assert common >= a * size - b - 1e-6
+            assert float(near._roots([gx], dims)[0] @ near._roots([gy], dims)[0]) >= 0.999 * common
+        assert size * r <= 2 * np.minimum(near._characters(x), near._characters(y)).sum() + 1e-6
+        assert near.subsequence(x, y) == similarity.common_length(x, y)
+
+
+def test_matching_blocks_are_difflibs(monkeypatch):
+    monkeypatch.setattr(near, "CELLS", 0)
+    rng = random.Random(8)
+    for n in (0, 1, 5, 40, 300):
+        for _ in range(40):
+            x = "".join(rng.choice("abc") for _ in range(n))
+            y = noisy(rng, x, rng.random() * 0.4)[rng.randint(0, 3) :] + "".join(rng.choice("abé中") for _ in range(rng.randint(0, n)))
+            want = sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+            assert near.matched(x, y, 0) == want and near.matched(x, y, want + 1) in (0, want)
+
+
+def test_long_texts(spark, monkeypatch):
+    """Short and long texts, queries near the border among them."""
+    monkeypatch.setattr(near, "LONG", 300)
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    base = [" ".join(rng.choice(words) for _ in range(n)) for n in (45, 50, 55, 60, 65, 70, 120, 300)]
+    library = [(f"r{i}", " ".join(rng.choice(words) for _ in range(rng.randint(30, 90)))) for i in range(60)]
+    library += [(f"b{i}-{j}", " ".join(w if rng.random() > 0.06 else rng.choice(words) for w in t.split(" "))) for i, t in enumerate(base) for j in range(4)]
+    batch = [(f"q{i}", t) for i, t in enumerate(base)]
+    queries = near.Queries(batch, 0.8, 4, near.RUN)
+    queries.compare(library)
+    got = {(batch_key, key, score) for batch_key, key, score, _ in queries.hits()}
+    assert got == brute(batch, library, 0.8, 4) and len(got) == 32
 
 
 def test_status(spark, texts):
@@ -104,6 +134,6 @@ def test_status(spark, texts):
 def test_documents_are_searched(spark, sf):
     got = catalog.QUERIES["near_duplicate_items"](spark, sf).collect()
     docs = catalog.read(spark, sf, "documents").select(F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("key"), similarity.normalised(F.col("text")).alias("norm"), "doc_id").collect()
-    want = brute([(r.key, r.norm) for r in docs if r.doc_id % 50 == 0 and len(r.norm) < 6000], [(r.key, r.norm) for r in docs if len(r.norm) < 9000])
-    long = {r.key for r in docs if len(r.norm) >= 6000}
+    want = brute([(r.key, r.norm) for r in docs if r.doc_id % 50 == 0 and len(r.norm) < 2500], [(r.key, r.norm) for r in docs if len(r.norm) < 3800])
+    long = {r.key for r in docs if len(r.norm) >= 2500}
     assert {(r.left, r.right, r.score) for r in got if r.left not in long} == want
