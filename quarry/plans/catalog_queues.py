@@ -132,11 +132,12 @@ def lines_and_tokens(spark, d):
 
 @query(
     r"""SELECT item_id, a <> '' AND b <> '' AND a <> b AND regexp_matches(a, '^[A-F]+$') = regexp_matches(b, '^[A-F]+$') AND NOT contains(a, '见解析') AND NOT contains(b, '见解析') AS conflict
-FROM (SELECT item_id, regexp_replace(replace(text, ',', '，'), '[\s$]', '', 'g') AS x, replace(regexp_replace(text, '[\s$]', '', 'g'), '，', ',') AS a, replace(CASE WHEN item_id % 3 = 0 THEN x ELSE 'AB' END, '，', ',') AS b FROM benchmark)"""
+FROM (SELECT item_id, translate(regexp_replace(text, '[\s$]', '', 'g'), '（），、；：。', '(),,;:.') AS a, CASE WHEN item_id % 3 = 0 THEN a WHEN item_id % 3 = 1 THEN regexp_replace(a, '[.,]', '', 'g') ELSE 'AB' END AS b FROM benchmark)"""
 )
 def answer_conflicts(spark, d):
-    """An item's text against itself with other punctuation, or against option letters."""
-    other = F.when(F.col("item_id").cast("int") % 3 == 0, F.replace("text", F.lit(","), F.lit("，"))).otherwise("AB")
+    """An item's text against itself in full-width punctuation, without some of it, or against option letters."""
+    third = F.col("item_id").cast("int") % 3
+    other = F.when(third == 0, F.translate("text", "(),;:.", "（），；：。")).when(third == 1, F.regexp_replace("text", "[.,]", "")).otherwise("AB")
     return read(spark, d, "benchmark").select("item_id", tx.answers_conflict(F.col("text"), other).alias("conflict"))
 
 
@@ -162,6 +163,20 @@ def semantic_rules(spark, d):
     return _semantic(spark, d)
 
 
+@query(
+    r"""WITH n AS (SELECT DISTINCT regexp_extract(url, '://(?:www[.]|m[.]|blog[.])?([^./]+)', 1) AS name, regexp_extract(url, '[.]example[.]([a-z]+)', 1) AS province FROM pages)
+SELECT page_id AS key, region, list_sort(list(DISTINCT province)) AS provinces FROM (SELECT page_id, ['com', 'net', 'org'][1 + CAST(page_id % 3 AS INT)] AS region, url FROM pages) JOIN n ON name <> '' AND contains(url, name)
+GROUP BY page_id, region HAVING NOT list_contains(list(DISTINCT province), region)"""
+)
+def region_against_label(spark, d):
+    """Addresses as labels, the names of their hosts as the gazetteer: every name inside an address counts."""
+    pages = read(spark, d, "pages")
+    names = pages.select(F.regexp_extract("url", "://(?:www[.]|m[.]|blog[.])?([^./]+)", 1).alias("name"), F.regexp_extract("url", "[.]example[.]([a-z]+)", 1).alias("province")).distinct()
+    regions = F.array(*map(F.lit, ["com", "net", "org"]))
+    items = pages.select(F.col("page_id").alias("key"), F.get(regions, (F.col("page_id") % 3).cast("int")).alias("region"), F.col("url").alias("source_label"))
+    return semantics.region_vs_label(items, names, None)
+
+
 @query("SELECT rule, count(*) AS n FROM (SELECT CASE WHEN (length(text) - length(replace(text, '$', ''))) % 2 = 1 THEN 'dollar' END AS rule FROM documents UNION ALL SELECT CASE WHEN contains(text, '$$') THEN 'double_dollar' END FROM documents) WHERE rule IS NOT NULL GROUP BY 1")
 def violation_counts(spark, d):
     rules = {k: v for k, v in quality.conformance("text").items() if k in ("dollar", "double_dollar")}

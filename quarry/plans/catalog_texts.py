@@ -79,8 +79,16 @@ def confidence_levels(spark, d):
     return quality.confidence(_typed(spark, d)).select("key", "conf_stem", "conf_answer", "conf_solution", "overall", "level")
 
 
+_DICE = """, z AS (SELECT *, regexp_replace(coalesce(stem, ''), '[^\\x{4e00}-\\x{9fff}A-Za-z0-9]', '', 'g') AS ns, regexp_replace(coalesce(solution, ''), '[^\\x{4e00}-\\x{9fff}A-Za-z0-9]', '', 'g') AS nz FROM y),
+ca AS (SELECT key, substr(ns, i, 2) AS g, count(*) AS n FROM (SELECT key, ns, unnest(range(1, length(ns))) AS i FROM z) GROUP BY 1, 2), cb AS (SELECT key, substr(nz, i, 2) AS g, count(*) AS n FROM (SELECT key, nz, unnest(range(1, length(nz))) AS i FROM z) GROUP BY 1, 2),
+dice AS (SELECT key, 2.0 * sum(least(ca.n, cb.n)) / any_value(length(ns) + length(nz) - 2) AS dice FROM ca JOIN cb USING (key, g) JOIN z USING (key) GROUP BY key)
+"""
+
+
 @query(
-    _TYPED + "SELECT key, 'P0' AS what, 'no_answer' AS rule FROM y WHERE type <> 'detailed_answer' AND trim(answer) IN ('', '{}', '无', '略', '见解析', '$ $') UNION ALL SELECT key, 'P1', 'copies_stem' FROM y WHERE length(solution) > 0 AND regexp_replace(solution, '\\s', '', 'g') = regexp_replace(stem, '\\s', '', 'g')",
+    _TYPED + _DICE + """SELECT key, 'P0' AS what, 'no_answer' AS rule FROM y WHERE type <> 'detailed_answer' AND trim(answer) IN ('', '{}', '无', '略', '答案：{}', '见解析', '$ $')
+UNION ALL SELECT key, 'P1', 'copies_stem' FROM z JOIN dice USING (key) WHERE dice > 0.90 AND length(nz) < 1.6 * length(ns)
+UNION ALL SELECT key, 'P0', 'conclusion' FROM y WHERE false""",
     base=True,
 )
 def contradictions(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,11 +31,36 @@ def read_volumes(spark: SparkSession, folder: str) -> DataFrame:
     return parts.select(head.alias("h"), body.alias("stem")).select("h.*", "stem").filter("key is not null")
 
 
-def append_batch(rows: DataFrame, folder: str, batch: int) -> None:
+def _claimed(spark: SparkSession, folder: str, batch: int, writer: str) -> str:
+    """Who writes a batch: the first to create its claim."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/_claims/batch={batch}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        out = fs.create(path, False)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        stream = fs.open(path)
+        try:
+            return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+    try:
+        out.write(bytearray(writer.encode()))
+    finally:
+        out.close()
+    return writer
+
+
+def append_batch(rows: DataFrame, folder: str, batch: int, writer: str = "") -> None:
     """Rows as one batch of a table that only grows: a partition of its own, so writers of different batches never touch each other's rows.
 
-    A batch that is written again replaces itself and nothing else.
+    A batch belongs to the writer that claims it first.  The same writer may write it again,
+    which replaces it and nothing else; another one is refused.
     """
+    owner = _claimed(rows.sparkSession, folder, int(batch), writer)
+    if owner != writer:
+        raise ValueError(f"batch {int(batch)} belongs to {owner!r}")
     rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/batch={int(batch)}")
 
 

@@ -6,38 +6,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quarry.operators.history import last_wins
+from quarry.operators.history import first_of, last_wins
 from quarry.operators.similarity import fingerprint
-from quarry.sources.volumes import all_rows, append_batch
+from quarry.sources.volumes import all_rows, append_batch, current
 
 
 def incoming(spark: SparkSession, folder: str, schema: str, delay: str = "1 hour") -> DataFrame:
-    """Rows of new Parquet files (with at: timestamp), each fingerprint once within the watermark, so that state stays bounded."""
+    """Rows of new Parquet files (with at: timestamp); a row that is delivered again within the watermark counts once, so that state stays bounded."""
     rows = spark.readStream.schema(schema).parquet(folder).withColumn("fingerprint", fingerprint(F.col("stem")))
-    return rows.withWatermark("at", delay).dropDuplicatesWithinWatermark(["fingerprint"])
+    return rows.withWatermark("at", delay).dropDuplicatesWithinWatermark(["key", "fingerprint", "at"])
 
 
-def merge_into(folder: str):
-    """A foreachBatch function: rows whose fingerprint an earlier batch has are left out; of a key in the batch the last row wins.
+def merge_into(folder: str, writer: str = ""):
+    """A foreachBatch function: of a key in the batch the last row wins; rows whose text some item of the earlier batches has now, or a row before them in the batch, are left out.
 
-    A known key with a new text becomes that key's latest row (see volumes.current).  Each
-    micro-batch writes a partition of its own, so nothing is rewritten, and a batch that
-    is replayed replaces its own rows and sees only those of earlier ones.
+    What an item said before does not count, so a text that comes back is taken.  A known
+    key with a new text becomes that key's latest row (see volumes.current).  Each micro-batch
+    writes a partition of its own, so nothing is rewritten, and a batch that is replayed by
+    its writer replaces its own rows and sees only those of earlier ones.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
         rows = last_wins(batch)
         if epoch:
-            known = all_rows(batch.sparkSession, folder).filter(F.col("batch") < epoch).select("fingerprint").distinct()
-            rows = rows.join(known, "fingerprint", "left_anti").select(batch.columns)
-        append_batch(rows, folder, epoch)
+            earlier = all_rows(batch.sparkSession, folder, schema=f"{_ddl(batch)}, batch int").filter(F.col("batch") < epoch)
+            rows = rows.join(current(earlier).select("fingerprint").distinct(), "fingerprint", "left_anti").select(batch.columns)
+        append_batch(first_of(rows, ["fingerprint"], ["seq", "key"]), folder, epoch, writer)
 
     return run
 
 
+def _ddl(rows: DataFrame) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+
+
 def ingest(spark: SparkSession, folder: str, schema: str, table: str, checkpoint: str) -> StreamingQuery:
     stream = incoming(spark, folder, schema)
-    return stream.writeStream.foreachBatch(merge_into(table)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(merge_into(table, checkpoint)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def activity(events: DataFrame, window: str = "1 hour", delay: str = "2 hours") -> DataFrame:

@@ -127,6 +127,23 @@ def test_volumes_and_batches(spark, tmp_path):
     assert len(now) == 3 and now["k1"] == "new"
 
 
+def test_a_text_that_comes_back_is_kept(spark, tmp_path):
+    run = ingest.merge_into(f"{tmp_path}/t", "me")
+    for epoch, rows in enumerate([[("k", 1, "A"), ("m", 1, "M")], [("k", 2, "B")], [("k", 3, "A"), ("n", 3, "A"), ("o", 3, "M"), ("p", 3, "B")]]):
+        run(spark.createDataFrame(rows, "key string, seq bigint, fingerprint string"), epoch)
+    now = {r.key: r.fingerprint for r in volumes.current(volumes.all_rows(spark, f"{tmp_path}/t")).collect()}
+    assert now == {"k": "A", "m": "M"}  # n repeats k in its batch, o the item m, p what k says until this batch
+
+
+def test_a_batch_belongs_to_one_writer(spark, tmp_path):
+    rows = spark.createDataFrame([("k", 1)], "key string, seq bigint")
+    volumes.append_batch(rows, str(tmp_path), 3, "one")
+    volumes.append_batch(rows, str(tmp_path), 3, "one")
+    with pytest.raises(ValueError, match="belongs to 'one'"):
+        volumes.append_batch(rows, str(tmp_path), 3, "other")
+    assert volumes.all_rows(spark, str(tmp_path)).count() == 1
+
+
 def test_ingest_as_a_stream(spark, tmp_path):
     schema = "key string, seq bigint, stem string, at timestamp"
     make = lambda rows: spark.createDataFrame(rows, "key string, seq bigint, stem string, at string").withColumn("at", F.to_timestamp("at"))
@@ -176,7 +193,13 @@ BREAKS = {
     "meta_stars_zero": {"stars": 0},
     "answer_has_score": {"type": "fill_in_blank", "answer": "3 5分"},
     "type_stem_mismatch": {"type": "single_choice", "answer": "A", "stem": "下列说法正确的有"},
-    "sol_duplicated_half": {"solution": "因为 a=b 所以 c=d=e 整理得到结果" * 2},
+    "sol_duplicated_half": {"solution": "".join(f"因为 a{i}=b 所以 c=d=e{i} 整理得到结果" for i in range(12)) * 2},
+    "sol_admits_broken": {"solution": "因为 a=b=c=d 题面有误"},
+    "ans_vs_sol_conclusion": {"type": "multi_choice", "answer": "AB", "options": CHOICES, "solution": "因为 a=b 故选：A、C"},
+    "option_text_empty": {"type": "single_choice", "answer": "A", "options": [("A", "$ $"), ("B", "t")]},
+    "answer_degenerate": {"type": "fill_in_blank", "answer": " 略 "},
+    "sol_copies_stem": {"stem": "证明 a=b 且 c=d 并说明理由其中一切都成立", "solution": r"证明 a=b 且 \quad c=d 并说明理由，其中一切都成立"},
+    "single_choice_multi_admit": {"type": "single_choice", "answer": "A", "options": CHOICES, "solution": "因为 两项皆真"},
     "sol_multi_conclusion": {"type": "single_choice", "answer": "A", "options": CHOICES, "solution": "故选A. 又因为 a=b=c=d, 故选：B"},
 }
 
@@ -184,9 +207,60 @@ BREAKS = {
 def test_semantic_rules_by_hand(spark):
     rows = [ITEM | {"key": "clean"}, *(ITEM | x | {"key": name} for name, x in BREAKS.items())]
     rows.append(ITEM | {"key": "denied", "type": "single_choice", "answer": "A", "options": CHOICES, "solution": "因为 故选A, 故选B错误"})
+    rows.append(ITEM | {"key": "wrong_one", "type": "single_choice", "answer": "B", "options": CHOICES, "stem": "下列说法错误的是", "solution": "因为 B错误, 故选B"})
+    rows.append(ITEM | {"key": "wrong_ones", "type": "multi_choice", "answer": "AB", "options": CHOICES, "stem": "选出不正确的结论", "solution": "因为 A错误；B错误；C正确；D正确"})
+    rows.append(ITEM | {"key": "abab", "solution": "abab"})
+    rows.append(ITEM | {"key": "bracketed", "type": "multi_choice", "answer": "ACD", "options": CHOICES, "solution": "因为 a=b 所以选 （A）（C）和 D"})
     schema = "key string, type string, stem string, answer string, solution string, region string, stars int, options array<struct<label:string,text:string>>, figures array<struct<id:string>>"
     df = spark.createDataFrame([tuple(r[c.split()[0]] for c in ("key", "type", "stem", "answer", "solution", "region", "stars", "options", "figures")) for r in rows], schema)
     got = {r.key: {v.rule for v in r.v} for r in df.select("key", semantics.found(semantics.semantics()).alias("v")).collect()}
     assert got["clean"] == set() and "sol_multi_conclusion" not in got["denied"]
+    assert got["wrong_one"] == got["wrong_ones"] == got["bracketed"] == set() and "sol_duplicated_half" not in got["abab"]
     for name in BREAKS:
         assert name in got[name], (name, got[name])
+
+
+def test_conclusions(spark):
+    want = {"故选：A、C": ["AC"], "故选 (B)(A)": ["AB"], "答案为C错误": [], "故选 B 正确": [], "综上所述选 D": ["D"], "故选择x": [], "应选A 又 本题选 B": ["A", "B"], "": [], None: []}
+    rows = spark.createDataFrame([(t,) for t in want], "t string").select("t", semantics.conclusions(F.coalesce("t", F.lit(""))))
+    assert dict(map(tuple, rows.collect())) == want
+
+
+def test_dice_counts_with_repetition(spark):
+    from collections import Counter
+
+    rng = random.Random(2)
+    rows = [("".join(rng.choice("ab中") for _ in range(rng.randint(0, 12))), "".join(rng.choice("ab中") for _ in range(rng.randint(0, 12)))) for _ in range(200)] + [(None, "ab"), ("ab", None)]
+
+    def dice(x, y):
+        a, b = (Counter(t[i : i + 2] for i in range(len(t) - 1)) if t else Counter() for t in (x, y))
+        return 2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values())) if a and b else 0.0
+
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", tx.dice_of("a", "b")).collect()
+    assert all(abs(r[2] - dice(r[0], r[1])) < 1e-12 for r in got)
+
+
+def test_answers(spark):
+    cases = [("1，2：3。", "1,2:3.", False), (r"$\dfrac{1}{2}$", r"\frac{1}{2}", False), (r"\left[1, 2\right)", "[1,2)", False), ("1", "2", True), ("AB", "A", True), ("AB", "3", False), ("见解析", "3", False), ("", "3", False), (None, "3", False), ("A", "A", False)]
+    rows = spark.createDataFrame(cases, "a string, b string, want boolean")
+    assert rows.filter(tx.answers_conflict(F.col("a"), F.col("b")) != F.col("want")).count() == 0
+
+
+def test_gazetteer_equals_one_search_per_name(spark):
+    rng = random.Random(4)
+    names = [("".join(rng.choice("甲乙丙丁") for _ in range(rng.randint(1, 3))), f"p{rng.randint(0, 4)}") for _ in range(40)] + [("", "none")]
+    labels = [(i, "p1", "".join(rng.choice("甲乙丙丁戊x") for _ in range(rng.randint(0, 9)))) for i in range(300)] + [(300, None, None), (301, "p9", "甲")]
+    items = spark.createDataFrame(labels, "key int, region string, source_label string")
+    table = spark.createDataFrame(names, "name string, province string")
+    want = {k: sorted({p for n, p in names if n and n in (t or "")}) for k, _, t in labels}
+    got = {r.key: r.provinces for r in semantics.places(items, "key", "source_label", table).collect()}
+    assert got == {k: v for k, v in want.items() if v}
+    wrong = {r.key for r in semantics.region_vs_label(items, table, None).collect()}
+    assert wrong == {k for k, region, _ in labels if region and want[k] and region not in want[k]}
+    assert semantics.region_vs_label(items, table).count() == 0  # none of them is a known province
+
+
+def test_duplicates_answered_otherwise(spark):
+    rows = [("a", "1", None, None, None), ("b", "2", "a", 0.95, None), ("c", "2", "a", 0.9, None), ("d", "$1$", "a", 1.0, None), ("e", "2", "a", 1.0, True), ("f", "2", "gone", 1.0, None), ("g", "见解析", "a", 1.0, False), ("h", "3", "e", 1.0, None)]
+    items = spark.createDataFrame(rows, "key string, answer string, dup_of string, dup_score double, dup_answer_variant boolean")
+    assert [tuple(r) for r in semantics.duplicates_answered_otherwise(items).collect()] == [("b", "a")]
