@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.operators.history import _kept
 from quarry.operators.similarity import CRITICAL, STRICT, THRESHOLD, TOP, VARIANT, classify, common_length
 
 RUN, LONG = 8, 2000
@@ -288,12 +289,12 @@ def near(batch: DataFrame, library: DataFrame, threshold: float = THRESHOLD, top
     """For each row of a batch (key, norm) the most similar other rows of the library (key, norm): left, right, score, rank, verdict and complete.
 
     The veto: pairs whose critical tokens differ are variants.  Empty texts are skipped (see
-    index_status).  Keys are strings; a row never finds its own key.  Give norm as written
-    tables where making it is costly: the batch is read once, the library once per block.
+    index_status).  Keys are strings; a row never finds its own key.  The batch is made once,
+    the library is read once per block.
     """
     spark = batch.sparkSession
     digest = F.sha2(F.col("norm").cast("binary"), 256)
-    asked = batch.filter(F.length("norm") > 0).select("key", "norm", digest.alias("query"))
+    asked = _kept(batch.filter(F.length("norm") > 0).select("key", "norm", digest.alias("query")))
     some = asked.groupBy("query").agg(F.first("norm").alias("norm"))
     total = some.agg(F.sum(F.length("norm"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_CHARS))

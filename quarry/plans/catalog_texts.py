@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import documents, quality, rules, similarity
+from quarry.operators import bodies, documents, quality, rules, similarity
 from quarry.operators.model import read
 from quarry.plans.catalog import full, query
 from quarry.sources import volumes
@@ -13,10 +13,13 @@ from quarry.streaming import ingest
 KINDS = ["single_choice", "multi_choice", "fill_in_blank", "detailed_answer"]
 
 
+def option(label, text):
+    return F.struct(F.lit(label).alias("label"), text.alias("text"))
+
+
 def _typed(spark, d):
     """Items with a type of the four, options and figures."""
     k = F.col("seq")
-    option = lambda label, text: F.struct(F.lit(label).alias("label"), text.alias("text"))
     options = F.array(option("A", F.substring("stem", 1, 3)), option("B", F.substring("stem", 4, 3)), option("C", F.lit("c")))
     none = F.array().cast("array<struct<label:string,text:string>>")
     return full(spark, d).select(
@@ -236,3 +239,56 @@ def normalised_fingerprint(spark, d):
 def all_fingerprints(spark, d):
     """The fingerprint of every document; slots and comments have no SQL form."""
     return read(spark, d, "documents").select("doc_id", similarity.fingerprint(F.col("text")).alias("fingerprint"))
+
+
+# --- bodies in LaTeX -------------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS source_sha256, true AS has_tree FROM documents")
+def body_trees(spark, d):
+    """Every document as a tree in VARIANT and back."""
+    kept = read(spark, d, "documents").select("doc_id", bodies.tree(F.col("text")).alias("tree"))
+    return kept.select("doc_id", F.sha2(bodies.source(F.col("tree")).cast("binary"), 256).alias("source_sha256"), F.col("tree").isNotNull().alias("has_tree"))
+
+
+def _bodies(spark, d):
+    """Documents as bodies: a third each choices, blanks and problems, with the text as stem and solution."""
+    k = F.col("doc_id")
+    kind = F.when(k % 3 == 0, F.when(k % 2 == 0, "single_choice").otherwise("multi_choice")).when(k % 3 == 1, "fill_in_blank").otherwise("detailed_answer")
+    docs = read(spark, d, "documents").withColumn("kind", kind)
+    options = F.when(k % 3 == 0, F.array(option("A", F.col("source")), option("B", F.col("lang")), option("C", F.lit("$x$")))).otherwise(F.array().cast("array<struct<label:string,text:string>>"))
+    answer = F.when(k % 3 == 0, F.when(k % 2 == 0, "B").otherwise("AC")).when(k % 3 == 1, r"$\frac{1}{2}$").otherwise("")
+    return docs.select("doc_id", "kind", bodies.write(F.col("kind"), F.col("text"), options, answer, F.col("text"), F.when(k % 2 == 0, 5)).alias("body"))
+
+
+_CLEANED = r"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '(?m)^[ \t]+', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
+
+
+@query(
+    rf"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'single_choice' ELSE 'multi_choice' END WHEN 1 THEN 'fill_in_blank' ELSE 'detailed_answer' END AS type,
+  sha256(CASE WHEN doc_id % 3 = 1 THEN regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '^\s+', ''), '(?m)^[ \t]+', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') || ' \fillin[$\frac{{1}}{{2}}$]' ELSE {_CLEANED} END) AS stem_sha256,
+  CASE WHEN doc_id % 3 = 0 THEN 'A:' || coalesce(source, '') || '|B:' || coalesce(lang, '') || '|C:$x$' ELSE '' END AS options,
+  CASE doc_id % 3 WHEN 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'B' ELSE 'AC' END WHEN 1 THEN '$\frac{{1}}{{2}}$' ELSE '' END AS answer,
+  sha256({_CLEANED}) AS solution_sha256, CASE WHEN doc_id % 2 = 0 THEN 5.0 END::DOUBLE AS points FROM documents"""
+)
+def parsed_bodies(spark, d):
+    """Bodies made of the documents, read again."""
+    found = _bodies(spark, d).select("doc_id", bodies.read(F.col("body")).alias("q"))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    options = F.array_join(F.transform("q.options", lambda o: F.concat(o["label"], F.lit(":"), o["text"])), "|")
+    return found.select("doc_id", "q.type", digest("q.stem").alias("stem_sha256"), options.alias("options"), "q.answer", digest("q.solution").alias("solution_sha256"), "q.points")
+
+
+@query(
+    """SELECT doc_id, 'env' AS kind, CASE WHEN doc_id % 3 = 2 THEN 'problem' ELSE 'question' END AS name, CASE WHEN coalesce(text, '') <> '' THEN 'solution' END AS after FROM documents"""
+)
+def body_outline(spark, d):
+    """What stands first and last in each body's tree, read by path."""
+    kept = _bodies(spark, d).select("doc_id", bodies.tree(F.col("body")).alias("tree"))
+    at = lambda path: F.try_variant_get("tree", path, "string")
+    return kept.select("doc_id", at("$[0].k").alias("kind"), at("$[0].name").alias("name"), at("$[2].name").alias("after"))
+
+
+@query(r"""SELECT item_id, trim(regexp_replace(regexp_replace(text, '%[^\n]*', '', 'g'), '\s+', ' ', 'g')) AS line FROM benchmark""")
+def visible_texts(spark, d):
+    return read(spark, d, "benchmark").select("item_id", bodies.visible(F.col("text")).alias("line"))
