@@ -10,8 +10,12 @@ shifted by its place.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,24 +23,52 @@ from quarry.operators import search
 from quarry.sources import stored
 
 BUCKETS, SALT_BYTES = 64, 4_000_000
-FORMAT = "1"
+CHUNK_WORDS = 1_000_000
+FORMAT = "2"
 
 
 def _bucket(token: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(token.cast("binary")), F.lit(buckets)).cast("int")
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each word of each document, with its positions.  Documents never share a row, so nothing is combined later."""
+    for batch in batches:
+        words = batch.column("words")
+        ends = np.cumsum(np.asarray(pc.list_value_length(words)))
+        first = 0
+        while first < batch.num_rows:
+            done = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + CHUNK_WORDS, side="right")))
+            yield _postings(batch.column("key").slice(first, last - first), words.slice(first, last - first))
+            first = last
+
+
+def _postings(keys: pa.Array, words: pa.ListArray) -> pa.RecordBatch:
+    sizes = np.asarray(pc.list_value_length(words)).astype(np.int64)
+    known = words.flatten().dictionary_encode()
+    document = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(document)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    both = document * max(1, len(known.dictionary)) + known.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(both, kind="stable")
+    starts = np.flatnonzero(np.diff(both[order], prepend=-1))
+    at = order[starts]
+    positions = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
+    return pa.RecordBatch.from_arrays(
+        [keys.take(pa.array(document[at])), known.dictionary.take(known.indices.take(pa.array(at))), pa.array(sizes[document[at]], pa.int32()), positions], ["key", "token", "length", "positions"]
+    )
+
+
 def write(docs: DataFrame, key: str, words: Column, folder: str, buckets: int = BUCKETS, salts: int = 1) -> None:
-    """Postings of documents given by their words in order, and totals; a null text has no words.  Keys are taken to be unique; rows of a null key are found together."""
+    """Postings of documents given by their words in order, and totals; a null text has no words.  Keys are taken to be unique."""
     rows = docs.select(F.col(key).alias("key"), words.alias("words"))
-    each = rows.select("key", F.size("words").alias("length"), F.posexplode("words").alias("place", "token"))
-    each = each.withColumns({"bucket": _bucket(F.col("token"), buckets), "salt": F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")})
-    # One shuffle: what is dealt by (bucket, salt) also lies together by all four.
-    postings = each.repartition("bucket", "salt").groupBy("bucket", "salt", "token", "key").agg(F.max("length").alias("length"), F.sort_array(F.collect_list("place")).alias("positions"))
-    postings.drop("salt").sortWithinPartitions("bucket", "token", "key").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/postings")
+    kind = rows.schema["key"].dataType.simpleString()
+    found = rows.mapInArrow(_grouped, f"key {kind}, token string, length int, positions array<int>")
+    # One shuffle, of what is written.
+    dealt = found.repartition(_bucket(F.col("token"), buckets), F.pmod(F.xxhash64("key"), F.lit(salts)))
+    dealt.withColumn("bucket", _bucket(F.col("token"), buckets)).sortWithinPartitions("bucket", "token", "key").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/postings")
     totals = rows.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avg"))
-    kept = {"buckets": F.lit(buckets), "key_type": F.lit(rows.schema["key"].dataType.simpleString())}
-    totals.withColumns(kept).coalesce(1).write.parquet(f"{folder}/totals")
+    totals.withColumns({"buckets": F.lit(buckets), "key_type": F.lit(kind)}).coalesce(1).write.parquet(f"{folder}/totals")
 
 
 def index(spark: SparkSession, sources: list[str], docs: DataFrame, key: str, words: Column, name: str, force: bool = False) -> stored.Stored:
