@@ -7,8 +7,9 @@ A node is a dict with a kind ``k``:
 - ``cmd``: ``name``, ``s`` as written, ``args``: groups, each with the ``gap`` before it
 
 ``source(parse(x)) == x`` for every text.  A closing mark closes the innermost open mark of
-its kind inside the same environment, and what is open in between stays unclosed; one that
-closes nothing is text.  A dollar sign or square bracket that is never closed is text, its
+its kind inside the same environment (a square bracket: inside the same braces, and brackets
+in between pair up), and what is open in between stays unclosed; one that closes nothing is
+text.  A dollar sign or square bracket that is never closed is text, its
 children move up.  Marks deeper than ``DEPTH`` are text.  Time is linear in the text.
 """
 
@@ -46,10 +47,13 @@ _LOOSE = {"$", "$$", "["}
 
 
 class _Frame:
-    __slots__ = ("arg", "kind", "node", "open", "pending")
+    __slots__ = ("arg", "bracket", "inner", "kind", "node", "open", "pending")
 
-    def __init__(self, kind: str, node: dict, arg: dict | None = None):
+    def __init__(self, kind: str, node: dict, arg: dict | None = None, around: _Frame | None = None):
         self.kind, self.node, self.arg = kind, node, arg
+        # The argument in square brackets that a closing one here belongs to, and the plain brackets open in it.
+        self.bracket = self if kind == "[" else None if kind in ("{", "env") else around and around.bracket
+        self.inner = 0
         self.pending: list[str] = []  # text that is not a node yet
         self.open: Counter = Counter()  # marks open above this one, as far as the next environment
 
@@ -118,6 +122,8 @@ class _Parser:
             if name.isalpha() and t[-1].isalpha() | (t[-1] == "*"):
                 self.command = node
         else:
+            if t == "[" and top.bracket:
+                top.bracket.inner += 1
             top.text(t)
 
     def push(self, kind: str, node: dict, arg: dict | None = None) -> None:
@@ -132,7 +138,7 @@ class _Parser:
         self.command = None
         if self.gap:
             self.settle()
-        frame = _Frame(kind, node, arg)
+        frame = _Frame(kind, node, arg, self.stack[-1])
         self.stack.append(frame)
         if kind == "env":
             self.scopes.append(frame)
@@ -163,13 +169,17 @@ class _Parser:
 
     def close(self, t: str) -> None:
         kind = _CLOSES[t]
+        bracket = self.stack[-1].bracket
         if self.deep[kind]:
             self.deep[kind] -= 1
             self.stack[-1].text(t)
-        elif not self.scopes[-1].open[kind]:
+        elif kind == "[" and bracket and bracket.inner:
+            bracket.inner -= 1
+            self.stack[-1].text(t)
+        elif not (bracket if kind == "[" else self.scopes[-1].open[kind]):
             self.stack[-1].text(t)
         else:
-            while self.stack[-1].kind != kind:
+            while self.stack[-1] is not bracket if kind == "[" else self.stack[-1].kind != kind:
                 self.pop("")
                 self.command = None
             self.pop(t)

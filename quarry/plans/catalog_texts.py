@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import bodies, documents, quality, rules, similarity
+from quarry.operators import bodies, documents, quality, rules, similarity, tree_rules
 from quarry.operators.model import read
 from quarry.plans.catalog import full, query
 from quarry.sources import volumes
@@ -292,3 +292,31 @@ def body_outline(spark, d):
 @query(r"""SELECT item_id, trim(regexp_replace(regexp_replace(text, '%[^\n]*', '', 'g'), '\s+', ' ', 'g')) AS line FROM benchmark""")
 def visible_texts(spark, d):
     return read(spark, d, "benchmark").select("item_id", bodies.visible(F.col("text")).alias("line"))
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[${}\[\]()（）%]', '', 'g'), '\s+', ' ', 'g')) AS line FROM documents)
+SELECT doc_id, CASE doc_id % 4
+    WHEN 0 THEN 'Find.' || chr(10) || '\begin{enumerate}' || chr(10) || '\item ' || line || chr(10) || '\item ' || trim('b ' || line) || chr(10) || '\end{enumerate}'
+    WHEN 1 THEN rtrim(line) || ' $y=$\fillin[$\frac{1}{2}$] and \fillin[{[0,1)}].'
+    WHEN 2 THEN line || 'x'
+    ELSE line || ' A$\cap \cup$B $x$ $\geq$0' END AS stem,
+  CASE WHEN doc_id % 4 = 2 THEN 'A:' || trim('o ' || line) || '|B:$b$|C:c|D:d' ELSE '' END AS options,
+  CASE doc_id % 4 WHEN 0 THEN 'parts_to_enumerate' WHEN 1 THEN 'answer_into_fillin,move_blanks_out_of_math' WHEN 2 THEN 'split_inline_options' ELSE 'unicode_math_to_tex' END AS fired FROM t"""
+)
+def tree_rewrites(spark, d):
+    """Items made of the documents, a quarter each for parts, blanks, options and signs, after the rules on trees."""
+    docs = read(spark, d, "documents")
+    line = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[${}\[\]()（）%]", ""), r"\s+", " "))
+    k = F.col("doc_id") % 4
+    stem = (
+        F.when(k == 0, F.concat(F.lit("Find.\n\n (1) "), line, F.lit("\n（2） b "), line))
+        .when(k == 1, F.concat(F.rtrim(line), F.lit(r" $y=\fillin{}$ and \fillin[].")))
+        .when(k == 2, F.concat(line, F.lit("x\n\nA. o "), line, F.lit("\nB、$b$\nC．c\n D. d ")))
+        .otherwise(F.concat(line, F.lit(" A∩∪B $x$ ≥0")))
+    )
+    kind = F.get(F.array(*map(F.lit, ["detailed_answer", "fill_in_blank", "single_choice", "detailed_answer"])), k.cast("int"))
+    items = docs.select("doc_id", kind.alias("type"), stem.alias("stem"), F.when(k == 1, r"\frac{1}{2}；[0,1)").alias("answer"), F.lit(None).cast("string").alias("solution"), F.lit(None).cast("array<struct<label:string,text:string>>").alias("options"), F.lit(0).alias("figures"))
+    done = tree_rules.normalise(items, (rules.ENTRY, rules.MIGRATE))
+    options = F.array_join(F.transform("options", lambda o: F.concat(o["label"], F.lit(":"), o["text"])), "|")
+    return done.select("doc_id", "stem", options.alias("options"), F.array_join("fired", ",").alias("fired"))

@@ -53,6 +53,9 @@ TREES = {
     r"\fillin[$\sqrt[3]{2}$] b": [("fillin", [["$", True, ("sqrt", ["3"], ["2"])]]), " b"],
     r"\fillin [0,1) c": [("fillin",), " [0,1) c"],
     r"[$\left[ 7,4 \right)$]": ["[", ["$", True, ("left",), " 7,4 ", ("right",)], "]"],
+    r"\fillin[{[0]}]x": [("fillin", [["{", True, "[0]"]]), "x"],
+    r"\fillin[$[0,1]$]x": [("fillin", [["$", True, "[0,1]"]]), "x"],
+    r"\fillin[[2,3)] x": [("fillin",), "[[2,3)] x"],
     "a $ b": ["a $ b"],
     "{ $ a } b$": [["{", True, " $ a "], " b$"],
     "$a$$b$": [["$", True, "a"], ["$", True, "b"]],
