@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import bodies, documents, quality, rules, similarity, tree_rules
+from quarry.operators import bodies, documents, quality, rules, similarity, tree_checks, tree_rules
 from quarry.operators.model import read
 from quarry.plans.catalog import full, query
 from quarry.sources import volumes
@@ -320,3 +320,16 @@ def tree_rewrites(spark, d):
     done = tree_rules.normalise(items, (rules.ENTRY, rules.MIGRATE))
     options = F.array_join(F.transform("options", lambda o: F.concat(o["label"], F.lit(":"), o["text"])), "|")
     return done.select("doc_id", "stem", options.alias("options"), F.array_join("fired", ",").alias("fired"))
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[${}\[\]()（）%]', '', 'g'), '\s+', ' ', 'g')) AS line FROM documents)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 5 = 2 THEN 'render_leak' END, CASE WHEN doc_id % 5 = 3 OR regexp_matches(line || ' ', '(^|[^0-9.])[.]\s') THEN 'sentence_period' END,
+  CASE WHEN doc_id % 5 = 0 THEN 'blank_in_formula' END, CASE WHEN doc_id % 5 = 1 THEN 'bar_pair' END], lambda x: x IS NOT NULL), ',') AS faults FROM t"""
+)
+def tree_conformance(spark, d):
+    """Documents with a slot in a formula, two kinds of bars, a command that nobody knows, a sentence or nothing after them."""
+    line = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"[${}\[\]()（）%]", ""), r"\s+", " "))
+    ends = F.array(*map(F.lit, [r" $y=\fillin[1]$", r" $\left|x\right\|$", r" \foo{x} y", " 句.", " $\\left|\\left\\|x\\right\\|\\right|$"]))
+    docs = read(spark, d, "documents").select("doc_id", F.concat(line, F.get(ends, (F.col("doc_id") % 5).cast("int"))).alias("text"))
+    return docs.select("doc_id", F.array_join(tree_checks.faults(F.col("text")), ",").alias("faults"))
