@@ -604,14 +604,16 @@ def score_and_minutes(spark, d):
 
 
 @query(
-    """WITH t AS (SELECT unnest(range(1, 12)) AS total), i AS (SELECT total, unnest(range(0, total)) AS idx FROM t),
-p AS (SELECT total, idx, CASE WHEN total < 8 THEN greatest(1, CAST(round_even(3 * total / 8, 0) AS INT)) ELSE 3 END AS e0, CASE WHEN total < 8 THEN greatest(1, CAST(round_even(2 * total / 8, 0) AS INT)) ELSE 2 END AS h FROM i),
+    """WITH i AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS idx, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders),
+p AS (SELECT *, CASE WHEN total < 8 THEN greatest(1, CAST(round_even(3 * total / 8, 0) AS INT)) ELSE 3 END AS e0, CASE WHEN total < 8 THEN greatest(1, CAST(round_even(2 * total / 8, 0) AS INT)) ELSE 2 END AS h FROM i),
 q AS (SELECT *, CASE WHEN total >= 3 AND e0 + h > total - 1 THEN greatest(0, total - 1 - h) ELSE e0 END AS e FROM p)
-SELECT total, idx AS place, CASE WHEN idx < e THEN '简单题' WHEN idx >= total - h THEN '难题' ELSE '中档题' END AS difficulty FROM q"""
+SELECT o_orderkey, total, idx AS place, CASE WHEN idx < e THEN '简单题' WHEN idx >= total - h THEN '难题' ELSE '中档题' END AS difficulty FROM q"""
 )
 def position_difficulty(spark, d):
-    t = spark.range(1, 12).select(F.col("id").alias("total"), F.explode(F.sequence(F.lit(0), F.col("id") - 1)).alias("place"))
-    return t.select("total", F.col("place").cast("bigint").alias("place"), selection.place_difficulty(F.lit("single_choice"), F.col("place"), F.col("total")).alias("difficulty"))
+    """A customer's orders as the items of a paper."""
+    orders = windows.place_in_group(read(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"], ["o_orderkey"])
+    t = orders.withColumn("place", F.col("index").cast("bigint"))
+    return t.select("o_orderkey", "total", "place", selection.place_difficulty(F.lit("single_choice"), F.col("place"), F.col("total")).alias("difficulty"))
 
 
 @query()

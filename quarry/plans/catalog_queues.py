@@ -177,10 +177,9 @@ def region_against_label(spark, d):
     return semantics.region_vs_label(items, names, None)
 
 
-@query("SELECT rule, count(*) AS n FROM (SELECT CASE WHEN (length(text) - length(replace(text, '$', ''))) % 2 = 1 THEN 'dollar' END AS rule FROM documents UNION ALL SELECT CASE WHEN contains(text, '$$') THEN 'double_dollar' END FROM documents) WHERE rule IS NOT NULL GROUP BY 1")
+@query("SELECT rule, count(*) AS n FROM (SELECT CASE WHEN (length(text) - length(replace(text, '$', ''))) % 2 = 1 THEN 'dollar' END AS rule FROM documents UNION ALL SELECT CASE WHEN contains(text, '$$') THEN 'double_dollar' END FROM documents UNION ALL SELECT CASE WHEN contains(text, '%') THEN 'comment' END FROM documents) WHERE rule IS NOT NULL GROUP BY 1")
 def violation_counts(spark, d):
-    rules = {k: v for k, v in quality.conformance("text").items() if k in ("dollar", "double_dollar")}
-    return quality.violations(read(spark, d, "documents"), "doc_id", rules).groupBy("rule").agg(F.count("*").alias("n"))
+    return quality.violations(read(spark, d, "documents"), "doc_id", quality.conformance("text")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 

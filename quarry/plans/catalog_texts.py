@@ -46,8 +46,7 @@ UNION ALL SELECT key, 'blank' FROM y WHERE type = 'fill_in_blank'""",
     base=True,
 )
 def structure_violations(spark, d):
-    rows = quality.violations(_typed(spark, d), "key", quality.structure())
-    return rows.filter("rule not in ('braces')").select("key", "rule")
+    return quality.violations(_typed(spark, d), "key", quality.structure()).select("key", "rule")
 
 
 @query(
@@ -55,7 +54,7 @@ def structure_violations(spark, d):
 UNION ALL SELECT doc_id, 'comment' FROM documents WHERE regexp_matches(text, '(^|[^\\])%'))"""
 )
 def conform_parity(spark, d):
-    return quality.violations(read(spark, d, "documents"), "doc_id", quality.conformance("text")).filter("rule in ('dollar', 'double_dollar', 'comment')").select("doc_id", "rule")
+    return quality.violations(read(spark, d, "documents"), "doc_id", quality.conformance("text")).select("doc_id", "rule")
 
 
 @query()
