@@ -38,7 +38,7 @@ SPACES = "quad qquad".split()
 BREAKS = ["newline"]
 
 _TOKEN = re.compile(
-    r"\\(?:begin|end)\{[A-Za-z]+\*?\}|\\(?:left|right|middle|[bB]igg?[lrm]?)(?![A-Za-z])[ \t]*(?:\\[A-Za-z]+|\\.|[^\\\s$])?|\\[A-Za-z]+\*?|\\[\s\S]|\\|\$\$?|[{}\[\]]|[ \t\n]+|[^\\${}\[\] \t\n]+"
+    r"\\(?:begin|end)\{[A-Za-z]+\*?\}|\\(?:left|right|middle|[bB]igg?[lrm]?)(?![A-Za-z])[ \t]*(?:\\[A-Za-z]+|\\.|[^\\\s$])?|\\[A-Za-z]+\*?|\\[\s\S]|\\|\$\$?|[{}\[\]]|[^\\${}\[\]]+"
 )
 _CLOSES = {"$": "$", "$$": "$$", r"\)": r"\(", r"\]": r"\[", "}": "{", "]": "["}
 _MATH = {"$", "$$", r"\(", r"\["}
@@ -93,9 +93,14 @@ class _Parser:
             self.gap = ""
 
     def token(self, t: str) -> None:
-        if self.command is not None and t[0] in " \t\n" and not self.gap and t.count("\n") < 2:
-            self.gap = t
-            return
+        if self.command is not None and t[0] in " \t\n" and not self.gap:
+            rest = t.lstrip(" \t\n")
+            lead = t[: len(t) - len(rest)]
+            if lead.count("\n") < 2:
+                self.gap = lead
+                if not rest:
+                    return
+                t = rest
         command = self.command if t in ("{", "[") else None
         if command is None:
             self.settle()
