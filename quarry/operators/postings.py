@@ -24,7 +24,7 @@ from quarry.sources import stored
 
 BUCKETS, SALT_BYTES = 64, 4_000_000
 CHUNK_WORDS = 1_000_000
-FORMAT = "2"
+FORMAT = "3"
 
 
 def _bucket(token: Column, buckets: int) -> Column:
@@ -32,7 +32,7 @@ def _bucket(token: Column, buckets: int) -> Column:
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each word of each document, with its positions.  Documents never share a row, so nothing is combined later."""
+    """A row for each word of some documents: which of them hold it, how long they are, and where it stands in each."""
     for batch in batches:
         words = batch.column("words")
         ends = np.cumsum(np.asarray(pc.list_value_length(words)))
@@ -49,24 +49,30 @@ def _postings(keys: pa.Array, words: pa.ListArray) -> pa.RecordBatch:
     known = words.flatten().dictionary_encode()
     document = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(document)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    both = document * max(1, len(known.dictionary)) + known.indices.to_numpy(zero_copy_only=False)
+    both = known.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(1, len(sizes)) + document
     order = np.argsort(both, kind="stable")
-    starts = np.flatnonzero(np.diff(both[order], prepend=-1))
-    at = order[starts]
-    positions = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), pa.array(place[order], pa.int32()))
-    return pa.RecordBatch.from_arrays(
-        [keys.take(pa.array(document[at])), known.dictionary.take(known.indices.take(pa.array(at))), pa.array(sizes[document[at]], pa.int32()), positions], ["key", "token", "length", "positions"]
-    )
+    starts = np.flatnonzero(np.diff(both[order], prepend=-1))  # of a document's places of a word
+    held, token = document[order[starts]], both[order[starts]] // max(1, len(sizes))
+    firsts = np.flatnonzero(np.diff(token, prepend=-1))  # of a word's documents
+    begins = starts - np.repeat(starts[firsts], np.diff(np.append(firsts, len(starts))))  # in the word's places
+    by_word = lambda values: pa.ListArray.from_arrays(pa.array(np.append(firsts, len(starts)), pa.int32()), values)
+    places = pa.ListArray.from_arrays(pa.array(np.append(starts[firsts], len(order)), pa.int32()), pa.array(place[order], pa.int32()))
+    columns = [known.dictionary.take(pa.array(token[firsts])), by_word(keys.take(pa.array(held))), by_word(pa.array(sizes[held], pa.int32())), by_word(pa.array(begins, pa.int32())), places]
+    return pa.RecordBatch.from_arrays(columns, ["token", "keys", "lengths", "starts", "places"])
 
 
 def write(docs: DataFrame, key: str, words: Column, folder: str, buckets: int = BUCKETS, salts: int = 1) -> None:
     """Postings of documents given by their words in order, and totals; a null text has no words.  Keys are taken to be unique."""
     rows = docs.select(F.col(key).alias("key"), words.alias("words"))
     kind = rows.schema["key"].dataType.simpleString()
-    found = rows.mapInArrow(_grouped, f"key {kind}, token string, length int, positions array<int>")
-    # One shuffle, of what is written.
-    dealt = found.repartition(_bucket(F.col("token"), buckets), F.pmod(F.xxhash64("key"), F.lit(salts)))
-    dealt.withColumn("bucket", _bucket(F.col("token"), buckets)).sortWithinPartitions("bucket", "token", "key").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/postings")
+    found = rows.mapInArrow(_grouped, f"token string, keys array<{kind}>, lengths array<int>, starts array<int>, places array<int>")
+    # One shuffle, of a row for each word and chunk of documents; a chunk goes to one of the word's salts.
+    dealt = found.repartition(_bucket(F.col("token"), buckets), F.pmod(F.xxhash64(F.get("keys", F.lit(0))), F.lit(salts)))
+    after = F.coalesce(F.get("starts", F.col("i") + 1), F.size("places"))
+    out = dealt.select("*", F.posexplode("keys").alias("i", "key")).select(
+        "token", "key", F.get("lengths", F.col("i")).alias("length"), F.slice("places", F.get("starts", F.col("i")) + 1, after - F.get("starts", F.col("i"))).alias("positions")
+    )
+    out.withColumn("bucket", _bucket(F.col("token"), buckets)).sortWithinPartitions("bucket", "token", "key").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{folder}/postings")
     totals = rows.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avg"))
     totals.withColumns({"buckets": F.lit(buckets), "key_type": F.lit(kind)}).coalesce(1).write.parquet(f"{folder}/totals")
 
