@@ -148,19 +148,18 @@ UNION ALL SELECT key, 'sol_worker_note', 'P1' FROM y WHERE regexp_matches(soluti
     base=True,
 )
 def semantic_metadata(spark, d):
-    return _semantic(spark, d).filter("rule in ('meta_stars_zero', 'answer_has_score', 'sol_worker_note')")
+    return semantics.scanned(_semantic(spark, d), ["meta_stars_zero", "answer_has_score", "sol_worker_note"])
 
 
 def _semantic(spark, d):
     more = full(spark, d).select("key", "stars", "region")
-    rows = _typed(spark, d).join(more, "key")
-    return rows.select("key", F.explode(semantics.found(semantics.semantics())).alias("v")).select("key", "v.rule", "v.level")
+    return _typed(spark, d).join(more, "key")
 
 
 @query()
 def semantic_rules(spark, d):
     """Every rule over every item; tests check each by hand."""
-    return _semantic(spark, d)
+    return semantics.scanned(_semantic(spark, d))
 
 
 @query(

@@ -219,6 +219,18 @@ def test_semantic_rules_by_hand(spark):
     for name in BREAKS:
         assert name in got[name], (name, got[name])
 
+    scanned = {(r.key, r.rule) for r in semantics.scanned(df).collect()}
+    assert scanned == {(key, rule) for key, broken in got.items() for rule in broken}
+    assert {(r.key, r.rule) for r in semantics.scanned(df, ["sol_copies_stem", "sol_worker_note"]).collect()} == {x for x in scanned if x[1] in ("sol_copies_stem", "sol_worker_note")}
+
+
+def test_texts_are_read_once(spark, sf):
+    from quarry.plans import catalog_queues, catalog_texts
+
+    plan = lambda query: query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(catalog_texts.contradictions).count("A-Za-z0-9") == 2  # the letters of stem and solution
+    assert "A-Za-z0-9" not in plan(catalog_queues.semantic_metadata)  # asks for none of the rules that need them
+
 
 def test_conclusions(spark):
     want = {"故选：A、C": ["AC"], "故选 (B)(A)": ["AB"], "答案为C错误": [], "故选 B 正确": [], "综上所述选 D": ["D"], "故选择x": [], "应选A 又 本题选 B": ["A", "B"], "": [], None: []}
