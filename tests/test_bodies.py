@@ -143,3 +143,18 @@ def test_trees_in_variant(spark):
     assert all(r.back == (rows[r.i] or "") for r in got) and {r.i: r.name for r in got}[len(rows) - 1] == "a"
     shown = df.filter("i >= 300").select(bodies.visible(F.col("t")), bodies.leaks(F.col("t"))).collect()
     assert [len(r[0]) for r in shown] == [0, 0, 200_000, 1] and all(r[1] == [] for r in shown)
+
+
+def test_batches_are_parsed_in_pieces(spark):
+    import pyarrow as pa
+
+    from quarry.operators import bodies
+
+    texts = [None, "", "a" * bodies.PIECE_BYTES, *(["b" * 1000, None] * 1000), "c" * (3 * bodies.PIECE_BYTES), ""]
+    cut = list(bodies.pieces(pa.array(texts)))
+    assert [t for piece in cut for t in piece.to_pylist()] == texts and len(cut) >= 6
+    assert all(sum(len(t or "") for t in piece.to_pylist()[1:]) <= bodies.PIECE_BYTES for piece in cut)
+    assert list(bodies.pieces(pa.array([], pa.string()))) == []
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").coalesce(1)
+    got = rows.select("n", bodies.source(bodies.tree("t")).alias("s"), bodies.visible("t").alias("v")).collect()
+    assert {r.n: r.s for r in got} == {n: t or "" for n, t in enumerate(texts)}
