@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.operators.history import _kept
+
+#: Ranges into which the rows of one value are cut to be numbered.
+RANGES = 128
 # Fixed values of the volume format.
 HEAD, GONE, PER_VOLUME = "%% @q ", "%% @gone", 5000
 HEADER = "key string, seq bigint, type string, answer string, points array<string>"
@@ -77,14 +81,33 @@ def current(rows: DataFrame, key: str = "key", order: str = "seq") -> DataFrame:
     return rows.withColumn("_n", last).filter("_n = 1").drop("_n", "batch")
 
 
+def numbered(rows: DataFrame, by: str, order: str, n: str) -> DataFrame:
+    """rows with their number from 1 within by, in order.
+
+    A value of by may hold most of the rows, so each is cut into RANGES ranges of about as
+    many rows; a range is numbered by itself and what stands before it is added.  A value's
+    cuts are RANGES numbers, broadcast: by is a type or another column of few values.
+    """
+    # Kept: quantiles may come out otherwise when they are made again, and counts and numbers need the same ones.
+    cuts = _kept(rows.groupBy(F.col(by).alias("_by")).agg(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)]).alias("_cuts")))
+    place = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(order))), F.lit(0))
+    ranged = rows.join(F.broadcast(cuts), F.col(by).eqNullSafe(F.col("_by")), "left").withColumn("_range", F.greatest(place, F.lit(0))).drop("_by", "_cuts")
+    counts = ranged.groupBy(F.col(by).alias("_by"), F.col("_range").alias("_in")).agg(F.count("*").alias("_rows"))
+    earlier = W.partitionBy("_by").orderBy("_in").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select("_by", "_in", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    found = ranged.join(F.broadcast(before), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") == F.col("_in")), "left")
+    own = F.row_number().over(W.partitionBy(by, "_range").orderBy(order))
+    return found.withColumn(n, F.col("_before") + own).drop("_by", "_in", "_range", "_before")
+
+
 def to_markdown(items: DataFrame, per: int = 100) -> DataFrame:
     """(batch, value): items as Markdown sections, per of them a batch within each type."""
-    n = F.row_number().over(W.partitionBy("type").orderBy("seq"))
+    n = F.col("_n")
     section = F.concat(
         F.lit("## "), F.col("key"), F.lit("\n\n"), F.coalesce("stem", F.lit("")), F.lit("\n\n### answer\n\n"), F.coalesce("answer", F.lit("")),
         F.lit("\n\n### solution\n\n"), F.coalesce("solution", F.lit("")),
     )
-    return items.select("type", F.floor((n - 1) / per).cast("int").alias("batch"), "seq", section.alias("value"))
+    return numbered(items, "type", "seq", "_n").select("type", F.floor((n - 1) / per).cast("int").alias("batch"), "seq", section.alias("value"))
 
 
 def from_markdown(sections: DataFrame, value: str = "value") -> DataFrame:

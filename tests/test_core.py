@@ -276,3 +276,17 @@ def test_duplicates_answered_otherwise(spark):
     rows = [("a", "1", None, None, None), ("b", "2", "a", 0.95, None), ("c", "2", "a", 0.9, None), ("d", "$1$", "a", 1.0, None), ("e", "2", "a", 1.0, True), ("f", "2", "gone", 1.0, None), ("g", "见解析", "a", 1.0, False), ("h", "3", "e", 1.0, None)]
     items = spark.createDataFrame(rows, "key string, answer string, dup_of string, dup_score double, dup_answer_variant boolean")
     assert [tuple(r) for r in semantics.duplicates_answered_otherwise(items).collect()] == [("b", "a")]
+
+
+def test_numbers_of_one_large_type_are_spread(spark):
+    from quarry.sources import volumes
+
+    rng = random.Random(5)
+    seqs = rng.sample(range(10**9), 5000)
+    rows = [("a" if i % 10 else None if i % 20 else "b", s) for i, s in enumerate(seqs)]
+    df = spark.createDataFrame(rows, "type string, seq bigint")
+    numbered = volumes.numbered(df, "type", "seq", "n")
+    want = {(t, s): i for t in ("a", "b", None) for i, s in enumerate(sorted(s for x, s in rows if x == t), 1)}
+    assert {(r.type, r.seq): r.n for r in numbered.collect()} == want
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert "[type" in plan and all("_range" in x or "_rows" in x for x in plan.splitlines() if "Window [" in x)  # no window over a whole type
