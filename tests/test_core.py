@@ -290,3 +290,18 @@ def test_numbers_of_one_large_type_are_spread(spark):
     assert {(r.type, r.seq): r.n for r in numbered.collect()} == want
     plan = numbered._jdf.queryExecution().optimizedPlan().toString()
     assert "[type" in plan and all("_range" in x or "_rows" in x for x in plan.splitlines() if "Window [" in x)  # no window over a whole type
+
+
+def test_grams_of_queries_stay_where_they_are(spark, monkeypatch):
+    from quarry.operators import search
+
+    rng = random.Random(9)
+    text = lambda k: "".join(rng.choice("abc ") for _ in range(k))
+    queries = spark.createDataFrame([(i, text(60)) for i in range(40)], "qid int, text string")
+    targets = spark.createDataFrame([(i, text(30)) for i in range(20)], "tid int, text string")
+    found = search.shortlist(queries, targets, 3, 3)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin [gram" in plan and "SortMergeJoin [gram" not in plan
+    monkeypatch.setattr(search, "MOST_BROADCAST", 0)
+    rows = lambda df: {(r.qid, r.tid, r["rank"], round(r.score, 6)) for r in df.collect()}
+    assert rows(found) == rows(search.shortlist(queries, targets, 3, 3))
