@@ -219,9 +219,15 @@ def test_semantic_rules_by_hand(spark):
     for name in BREAKS:
         assert name in got[name], (name, got[name])
 
-    scanned = {(r.key, r.rule) for r in semantics.scanned(df).collect()}
-    assert scanned == {(key, rule) for key, broken in got.items() for rule in broken}
-    assert {(r.key, r.rule) for r in semantics.scanned(df, ["sol_copies_stem", "sol_worker_note"]).collect()} == {x for x in scanned if x[1] in ("sol_copies_stem", "sol_worker_note")}
+
+def test_scan_finds_what_the_rules_find(spark):
+    names = "key type stem answer solution region stars options figures".split()
+    schema = "key string, type string, stem string, answer string, solution string, region string, stars int, options array<struct<label:string,text:string>>, figures array<struct<id:string>>"
+    df = spark.createDataFrame([tuple((ITEM | x | {"key": name})[c] for c in names) for name, x in BREAKS.items()], schema)
+    want = {(r.key, v.rule) for r in df.select("key", semantics.found(semantics.semantics()).alias("v")).collect() for v in r.v}
+    assert {(r.key, r.rule) for r in semantics.scanned(df).collect()} == want
+    some = ["sol_copies_stem", "sol_worker_note"]
+    assert {(r.key, r.rule) for r in semantics.scanned(df, some).collect()} == {x for x in want if x[1] in some}
 
 
 def test_texts_are_read_once(spark, sf):
