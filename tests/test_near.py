@@ -137,3 +137,64 @@ def test_documents_are_searched(spark, sf):
     want = brute([(r.key, r.norm) for r in docs if r.doc_id % 50 == 0 and len(r.norm) < 2500], [(r.key, r.norm) for r in docs if len(r.norm) < 3800])
     long = {r.key for r in docs if len(r.norm) >= 2500}
     assert {(r.left, r.right, r.score) for r in got if r.left not in long} == want
+
+
+def test_library_is_made_once(spark, monkeypatch):
+    """However many blocks of queries there are, a library text is normalised once."""
+    monkeypatch.setattr(near, "BLOCK_CHARS", 60)
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        made.add(1)
+        return text
+
+    rows = [(f"k{i}", "abcdefgh" * (i + 1) + "xyz"[i % 3]) for i in range(12)]
+    library = spark.createDataFrame(rows, "key string, norm string").withColumn("norm", counted.asNondeterministic()("norm"))
+    got = near.near(spark.createDataFrame(rows, "key string, norm string"), library).collect()
+    assert {(r.left, r.right, r.score) for r in got} == brute(rows, rows) and made.value == len(rows)
+
+
+@pytest.mark.parametrize("row", [2, 256])
+def test_rarest_grams_lose_nothing(monkeypatch, row):
+    """All queries with enough grams in common are met, whether a gram has a row or a list, and few others are."""
+    monkeypatch.setattr(near, "ROW", row)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(300)]
+    base = ["".join(rng.choice(words) for _ in range(rng.randint(60, 120))) for _ in range(60)]
+    texts = base + [noisy(rng, t, 0.04) for t in base] + [t[:90] * 3 for t in base[:10]]
+    index = near.Queries([(str(i), t) for i, t in enumerate(texts)], 0.8, 4, near.RUN).indexes[0]
+    assert len(index.rows) > 0 if row == 2 else not len(index.rows)
+    met = 0
+    for t in texts:
+        found, most = index.candidates(t)
+        bound = dict(zip(found.tolist(), most.tolist()))
+        met += len(found)
+        for i, other in enumerate(index.texts):
+            n = near.common_grams(near.gram_hashes(t, index.gram), near.gram_hashes(other, index.gram))
+            if len(other) <= index.share * len(t) and len(t) <= index.share * len(other) and n >= index.a * (len(t) + len(other)) - index.b:
+                assert n <= bound[i]
+    assert len(texts) < met < 0.1 * len(texts) ** 2
+
+
+def test_runs_give_the_blocks():
+    """Matching blocks of long near copies, of texts that repeat themselves and of texts with no long run."""
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    one = letters(1500)
+    pairs = [(one, noisy(rng, one, s)) for s in (0.01, 0.05, 0.2)] + [(one, one[700:] + one[:700]), (one[:300] * 4, one[:300] * 3 + one[100:400]), ("a" * 900, "a" * 850 + "b"), (one, letters(1500))]
+    for x, y in pairs:
+        want = sum(m.size for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+        assert near.matched(x, y, 0) == want and near.matched(x, y, want + 1) in (0, want)
+        runs = near.common_runs(x, y)
+        assert runs is None or all(x[i : i + n] == y[j : j + n] for i, j, n in zip(*(r.tolist() for r in runs)))
+
+
+def test_scores_to_beat_stay():
+    """Another part of a library need not bring what earlier hits make too few; equal scores it must."""
+    queries = near.Queries([("q", "0123456789" * 4)], 0.8, 2, near.RUN)
+    queries.compare([("a", "0123456789" * 4), ("b", "0123456789" * 3 + "012345678#")])
+    assert [k for _, k, *_ in queries.hits()] == ["a", "b"]
+    queries.start()
+    queries.compare([("c", "0123456789" * 3 + "0123456###"), ("d", "#" + "0123456789" * 3 + "123456789")])
+    assert [k for _, k, *_ in queries.hits()] == ["d"]
