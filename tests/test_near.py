@@ -198,3 +198,16 @@ def test_scores_to_beat_stay():
     queries.start()
     queries.compare([("c", "0123456789" * 3 + "0123456###"), ("d", "#" + "0123456789" * 3 + "123456789")])
     assert [k for _, k, *_ in queries.hits()] == ["d"]
+
+
+def test_exact_bounds_take_longer_grams():
+    """Where nothing can be missed, grams of eight characters rule out more, and still no pair of the threshold."""
+    assert [near.gram_size(0.95, near.RUN, i) for i in (0, 1)] == [8, 8] and [near.gram_size(0.8, near.RUN, i) for i in (0, 1)] == [5, 8]
+    rng = random.Random(9)
+    index = near.Queries([("q", "x" * 200)], 0.95, 2, near.RUN).indexes[0]
+    assert index.gram == 8
+    for _ in range(200):
+        x = "".join(rng.choice("abcd") for _ in range(rng.randint(40, 200)))
+        y = noisy(rng, x, rng.random() * 0.06)
+        if difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.95:
+            assert near.common_grams(near.gram_hashes(x, 8), near.gram_hashes(y, 8)) >= index.a * (len(x) + len(y)) - index.b - 1e-6
