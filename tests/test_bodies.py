@@ -158,3 +158,19 @@ def test_batches_are_parsed_in_pieces(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").coalesce(1)
     got = rows.select("n", bodies.source(bodies.tree("t")).alias("s"), bodies.visible("t").alias("v")).collect()
     assert {r.n: r.s for r in got} == {n: t or "" for n, t in enumerate(texts)}
+
+
+def test_bodies_of_odd_texts_are_read_as_sql_says(spark, tmp_path):
+    """Empty and blank texts, ends of lines before a slot, white space that is not ASCII, open formulas."""
+    duckdb = pytest.importorskip("duckdb")
+    from quarry.plans import catalog, catalog_texts  # noqa: F401
+
+    texts = [None, "", " ", "\n", " \n\t", "a\n", "a\n\n\n", "a\n  ", "a \t", "\r\n a", "\u3000a\u3000", "\xa0", "\u2028a\x0b", "a\n   b\n\n \n c\n\t", "a$$$\n", "$$$", "$$$ a\n$$$ b", "[a\n", "{a\n", "a\\\n", "f", "\fa\f\n"]
+    rows = [(6 * i + k, t, f"s{i}" if i % 4 else None, "en") for i, t in enumerate(texts) for k in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = con.execute(catalog.SQL["parsed_bodies"])
+    columns = [c[0] for c in got.description]
+    found = catalog.QUERIES["parsed_bodies"](spark, str(tmp_path)).select(*columns).collect()
+    assert {tuple(r) for r in found} == set(got.fetchall()) and len(found) == len(rows)
