@@ -211,3 +211,43 @@ def test_exact_bounds_take_longer_grams():
         y = noisy(rng, x, rng.random() * 0.06)
         if difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() >= 0.95:
             assert near.common_grams(near.gram_hashes(x, 8), near.gram_hashes(y, 8)) >= index.a * (len(x) + len(y)) - index.b - 1e-6
+
+
+def test_longer_grams_are_owed_to_blocks():
+    """Blocks that hold the grams that a pair needs hold as many longer ones as the sieve asks for."""
+    rng = random.Random(14)
+    for size in (0, 1):
+        gram = near.gram_size(0.8, near.RUN, size)
+        a, b = near.least_grams(0.8, near.RUN, size)
+        more, less, longer = near.longer_grams(a, b, gram)
+        assert longer > gram and near.longer_grams(*near.least_grams(0.8, None, size), gram)[2] == gram
+        for _ in range(20_000):
+            blocks = [rng.choice((1, 3, gram, gram + 1, longer - 1, longer, 2 * longer, 40)) for _ in range(rng.randint(1, 60))]
+            total = 2 * sum(blocks) + rng.randint(0, sum(blocks) // 2)
+            if sum(max(n - gram + 1, 0) for n in blocks) >= a * total - b:
+                assert sum(max(n - longer + 1, 0) for n in blocks) >= more * total - less - 1e-6
+
+
+def test_texts_are_sieved_by_longer_grams():
+    """Texts of the same few syllables share many short grams by chance; the sieve leaves near copies and little else, and all hits."""
+    rng = random.Random(15)
+    syllables = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 3))) for _ in range(14)]
+    make = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+    base = [make(rng.randint(130, 180)) for _ in range(16)]
+    library = [(f"l{i}", make(rng.randint(150, 200))) for i in range(16)] + [(f"h{i}", t[: len(t) // 2] * 2) for i, t in enumerate(base[:4])]
+    library += [(f"c{i}", noisy(rng, t, (0.02, 0.08, 0.12)[i % 3])) for i, t in enumerate(base)]
+    queries = near.Queries([(f"q{i}", t) for i, t in enumerate(base)], 0.8, 4, near.RUN)
+    queries.compare(library)
+    got = {(q, key, score) for q, key, score, _ in queries.hits()}
+    assert got == brute([(f"q{i}", t) for i, t in enumerate(base)], library, 0.8, 4) and len(got) >= 16
+    sieved, index = queries.sieves[0], queries.indexes[0]
+    assert sieved.made and not index.made
+    for _, t in library:
+        if len(t) >= queries.sieved[0]:
+            found, most = sieved.candidates(t)
+            bound = dict(zip(found.tolist(), most.tolist()))
+            for i, other in enumerate(index.texts):
+                n = near.common_grams(near.gram_hashes(t, sieved.gram), near.gram_hashes(other, sieved.gram))
+                if len(other) <= sieved.share * len(t) and len(t) <= sieved.share * len(other) and n >= sieved.a * (len(t) + len(other)) - sieved.b:
+                    assert n <= bound[i]
+    assert sum(len(index.enough(sieved.candidates(t)[0], t).nonzero()[0]) for _, t in library) < 3 * len(library)
