@@ -251,3 +251,18 @@ def test_texts_are_sieved_by_longer_grams():
                 if len(other) <= sieved.share * len(t) and len(t) <= sieved.share * len(other) and n >= sieved.a * (len(t) + len(other)) - sieved.b:
                     assert n <= bound[i]
     assert sum(len(index.enough(sieved.candidates(t)[0], t).nonzero()[0]) for _, t in library) < 3 * len(library)
+
+
+def test_equal_library_texts_are_met_once(spark, monkeypatch):
+    """Hundreds of copies of a text are compared once a task; the first keys count."""
+    met = []
+    plain = near.Queries._compare
+    monkeypatch.setattr(near.Queries, "_compare", lambda self, first, index, keys, text: (met.append(text), plain(self, first, index, keys, text)))
+    rows = [(f"k{i:03}", t) for i in range(300) for t in ("0123456789" * 4,)] + [("z", "0123456789" * 3 + "012345678#"), ("n", None), ("e", "")]
+    task = near._search([("q", "0123456789" * 4)], "once", 0.8, 4, near.RUN)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*reversed(rows))], ["key", "norm"])
+    (out,) = task(iter([batch]))
+    assert sorted(out.column("right").to_pylist()) == ["k000", "k001", "k002", "k003"] and len(met) == 2
+    assert {(r.left, r.right, r.score) for r in found(spark, rows[-6:], rows)} == brute(rows[-6:], rows)
